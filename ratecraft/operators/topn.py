@@ -61,8 +61,6 @@ def _block_scorer(n: int, chunk: int = 512):
         items = right[right["kind"] == 0]
         if users.empty or items.empty:
             return _empty_block()
-        # Items in ascending id order, so a stable sort on score breaks ties by id.
-        items = items.sort_values("item_id", kind="stable")
         item_ids = items["item_id"].to_numpy(dtype=np.int64)
         imat = np.stack(items["features"].to_numpy()).astype(np.float64)
         user_ids = users["user_id"].to_numpy(dtype=np.int64)
@@ -85,26 +83,38 @@ def _block_scorer(n: int, chunk: int = 512):
                 sel = (mask_rows >= start) & (mask_rows < stop)
                 s[mask_rows[sel] - start, mask_cols[sel]] = -np.inf
             s[np.isnan(s)] = -np.inf
-            idx = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(s, idx, axis=1)
-            valid = np.isfinite(top)
-            rows = np.broadcast_to(np.arange(start, stop)[:, None], idx.shape)
-            out_u.append(user_ids[rows[valid]])
-            out_i.append(item_ids[idx[valid]])
-            out_s.append(top[valid])
+            # k-th best score per row (linear-time partition), then every item
+            # scoring at least that (ties included), ordered exactly by
+            # (row, score desc, item id asc), keeping the first k per row.
+            kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            r, c = np.nonzero(s >= kth[:, None])
+            sc = s[r, c]
+            fin = np.isfinite(sc)
+            r, c, sc = r[fin], c[fin], sc[fin]
+            order = np.lexsort((item_ids[c], -sc, r))
+            r, c, sc = r[order], c[order], sc[order]
+            keep = (np.arange(r.size) - np.searchsorted(r, r, side="left")) < k
+            out_u.append(user_ids[r[keep] + start])
+            out_i.append(item_ids[c[keep]])
+            out_s.append(sc[keep])
         return pd.DataFrame({"user_id": np.concatenate(out_u).astype(np.int32),
                              "item_id": np.concatenate(out_i).astype(np.int32),
                              "score": np.concatenate(out_s)})
     return score_block
 
 
-def _n_blocks(df: DataFrame, block: int) -> int:
+DEFAULT_USER_BLOCK = 2048
+DEFAULT_ITEM_BLOCK = 4096
+
+
+def n_blocks(df: DataFrame, block: int) -> int:
+    """Blocks needed for ``block`` rows each (one count action)."""
     return max(1, math.ceil(df.count() / block))
 
 
 def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
-                 exclude: DataFrame | None = None, user_block: int = 2048,
-                 item_block: int = 4096, user_blocks: int | None = None,
+                 exclude: DataFrame | None = None, user_block: int = DEFAULT_USER_BLOCK,
+                 item_block: int = DEFAULT_ITEM_BLOCK, user_blocks: int | None = None,
                  item_blocks: int | None = None) -> DataFrame:
     """``(user_id, rank, item_id, score)``: each user's N best items by dot product.
 
@@ -113,8 +123,8 @@ def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
     ranking. Filter ``item_factors`` first (popularity floor) to rank only
     eligible items. Block counts default to ``ceil(rows / block size)``.
     """
-    nu = user_blocks or _n_blocks(user_factors, user_block)
-    ni = item_blocks or _n_blocks(item_factors, item_block)
+    nu = user_blocks or n_blocks(user_factors, user_block)
+    ni = item_blocks or n_blocks(item_factors, item_block)
     ub = F.pmod(F.xxhash64("user_id"), F.lit(nu)).cast("int")
     ib = F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int")
 
@@ -128,7 +138,13 @@ def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
                      "item_id", "features"))
     right = items
     if exclude is not None:
-        seen = (exclude.select("user_id", "item_id").distinct()
+        # Only pairs of users and items being ranked matter; after the
+        # semi-joins and distinct, a block pair holds at most
+        # user_block x item_block of them, whatever the skew of the input.
+        seen = (exclude.select("user_id", "item_id")
+                .join(user_factors.select("user_id"), "user_id", "left_semi")
+                .join(item_factors.select("item_id"), "item_id", "left_semi")
+                .distinct()
                 .select(ub.alias("ub"), ib.alias("ib"), F.lit(1).alias("kind"), "user_id",
                         "item_id", F.lit(None).cast(item_factors.schema["features"].dataType)
                         .alias("features")))

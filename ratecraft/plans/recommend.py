@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.aggregates import eligible_items
-from ..operators.topn import top_n_by_dot
+from ..operators.topn import DEFAULT_ITEM_BLOCK, DEFAULT_USER_BLOCK, n_blocks, top_n_by_dot
 
 
 def titles(items: DataFrame) -> DataFrame:
@@ -29,12 +29,18 @@ def recommend(user_factors: DataFrame, item_factors: DataFrame, n: int,
     - ``counts(item_id, n_ratings)`` + ``min_ratings``: popularity floor;
     - ``exclude(user_id, item_id)``: pairs to skip (already rated).
     """
+    # Block counts come from the unfiltered factor tables (a cheap scan, an
+    # upper bound for the filtered ones), so the filters below run once, inside
+    # the scoring job, instead of again for a sizing count.
+    nu = n_blocks(user_factors, DEFAULT_USER_BLOCK)
+    ni = n_blocks(item_factors, DEFAULT_ITEM_BLOCK)
     items = item_factors
     if candidates is not None:
         items = items.join(candidates.select("item_id"), "item_id", "left_semi")
     if min_ratings is not None:
         items = items.join(eligible_items(counts, min_ratings), "item_id", "left_semi")
-    return top_n_by_dot(user_factors, items, n, exclude=exclude)
+    return top_n_by_dot(user_factors, items, n, exclude=exclude, user_blocks=nu,
+                        item_blocks=ni)
 
 
 def with_titles(recs: DataFrame, items: DataFrame) -> DataFrame:

@@ -40,44 +40,63 @@ def _split(line: Column, sep: str) -> Column:
 
 
 def _apply_mode(parsed: DataFrame, reason: Column, cols: list[str], mode: str, what: str):
-    parsed = parsed.withColumn("_reason", reason)
+    """``parsed`` has ``_line`` and the typed columns; ``reason`` is NULL for a good line.
+
+    The split array and typed fields are computed once per row in their own
+    projections (Catalyst keeps a projection separate when merging it would
+    repeat a non-trivial expression). Fail-fast is folded into every output
+    column instead of a separate filter, so column pruning cannot skip the
+    check.
+    """
+    judged = parsed.withColumn("_reason", reason)
+    # Parsed rows pass through a one-row generator: a filter on a generator's
+    # output stays above it, so later filters (``rating > 0``, a split, the
+    # reject routing) read the computed columns instead of being rewritten
+    # into copies of the whole parse (which Catalyst would otherwise push into
+    # the scan or join below, evaluating the split once per reference).
+    judged = judged.select(F.inline(F.array(F.struct(*judged.columns))))
     if mode == "failfast":
-        checked = parsed.where(
-            F.when(F.col("_reason").isNotNull(),
-                   F.raise_error(F.concat(F.lit(f"malformed {what} line ("), F.col("_reason"),
-                                          F.lit("): "), F.col("_line"))))
-            .otherwise(F.lit(True)))
-        return checked.select(*cols)
+        err = F.raise_error(F.concat(F.lit(f"malformed {what} line ("), F.col("_reason"),
+                                     F.lit("): "), F.col("_line")))
+        return judged.select(*[F.when(F.col("_reason").isNull(), F.col(c)).otherwise(err).alias(c)
+                               for c in cols])
     if mode == "quarantine":
-        good = parsed.where(F.col("_reason").isNull()).select(*cols)
-        rejects = parsed.where(F.col("_reason").isNotNull()).select(
+        good = judged.where(F.col("_reason").isNull()).select(*cols)
+        rejects = judged.where(F.col("_reason").isNotNull()).select(
             F.col("_line").alias("line"), F.col("_reason").alias("reason"))
         return good, rejects
     raise ValueError(f"mode must be 'failfast' or 'quarantine', not {mode!r}")
 
 
+def _fields(lines: DataFrame, col: str, sep: str, extra=()) -> DataFrame:
+    return lines.select(*extra, F.col(col).alias("_line"),
+                        _split(py_strip(col), sep).alias("_f"))
+
+
 def parse_ratings(lines: DataFrame, mode: str = "failfast", col: str = "value"):
     """Lines -> ``(user_id int, item_id int, rating double, ts bigint, bucket int)``.
 
     ``bucket`` is the last digit of ``ts`` (never negative). Extra fields are
     ignored. Ids outside int32 are rejected here rather than failing model fit.
     """
-    f = _split(py_strip(col), RATING_SEP)
-    parsed = lines.select(
-        F.col(col).alias("_line"),
+    f = F.col("_f")
+    parsed = _fields(lines, col, RATING_SEP).select(
+        "_line",
         F.size(f).alias("_n"),
         int_field(f, 1, "int").alias("user_id"),
         int_field(f, 2, "int").alias("item_id"),
         float_field(f, 3).alias("rating"),
         int_field(f, 4, "bigint").alias("ts"),
-    ).withColumn("bucket", ts_bucket("ts"))
+    )
     reason = (F.when(F.col("_n") < 4, F.lit("too few fields"))
               .when(F.col("user_id").isNull(), F.lit("user_id"))
               .when(F.col("item_id").isNull(), F.lit("item_id"))
               .when(F.col("rating").isNull(), F.lit("rating"))
               .when(F.col("ts").isNull(), F.lit("ts")))
-    return _apply_mode(parsed, reason, ["user_id", "item_id", "rating", "ts", "bucket"],
-                       mode, "rating")
+    out = _apply_mode(parsed, reason, ["user_id", "item_id", "rating", "ts"], mode, "rating")
+    if mode == "quarantine":
+        return out[0].withColumn("bucket", ts_bucket("ts")), out[1]
+    return out.withColumn("bucket", ts_bucket("ts"))
 
 
 def load_positive_ratings(lines: DataFrame, mode: str = "failfast") -> DataFrame:
@@ -97,9 +116,9 @@ def require_nonempty(df: DataFrame, what: str = "ratings") -> DataFrame:
 
 def parse_items(lines: DataFrame, mode: str = "failfast", col: str = "value"):
     """Lines -> ``(item_id int, title string)``; a title is cut at the separator."""
-    f = _split(py_strip(col), RATING_SEP)
-    parsed = lines.select(
-        F.col(col).alias("_line"),
+    f = F.col("_f")
+    parsed = _fields(lines, col, RATING_SEP).select(
+        "_line",
         F.size(f).alias("_n"),
         int_field(f, 1, "int").alias("item_id"),
         text_field(f, 2).alias("title"),
@@ -115,9 +134,9 @@ def parse_posted(bodies: DataFrame, user_col: str = "user_id", body_col: str = "
     -> ``(user_id, item_id, rating)`` rows, one per line."""
     lines = bodies.select(
         F.col(user_col).cast("int").alias("user_id"),
-        F.explode(_split(py_strip(body_col), POSTED_LINE_SEP)).alias("_line"))
-    f = _split(F.col("_line"), POSTED_FIELD_SEP)
-    parsed = lines.select(
+        F.explode(_split(py_strip(body_col), POSTED_LINE_SEP)).alias("_body_line"))
+    f = F.col("_f")
+    parsed = _fields(lines, "_body_line", POSTED_FIELD_SEP, extra=("user_id",)).select(
         "_line", "user_id",
         F.size(f).alias("_n"),
         int_field(f, 1, "int").alias("item_id"),
