@@ -34,9 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ratings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition by ``key`` only when the scan has fewer splits than the
+    cluster has cores (e.g. one large row group), so per-row work downstream
+    runs in parallel. A large input already has many splits and is left as is
+    (no extra shuffle at scale)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber",
                                                  "l_quantity")
+    return spread(li, "l_orderkey")
+
+
+def ratings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _lineitem(spark, sf_dir)
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     epoch_s = F.timestamp_diff("SECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"),
                                F.col("o_orderdate"))
@@ -88,8 +104,7 @@ def posted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     built per (order, block of 8 line numbers) so even an order with huge line
     counts yields bounded bodies.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber",
-                                                 "l_quantity")
+    li = _lineitem(spark, sf_dir)
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = li.join(od, li.l_orderkey == od.o_orderkey).select(
         "o_orderkey", "o_custkey", (F.col("l_linenumber") / 8).cast("bigint").alias("blk"),
