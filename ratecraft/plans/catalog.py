@@ -288,6 +288,15 @@ def q_als_recommend(spark, sf):
     return recs.select("user_id", "rank", "item_id", _r("score"))
 
 
+def q_als_recommend_subset(spark, sf):
+    """Spark's per-user top-N (no exclusion) for the users with held-out ratings."""
+    training, heldout = _als_inputs(spark, sf)
+    model = train.fit(training)
+    users = heldout.where(F.col("split") == "test").select("user_id").distinct()
+    return train.recommend_users(model, users, TOP_N_PER_USER).select(
+        "user_id", "rank", "item_id", _r("score"))
+
+
 def q_als_recommend_all(spark, sf):
     training, _ = _als_inputs(spark, sf)
     model = train.fit(training)
@@ -324,6 +333,14 @@ def q_als_refresh(spark, sf):
     return recs.select("user_id", "rank", "item_id", "title", _r("score"))
 
 
+def q_report_sink(spark, sf):
+    """The recommendation report written as a table (executors write, the
+    driver holds nothing) and read back."""
+    from ..sources.sinks import write_report
+    path = write_report(q_recommend_titles(spark, sf), scratch_path(spark, "report"))
+    return spark.read.parquet(path)
+
+
 def q_stream_ingest(spark, sf):
     src = scratch_path(spark, "posted")
     fx.posted_bodies(spark, sf).write.mode("overwrite").json(src)
@@ -368,8 +385,10 @@ QUERIES = {
     "als_rank_search": q_als_rank_search,
     "als_select_best": q_als_select_best,
     "als_recommend": q_als_recommend,
+    "als_recommend_subset": q_als_recommend_subset,
     "als_recommend_all": q_als_recommend_all,
     "model_roundtrip": q_model_roundtrip,
     "als_refresh": q_als_refresh,
+    "report_sink": q_report_sink,
     "stream_ingest": q_stream_ingest,
 }

@@ -256,3 +256,5 @@ SQL["select_best"] = _with("damped") + """
 SELECT damping, round(rmse, 6) AS rmse FROM damped ORDER BY rmse ASC, damping ASC LIMIT 1"""
 
 SQL["stream_ingest"] = SQL["parse_posted"]
+
+SQL["report_sink"] = SQL["recommend_titles"]
