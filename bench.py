@@ -20,7 +20,8 @@ from ratecraft.session import env_cpus, local_session  # noqa: E402
 HEADLINE = [
     "parse_ratings", "item_stats", "rating_stats", "split_sizes", "training_union",
     "enrich_predictions", "popular_top_n", "unrated_top_n", "recs_json", "rmse_pairwise",
-    "select_best", "als_rmse", "als_recommend", "als_recommend_all", "als_refresh",
+    "select_best", "als_rmse", "als_rank_search", "als_recommend", "als_recommend_all",
+    "als_refresh",
 ]
 
 
