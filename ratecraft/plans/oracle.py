@@ -9,8 +9,13 @@ rounded to 6 decimals. Model queries (ALS) have no SQL form and are absent.
 
 from __future__ import annotations
 
-WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
-INT_RE = r"'^[ \t\n\r\x0b\x0c]*[+-]?[0-9]+[ \t\n\r\x0b\x0c]*$'"
+# Python's str.strip() set (every code point with str.isspace()), as SQL and RE2.
+_PY_WS = [ord(c) for c in map(chr, range(0x110000)) if c.isspace()]
+WS = "(" + " || ".join(f"chr({c})" for c in _PY_WS) + ")"
+_WS_RE = "[" + "".join(f"\\x{{{c:04x}}}" for c in _PY_WS) + "]"
+INT_RE = f"'^{_WS_RE}*[+-]?[0-9]+{_WS_RE}*$'"
+FLOAT_RE = (f"'(?i)^{_WS_RE}*[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?"
+            f"|inf|infinity|nan){_WS_RE}*$'")
 
 CTE = {
     "ratings_all": """ratings_all AS (
@@ -87,7 +92,7 @@ def _rating_parse(lines_sql: str) -> str:
     SELECT line, f, len(f) AS nf,
            CASE WHEN regexp_full_match(f[1], {INT_RE}) THEN TRY_CAST(trim(f[1], {WS}) AS INTEGER) END AS user_id,
            CASE WHEN regexp_full_match(f[2], {INT_RE}) THEN TRY_CAST(trim(f[2], {WS}) AS INTEGER) END AS item_id,
-           TRY_CAST(trim(f[3], {WS}) AS DOUBLE) AS rating,
+           CASE WHEN regexp_full_match(f[3], {FLOAT_RE}) THEN TRY_CAST(trim(f[3], {WS}) AS DOUBLE) END AS rating,
            CASE WHEN regexp_full_match(f[4], {INT_RE}) THEN TRY_CAST(trim(f[4], {WS}) AS BIGINT) END AS ts
     FROM (SELECT line, string_split(trim(line, {WS}), '::') AS f FROM ({lines_sql}) src)),
   judged AS (
