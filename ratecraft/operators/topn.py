@@ -112,6 +112,22 @@ def n_blocks(df: DataFrame, block: int) -> int:
     return max(1, math.ceil(df.count() / block))
 
 
+def plan_blocks(n_users: int, n_items: int, parallelism: int,
+                user_block: int = DEFAULT_USER_BLOCK, item_block: int = DEFAULT_ITEM_BLOCK,
+                groups_per_core: int = 8) -> tuple[int, int]:
+    """Block counts: never more rows per block than the block sizes (memory
+    bound), and at least ``groups_per_core`` block pairs per core when the
+    tables are small (so no core idles behind one big group)."""
+    nu = max(1, math.ceil(n_users / user_block))
+    ni = max(1, math.ceil(n_items / item_block))
+    target = groups_per_core * max(1, parallelism)
+    if nu * ni < target:
+        f = math.sqrt(target / (nu * ni))
+        nu = min(max(1, n_users), math.ceil(nu * f))
+        ni = min(max(1, n_items), math.ceil(ni * f))
+    return nu, ni
+
+
 def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
                  exclude: DataFrame | None = None, user_block: int = DEFAULT_USER_BLOCK,
                  item_block: int = DEFAULT_ITEM_BLOCK, user_blocks: int | None = None,
@@ -123,8 +139,12 @@ def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
     ranking. Filter ``item_factors`` first (popularity floor) to rank only
     eligible items. Block counts default to ``ceil(rows / block size)``.
     """
-    nu = user_blocks or n_blocks(user_factors, user_block)
-    ni = item_blocks or n_blocks(item_factors, item_block)
+    if user_blocks is None or item_blocks is None:
+        par = user_factors.sparkSession.sparkContext.defaultParallelism
+        pu, pi = plan_blocks(user_factors.count(), item_factors.count(), par,
+                             user_block, item_block)
+        user_blocks, item_blocks = user_blocks or pu, item_blocks or pi
+    nu, ni = user_blocks, item_blocks
     ub = F.pmod(F.xxhash64("user_id"), F.lit(nu)).cast("int")
     ib = F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int")
 
