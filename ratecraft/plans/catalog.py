@@ -323,7 +323,9 @@ def q_model_roundtrip(spark, sf):
 
 def _refresh_inputs(spark, sf):
     ratings = fx.base(spark, sf)
-    cutoff = ratings.agg(F.max("ts") - REFRESH_WINDOW_DAYS * 86400).scalar()
+    # One number, fetched once: every branch below filters on a literal.
+    latest = ratings.agg(F.max("ts")).first()[0]
+    cutoff = latest - REFRESH_WINDOW_DAYS * 86400
     return ratings.where(F.col("ts") < cutoff), ratings.where(F.col("ts") >= cutoff)
 
 
@@ -341,6 +343,15 @@ def q_report_sink(spark, sf):
     return spark.read.parquet(path)
 
 
+def q_ratings_table(spark, sf):
+    """Parsed ratings written once, partitioned by bucket; the training split
+    read back through partition pruning."""
+    from .prepare import read_split, write_ratings_table
+    path = write_ratings_table(fx.ratings_lines(spark, sf), scratch_path(spark, "ratings"))
+    return read_split(spark, path, "train").select("user_id", "item_id", "rating", "ts",
+                                                   "bucket")
+
+
 def q_stream_ingest(spark, sf):
     src = scratch_path(spark, "posted")
     fx.posted_bodies(spark, sf).write.mode("overwrite").json(src)
@@ -390,5 +401,6 @@ QUERIES = {
     "model_roundtrip": q_model_roundtrip,
     "als_refresh": q_als_refresh,
     "report_sink": q_report_sink,
+    "ratings_table": q_ratings_table,
     "stream_ingest": q_stream_ingest,
 }

@@ -263,3 +263,7 @@ SELECT damping, round(rmse, 6) AS rmse FROM damped ORDER BY rmse ASC, damping AS
 SQL["stream_ingest"] = SQL["parse_posted"]
 
 SQL["report_sink"] = SQL["recommend_titles"]
+
+SQL["ratings_table"] = _with("base") + """
+SELECT user_id, item_id, rating, ts, CAST(((ts % 10) + 10) % 10 AS INTEGER) AS bucket
+FROM base WHERE ((ts % 10) + 10) % 10 < 6"""
