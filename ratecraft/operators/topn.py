@@ -107,11 +107,6 @@ DEFAULT_USER_BLOCK = 2048
 DEFAULT_ITEM_BLOCK = 4096
 
 
-def n_blocks(df: DataFrame, block: int) -> int:
-    """Blocks needed for ``block`` rows each (one count action)."""
-    return max(1, math.ceil(df.count() / block))
-
-
 def plan_blocks(n_users: int, n_items: int, parallelism: int,
                 user_block: int = DEFAULT_USER_BLOCK, item_block: int = DEFAULT_ITEM_BLOCK,
                 groups_per_core: int = 8) -> tuple[int, int]:
