@@ -48,6 +48,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # A folder on one machine is not shared: executors could not read it
+            # back after a failure. A cluster must name a shared folder.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...)")
         configured = tempfile.mkdtemp(prefix="ratecraft-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
