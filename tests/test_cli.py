@@ -1,0 +1,37 @@
+"""The batch entry points, end to end on small text files."""
+
+import os
+
+from ratecraft.__main__ import main
+from ratecraft.session import scratch_path
+
+
+def _write(path, lines):
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, "part-0.txt"), "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+
+
+def test_prepare_train_recommend_refresh(spark):
+    root = scratch_path(spark, "cli-test").replace("file:", "")
+    rows = [f"{u}::{i}::{(u * 3 + i) % 5 + 1}::{1000 + u * 17 + i}"
+            for u in range(1, 40) for i in range(1, 30) if (u + i) % 3]
+    _write(f"{root}/ratings", rows)
+    _write(f"{root}/personal", ["0::1::5::1003", "0::2::0::1004", "0::3::4::1005"])
+    _write(f"{root}/items", [f"{i}::Item {i}" for i in range(1, 30)])
+    _write(f"{root}/new", ["7::4::5::99999", "8::5::1::99998"])
+    assert main(["prepare", "--ratings", f"{root}/ratings", "--out", f"{root}/table"]) == 0
+    assert main(["train", "--table", f"{root}/table", "--personal", f"{root}/personal",
+                 "--model", f"{root}/model", "--metrics", f"{root}/metrics"]) == 0
+    assert main(["recommend", "--model", f"{root}/model", "--items", f"{root}/items",
+                 "--table", f"{root}/table", "--personal", f"{root}/personal",
+                 "--out", f"{root}/recs", "--n", "3",
+                 "--min-ratings", "5"]) == 0
+    recs = spark.read.parquet(f"{root}/recs")
+    assert recs.count() > 0 and recs.where("rank > 3").count() == 0
+    assert recs.where("user_id = 0 AND item_id IN (1, 3)").count() == 0
+    assert main(["refresh", "--table", f"{root}/table", "--new", f"{root}/new",
+                 "--items", f"{root}/items", "--model", f"{root}/model2",
+                 "--out", f"{root}/recs2"]) == 0
+    users = {r.user_id for r in spark.read.parquet(f"{root}/recs2").collect()}
+    assert users == {7, 8}
