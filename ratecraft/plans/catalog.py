@@ -7,13 +7,12 @@ the same thing in another summation order agrees.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 
-from ..functions.splits import split_label, ts_bucket
 from ..functions.vectors import vector_dim
 from ..operators import aggregates as agg
 from ..operators import evaluate as ev
-from ..operators import scoring, sets, splits, topn
+from ..operators import scoring, sets, splits
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import text
