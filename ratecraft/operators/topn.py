@@ -165,7 +165,14 @@ def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
                         .alias("features")))
         right = items.select(*right_cols).unionByName(seen.select(*right_cols))
 
-    scored = (users.groupBy("ub", "ib")
-              .cogroup(right.groupBy("ub", "ib"))
+    # Scoring cost grows with block *products* while bytes grow with block
+    # sums, so AQE's byte-based coalescing would pack all block pairs into a
+    # few tasks. An explicit partition count (not coalesced) keeps every core
+    # busy; both sides share it, so the cogroup adds no further shuffle.
+    spark = user_factors.sparkSession
+    parts = min(nu * ni, max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                             spark.sparkContext.defaultParallelism))
+    scored = (users.repartition(parts, "ub", "ib").groupBy("ub", "ib")
+              .cogroup(right.repartition(parts, "ub", "ib").groupBy("ub", "ib"))
               .applyInPandas(_block_scorer(n), schema=_BLOCK_OUT))
     return top_n_per_group(scored, n).select("user_id", "rank", "item_id", "score")
