@@ -4,18 +4,18 @@ Each function takes a session or DataFrames and returns DataFrames (or a
 fitted model); nothing is module state. Use these when moving code from the
 single-user, driver-side version to Spark jobs over tables of users.
 
-| original call                          | here                                   |
-|----------------------------------------|----------------------------------------|
-| ``loadRatings(file)``                  | :func:`load_ratings` (``positive_only``)|
-| ``textFile(..).map(parseGame)``        | :func:`load_items`                     |
-| count / distinct users / distinct items| :func:`dataset_stats`                  |
-| ``count_and_average_ratings()``        | :func:`item_stats`                     |
-| ``randomSplit([6, 2, 2], 24)``         | :func:`split_ratings`                  |
-| ``trainALS(..)`` (rank search)         | :func:`train_model` / :func:`search_rank` |
-| ``computeRmse(test)``                  | :func:`compute_rmse`                   |
-| ``get_top_ratings(model, user, n)``    | :func:`top_ratings` (any set of users) |
-| ``get_ratings_for_game_ids(user, ids)``| :func:`ratings_for_items`              |
-| ``add_ratings(new)``                   | :func:`add_ratings`                    |
+| original operation                          | here                              |
+|---------------------------------------------|-----------------------------------|
+| load a ratings file (optionally positives)  | :func:`load_ratings`              |
+| load an item-titles file                    | :func:`load_items`                |
+| count ratings, distinct users and items     | :func:`dataset_stats`             |
+| count and average ratings per item          | :func:`item_stats`                |
+| 6:2:2 train/validation/test split           | :func:`split_ratings`             |
+| train ALS / search the rank grid            | :func:`train_model` / :func:`search_rank` |
+| held-out RMSE                               | :func:`compute_rmse`              |
+| top unrated items for a user                | :func:`top_ratings` (any set of users) |
+| predicted ratings for listed items          | :func:`ratings_for_items`         |
+| add new ratings and retrain                 | :func:`add_ratings`               |
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ Catalyst prunes the columns each query needs.
 - ``ratings_all``: one rating per lineitem: user = order's customer, item = part,
   rating = floor(quantity / 10), ts = order date in epoch seconds plus a
   per-line offset.
-- ``base``: everyone but the personal user (the ``ratings.dat`` stand-in).
+- ``base``: everyone but the personal user (the ratings file stand-in).
 - ``personal``: the personal user's rows (the personal-ratings file; the loader
   keeps ``rating > 0``).
 - ``items``: part key and name.
@@ -80,7 +80,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratings_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ratings.dat`` stand-in: base ratings as ``user::item::rating::ts`` lines."""
+    """Ratings file stand-in: base ratings as ``user::item::rating::ts`` lines."""
     return format_rating_lines(base(spark, sf_dir))
 
 
@@ -93,7 +93,7 @@ def personal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``games.dat`` stand-in: ``item::title`` lines."""
+    """Item-titles file stand-in: ``item::title`` lines."""
     return format_item_lines(items(spark, sf_dir))
 
 
