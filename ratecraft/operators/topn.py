@@ -8,8 +8,8 @@
   without materialising user x item pairs as rows. Users and items are hashed
   into blocks of bounded size; block pair (ub, ib) meets in one cogroup where a
   numpy matmul scores it and keeps each user's best N. Every block pair is
-  bounded (``user_block`` x ``item_block``), so memory per task is fixed no
-  matter how big either table grows; rows already rated travel to exactly the
+  bounded (block sizes follow a memory budget and the factor rank), so memory
+  per task is fixed no matter how big either table grows; rows already rated travel to exactly the
   one block pair they fall in and are masked there, so exclusion happens before
   ranking with no over-fetch and no cap.
 """
@@ -56,7 +56,7 @@ def _empty_block() -> pd.DataFrame:
                          "score": pd.Series([], dtype="float64")})
 
 
-def _block_scorer(n: int, chunk: int = 512):
+def _block_scorer(n: int, max_chunk: int = 512):
     def score_block(users: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         items = right[right["kind"] == 0]
         if users.empty or items.empty:
@@ -75,6 +75,8 @@ def _block_scorer(n: int, chunk: int = 512):
             mask_rows = su.to_numpy()[ok].astype(np.int64)
             mask_cols = si.to_numpy()[ok].astype(np.int64)
         k = min(n, len(item_ids))
+        # Users per score chunk: the chunk's float64 scores stay within budget.
+        chunk = int(max(16, min(max_chunk, SCORE_CHUNK_BYTES // (8 * len(item_ids)))))
         out_u, out_i, out_s = [], [], []
         for start in range(0, len(user_ids), chunk):
             stop = min(start + chunk, len(user_ids))
@@ -103,12 +105,22 @@ def _block_scorer(n: int, chunk: int = 512):
     return score_block
 
 
-DEFAULT_USER_BLOCK = 2048
-DEFAULT_ITEM_BLOCK = 4096
+# Memory budget per side of a block pair (float64 factor rows), and block
+# size limits. Shipped volume is about U x I x rank x (1/item_block +
+# 1/user_block), so blocks are as large as the budget allows: at rank 64 a
+# block holds 65,536 rows (32 MB), a user is shipped once per 65,536 items.
+GROUP_BUDGET_BYTES = 32 << 20
+SCORE_CHUNK_BYTES = 64 << 20
+MIN_BLOCK, MAX_BLOCK = 1024, 65536
+
+
+def block_size(rank: int) -> int:
+    """Rows per block for factors of length ``rank`` within the budget."""
+    return int(min(MAX_BLOCK, max(MIN_BLOCK, GROUP_BUDGET_BYTES // (max(1, rank) * 8))))
 
 
 def plan_blocks(n_users: int, n_items: int, parallelism: int,
-                user_block: int = DEFAULT_USER_BLOCK, item_block: int = DEFAULT_ITEM_BLOCK,
+                user_block: int, item_block: int,
                 groups_per_core: int = 8) -> tuple[int, int]:
     """Block counts: never more rows per block than the block sizes (memory
     bound), and at least ``groups_per_core`` block pairs per core when the
@@ -124,8 +136,8 @@ def plan_blocks(n_users: int, n_items: int, parallelism: int,
 
 
 def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
-                 exclude: DataFrame | None = None, user_block: int = DEFAULT_USER_BLOCK,
-                 item_block: int = DEFAULT_ITEM_BLOCK, user_blocks: int | None = None,
+                 exclude: DataFrame | None = None, user_block: int | None = None,
+                 item_block: int | None = None, user_blocks: int | None = None,
                  item_blocks: int | None = None) -> DataFrame:
     """``(user_id, rank, item_id, score)``: each user's N best items by dot product.
 
@@ -135,6 +147,9 @@ def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
     eligible items. Block counts default to ``ceil(rows / block size)``.
     """
     if user_blocks is None or item_blocks is None:
+        from ..functions.vectors import vector_dim
+        size = block_size(vector_dim(user_factors))
+        user_block, item_block = user_block or size, item_block or size
         par = user_factors.sparkSession.sparkContext.defaultParallelism
         pu, pi = plan_blocks(user_factors.count(), item_factors.count(), par,
                              user_block, item_block)

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.aggregates import eligible_items
-from ..operators.topn import plan_blocks, top_n_by_dot
+from ..functions.vectors import vector_dim
+from ..operators.topn import block_size, plan_blocks, top_n_by_dot
 
 
 def titles(items: DataFrame) -> DataFrame:
@@ -32,8 +33,9 @@ def recommend(user_factors: DataFrame, item_factors: DataFrame, n: int,
     # Block counts come from the unfiltered factor tables (a cheap scan, an
     # upper bound for the filtered ones), so the filters below run once, inside
     # the scoring job, instead of again for a sizing count.
+    size = block_size(vector_dim(user_factors))
     nu, ni = plan_blocks(user_factors.count(), item_factors.count(),
-                         user_factors.sparkSession.sparkContext.defaultParallelism)
+                         user_factors.sparkSession.sparkContext.defaultParallelism, size, size)
     items = item_factors
     if candidates is not None:
         items = items.join(candidates.select("item_id"), "item_id", "left_semi")
