@@ -359,6 +359,16 @@ def q_stream_ingest(spark, sf):
                          scratch_path(spark, "posted-ckpt"))
 
 
+def q_stream_item_stats(spark, sf):
+    """Per-item count and mean kept up to date by a stateful stream over the posts."""
+    src = scratch_path(spark, "posted-stats")
+    fx.posted_bodies(spark, sf).write.mode("overwrite").json(src)
+    from ..streaming.ingest import running_item_stats
+    out = running_item_stats(spark, src, scratch_path(spark, "item-stats-sink"),
+                             scratch_path(spark, "item-stats-ckpt"))
+    return out.select("item_id", "n_ratings", _r("avg_rating"))
+
+
 QUERIES = {
     "parse_ratings": q_parse_ratings,
     "item_stats": q_item_stats,
@@ -402,4 +412,5 @@ QUERIES = {
     "report_sink": q_report_sink,
     "ratings_table": q_ratings_table,
     "stream_ingest": q_stream_ingest,
+    "stream_item_stats": q_stream_item_stats,
 }

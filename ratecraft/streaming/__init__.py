@@ -1,5 +1,5 @@
-"""Structured Streaming ingest of posted ratings."""
+"""Structured Streaming: posted-ratings ingest and running per-item stats."""
 
-from .ingest import ingest_posted, posted_stream
+from .ingest import ingest_posted, item_stats_snapshot, posted_stream, running_item_stats
 
-__all__ = ["ingest_posted", "posted_stream"]
+__all__ = ["ingest_posted", "item_stats_snapshot", "posted_stream", "running_item_stats"]

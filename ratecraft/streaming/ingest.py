@@ -40,3 +40,48 @@ def ingest_posted(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     return spark.read.schema("user_id int, item_id int, rating double").parquet(sink_dir)
+
+
+def running_item_stats(spark: SparkSession, source_dir: str, sink_dir: str,
+                       checkpoint_dir: str, timeout_s: int = 600) -> DataFrame:
+    """Per-item count and mean maintained incrementally as posts arrive.
+
+    A stateful streaming aggregation (state: one (count, sum) per item, bounded
+    by the catalogue) in ``update`` mode. Each micro-batch's changed rows are
+    written under their batch id by ``foreachBatch``; rewriting the same batch
+    after a restart overwrites the same folder, so the output is exactly-once.
+    Returns the current snapshot (latest row per item).
+    """
+    from pyspark.sql import functions as F
+
+    rows = parse_posted(posted_stream(spark, source_dir))
+    agg = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_ratings"),
+                                      F.sum("rating").alias("sum_rating"))
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
+
+    query = (agg.writeStream.outputMode("update")
+             .option("checkpointLocation", checkpoint_dir)
+             .foreachBatch(write_batch)
+             .trigger(availableNow=True)
+             .start())
+    finished = query.awaitTermination(timeout_s)
+    if not finished:
+        query.stop()
+        raise TimeoutError(f"running item stats did not finish within {timeout_s}s")
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return item_stats_snapshot(spark, sink_dir)
+
+
+def item_stats_snapshot(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """Latest (count, mean) per item from the per-batch update files."""
+    from pyspark.sql import functions as F
+
+    log = spark.read.schema("item_id int, n_ratings bigint, sum_rating double, batch_id bigint") \
+        .parquet(sink_dir)
+    latest = log.groupBy("item_id").agg(
+        F.max_by(F.struct("n_ratings", "sum_rating"), "batch_id").alias("s"))
+    return latest.select("item_id", F.col("s.n_ratings").alias("n_ratings"),
+                         (F.col("s.sum_rating") / F.col("s.n_ratings")).alias("avg_rating"))

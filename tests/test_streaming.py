@@ -28,3 +28,17 @@ def test_ingest_is_incremental_and_exactly_once(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, 10, 4.0), (1, 11, 3.0), (2, 12, 5.0)]
     # Nothing new: nothing appended.
     assert ingest_posted(spark, src, sink, ckpt).count() == 3
+
+
+def test_running_item_stats_across_restarts(spark):
+    from ratecraft.streaming import running_item_stats
+    root = scratch_path(spark, "stats-test").replace("file:", "")
+    src, sink, ckpt = f"{root}/in", f"{root}/out", f"{root}/ckpt"
+    _post(src, "a.json", [{"user_id": 1, "body": "10,4\n11,2"}, {"user_id": 2, "body": "10,2"}])
+    out = {r.item_id: (r.n_ratings, r.avg_rating) for r in
+           running_item_stats(spark, src, sink, ckpt).collect()}
+    assert out == {10: (2, 3.0), 11: (1, 2.0)}
+    _post(src, "b.json", [{"user_id": 3, "body": "10,5\n12,1"}])
+    out = {r.item_id: (r.n_ratings, r.avg_rating) for r in
+           running_item_stats(spark, src, sink, ckpt).collect()}
+    assert out == {10: (3, 11 / 3), 11: (1, 2.0), 12: (1, 1.0)}
