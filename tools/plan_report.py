@@ -16,7 +16,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from ratecraft.plans.catalog import QUERIES  # noqa: E402
 from ratecraft.session import local_session  # noqa: E402
 
-SKIP = {"als_rank_search", "als_select_best", "stream_ingest", "report_sink"}
+SKIP = {"als_rank_search", "als_select_best", "stream_ingest", "stream_item_stats",
+        "report_sink"}
 
 
 def summarise(plan: str) -> dict:
