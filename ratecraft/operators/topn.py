@@ -9,9 +9,9 @@
   into blocks of bounded size; block pair (ub, ib) meets in one cogroup where a
   numpy matmul scores it and keeps each user's best N. Every block pair is
   bounded (block sizes follow a memory budget and the factor rank), so memory
-  per task is fixed no matter how big either table grows; rows already rated travel to exactly the
-  one block pair they fall in and are masked there, so exclusion happens before
-  ranking with no over-fetch and no cap.
+  per task is fixed no matter how big either table grows. Rows already rated
+  travel to exactly the one block pair they fall in and are masked there, so
+  exclusion happens before ranking with no over-fetch and no cap.
 """
 
 from __future__ import annotations
