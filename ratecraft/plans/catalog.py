@@ -58,10 +58,6 @@ def _rated_pairs(spark, sf):
             .unionByName(_personal_positive(spark, sf).select("user_id", "item_id")))
 
 
-def _profile_factors(spark, sf):
-    return fx.user_factors(spark, sf).where(F.col("user_id") == fx.PERSONAL_USER)
-
-
 # ---- 1-2: parsing ------------------------------------------------------------
 
 def q_parse_ratings(spark, sf):
@@ -171,17 +167,19 @@ def q_score_requested(spark, sf):
 
 
 def q_top_n_global(spark, sf):
-    recs = rec.recommend(_profile_factors(spark, sf), fx.item_factors(spark, sf), TOP_N,
-                         candidates=q_candidate_items(spark, sf))
+    recs = rec.recommend_for_user(fx.PERSONAL_USER, fx.user_factors(spark, sf),
+                                  fx.item_factors(spark, sf), TOP_N,
+                                  candidates=q_candidate_items(spark, sf))
     return recs.select("user_id", "rank", "item_id", _r("score"))
 
 
 def q_popular_top_n(spark, sf):
     counts = _base_counts(spark, sf)
     items = _items(spark, sf)
-    recs = rec.recommend(_profile_factors(spark, sf), fx.item_factors(spark, sf), TOP_N,
-                         exclude=_rated_pairs(spark, sf), candidates=items,
-                         counts=counts, min_ratings=MIN_RATINGS)
+    rated = _rated_pairs(spark, sf).where(F.col("user_id") == fx.PERSONAL_USER)
+    recs = rec.recommend_for_user(fx.PERSONAL_USER, fx.user_factors(spark, sf),
+                                  fx.item_factors(spark, sf), TOP_N, exclude_items=rated,
+                                  candidates=items, counts=counts, min_ratings=MIN_RATINGS)
     out = rec.with_counts(rec.with_titles(recs, items), counts)
     return out.select("user_id", "rank", "item_id", "title", _r("score"), "n_ratings")
 
@@ -200,8 +198,9 @@ def q_unrated_top_n(spark, sf):
 
 def q_recommend_titles(spark, sf):
     items = _items(spark, sf)
-    recs = rec.recommend(_profile_factors(spark, sf), fx.item_factors(spark, sf), TOP_N,
-                         candidates=q_candidate_items(spark, sf))
+    recs = rec.recommend_for_user(fx.PERSONAL_USER, fx.user_factors(spark, sf),
+                                  fx.item_factors(spark, sf), TOP_N,
+                                  candidates=q_candidate_items(spark, sf))
     return rec.with_titles(recs, items).select("user_id", "rank", "item_id", "title",
                                                _r("score"))
 

@@ -10,7 +10,7 @@ from ..operators import sets, splits
 from ..sources import fixtures as fx
 from ..sources import text
 from . import train
-from .recommend import recommend, with_titles
+from .recommend import recommend_for_user, with_titles
 
 
 def recommend_for_profile(spark: SparkSession, sf_dir: str, n: int = 10,
@@ -23,6 +23,6 @@ def recommend_for_profile(spark: SparkSession, sf_dir: str, n: int = 10,
     model = train.fit(training)
     uf, itf = train.factors(model)
     candidates = sets.candidate_items(items, sets.excluded_items(personal))
-    recs = recommend(uf.where(F.col("user_id") == user_id), itf, n, candidates=candidates)
+    recs = recommend_for_user(user_id, uf, itf, n, candidates=candidates)
     return with_titles(recs, items).select("user_id", "rank", "item_id", "title",
                                            F.round("score", 6).alias("score"))

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.aggregates import eligible_items
-from ..functions.vectors import vector_dim
-from ..operators.topn import block_size, plan_blocks, top_n_by_dot
+from ..functions.vectors import dot, vector_dim
+from ..operators.topn import block_size, plan_blocks, top_n, top_n_by_dot
 
 
 def titles(items: DataFrame) -> DataFrame:
@@ -45,6 +45,38 @@ def recommend(user_factors: DataFrame, item_factors: DataFrame, n: int,
                         item_blocks=ni)
 
 
+def recommend_for_user(user_id: int, user_factors: DataFrame, item_factors: DataFrame, n: int,
+                       exclude_items: DataFrame | None = None,
+                       candidates: DataFrame | None = None, counts: DataFrame | None = None,
+                       min_ratings: int | None = None) -> DataFrame:
+    """``(user_id, rank, item_id, score)`` for one user, all in the JVM.
+
+    The user's vector is one row (a single-row action) and becomes literals in
+    an unrolled dot product over the item rows; eligibility and exclusion are
+    semi/anti-joins on item; the top N is one ordered limit
+    (TakeOrderedAndProject: a bounded heap per task, N rows per task merged).
+    An unknown user gets no rows.
+    """
+    row = (user_factors.where((F.col("user_id") == user_id) & F.col("features").isNotNull())
+           .select("features").first())
+    spark = item_factors.sparkSession
+    if row is None:
+        return spark.createDataFrame([], "user_id int, rank int, item_id int, score double")
+    vec = [float(x) for x in row["features"]]
+    items = item_factors
+    if candidates is not None:
+        items = items.join(candidates.select("item_id"), "item_id", "left_semi")
+    if min_ratings is not None:
+        items = items.join(eligible_items(counts, min_ratings), "item_id", "left_semi")
+    if exclude_items is not None:
+        items = items.join(exclude_items.select("item_id"), "item_id", "left_anti")
+    lit_vec = F.array(*[F.lit(v) for v in vec])
+    scored = items.where(F.col("features").isNotNull()).select(
+        F.lit(user_id).cast("int").alias("user_id"), "item_id",
+        dot("features", lit_vec, len(vec)).alias("score"))
+    return top_n(scored, n).select("user_id", "rank", "item_id", "score")
+
+
 def with_titles(recs: DataFrame, items: DataFrame) -> DataFrame:
     """Attach titles to ranked rows (N per user; items keep their own partitioning)."""
     return recs.join(titles(items), "item_id")
