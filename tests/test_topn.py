@@ -45,3 +45,23 @@ def test_fewer_items_than_n(spark):
 def test_global_top_n_ties_by_item(spark):
     df = spark.createDataFrame([(3, 1.0), (1, 1.0), (2, 5.0)], "item_id int, score double")
     assert [(r.rank, r.item_id) for r in top_n(df, 2).collect()] == [(1, 2), (2, 1)]
+
+
+def test_single_user_path_matches_block_path(spark):
+    from ratecraft.plans.recommend import recommend_for_user
+    rng = np.random.default_rng(11)
+    U = rng.integers(-3, 4, size=(5, 4)).astype(np.float32)
+    I = rng.integers(-3, 4, size=(40, 4)).astype(np.float32)
+    uf = spark.createDataFrame([(u, U[u].tolist()) for u in range(5)],
+                               "user_id int, features array<float>")
+    itf = spark.createDataFrame([(100 + i, I[i].tolist()) for i in range(40)],
+                                "item_id int, features array<float>")
+    rated = spark.createDataFrame([(2, 100 + i) for i in range(0, 40, 3)], "user_id int, item_id int")
+    cands = spark.createDataFrame([(100 + i,) for i in range(35)], "item_id int")
+    one = recommend_for_user(2, uf, itf, 7, exclude_items=rated.where("user_id = 2"),
+                             candidates=cands).collect()
+    blk = top_n_by_dot(uf.where("user_id = 2"), itf.join(cands, "item_id", "left_semi"), 7,
+                       exclude=rated, user_blocks=1, item_blocks=3).collect()
+    assert [(r.rank, r.item_id, r.score) for r in one] == \
+        sorted((r.rank, r.item_id, r.score) for r in blk)
+    assert recommend_for_user(99, uf, itf, 7).count() == 0
