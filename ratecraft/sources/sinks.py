@@ -15,3 +15,9 @@ def write_report(recs: DataFrame, path: str, fmt: str = "parquet",
         w = w.partitionBy(*partition_cols)
     w.format(fmt).save(path)
     return path
+
+
+def peek(df: DataFrame, n: int = 2) -> list:
+    """The first ``n`` rows for a look (``limit`` then collect: ``n`` rows reach
+    the driver, never the table)."""
+    return df.limit(n).collect()
