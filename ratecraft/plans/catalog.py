@@ -20,13 +20,16 @@ from . import recommend as rec
 from . import refresh as rf
 from . import train
 
-# Result sizes and the popularity floor of the original.
+# Result sizes and the popularity floor of the original
+# (top 10 recommendations, 5 per user by default, at least 25 ratings).
 TOP_N = 10
 TOP_N_PER_USER = 5
 MIN_RATINGS = 25
+
+# Our own parameters: the damping grid of the deterministic baseline model,
+# the window of "new" ratings for the refresh query, and result rounding.
 DAMPING_GRID = (0.0, 5.0, 10.0, 25.0, 50.0)
 REFRESH_WINDOW_DAYS = 30
-
 R6 = 6
 
 
