@@ -35,13 +35,14 @@ def main() -> None:
     spark = local_session(cpus)
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     times: dict[str, float] = {}
-    # Warm the JVM (JIT, ALS code paths, Python workers) once, untimed, on the
-    # smallest fixture when present: steady-state timings, not first-call ones.
-    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    # Warm the JVM (JIT, ALS code paths) and one Python worker per core once,
+    # untimed, on a smaller fixture when present: steady-state timings, not
+    # first-call ones.
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir
     _run(QUERIES["item_counts"](spark, warm_dir))
-    _run(QUERIES["als_rmse"](spark, warm_dir))
+    _run(QUERIES["als_recommend"](spark, warm_dir))
     _run(QUERIES["unrated_top_n"](spark, warm_dir))
     for name in (only or HEADLINE):
         t0 = time.perf_counter()
