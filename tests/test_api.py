@@ -35,3 +35,21 @@ def test_end_to_end_on_text_files(spark):
     assert top.groupBy("user_id").count().agg(F.max("count")).first()[0] <= 3
     asked = api.ratings_for_items(spark, model, 1, [2, 3, 999], it, counts).collect()
     assert sorted(x.item_id for x in asked) == [2, 3]   # 999 is unknown: no prediction
+
+
+def test_search_rank_and_pairwise_rmse(spark):
+    from pyspark.sql import functions as F
+    g = spark.range(60).select(F.col("id").cast("int").alias("user_id"),
+                               F.explode(F.sequence(F.lit(0), F.lit(39))).alias("item_id"))
+    g = g.withColumn("rating", ((F.col("user_id") % 7) * 0.5 + (F.col("item_id") % 5) * 0.3)
+                     .cast("double"))
+    k = (F.col("user_id") * 31 + F.col("item_id") * 17) % 10
+    tr, va = g.where(k < 6), g.where(k >= 8)
+    results, best, model = api.search_rank(tr, va, ranks=(2, 3))
+    rows = {r.rank: r.rmse for r in results.collect()}
+    assert set(rows) == {2, 3} and best == min(rows, key=lambda r: (rows[r], r))
+    one = api.compute_rmse(model, va).first()
+    # Add one copy of a held-out row: pairwise counts it 2 x 2.
+    dup = va.unionByName(va.limit(1))
+    pair = api.compute_rmse(model, dup, pairwise=True).first()
+    assert pair.n == one.n + 3
