@@ -32,7 +32,10 @@ def _run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = env_cpus(8)
-    spark = local_session(cpus)
+    log_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
+    # Optional event log (a scratch folder) for tools/stage_times.py.
+    spark = local_session(cpus, extra={"spark.eventLog.enabled": "true",
+                                       "spark.eventLog.dir": log_dir} if log_dir else None)
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     times: dict[str, float] = {}
     # Warm the JVM (JIT, ALS code paths) and one Python worker per core once,
@@ -45,6 +48,7 @@ def main() -> None:
     _run(QUERIES["als_recommend"](spark, warm_dir))
     _run(QUERIES["unrated_top_n"](spark, warm_dir))
     for name in (only or HEADLINE):
+        spark.sparkContext.setJobDescription(name)
         t0 = time.perf_counter()
         if name == "flagship":
             _run(recommend_for_profile(spark, sf_dir))
@@ -52,6 +56,7 @@ def main() -> None:
             _run(QUERIES[name](spark, sf_dir))
         times[name] = round(time.perf_counter() - t0, 3)
     if not only:
+        spark.sparkContext.setJobDescription("flagship")
         t0 = time.perf_counter()
         _run(recommend_for_profile(spark, sf_dir))
         times["flagship"] = round(time.perf_counter() - t0, 3)

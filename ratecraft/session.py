@@ -23,10 +23,10 @@ SCALE_CONF = {
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
-                  app: str = "ratecraft") -> SparkSession:
+                  app: str = "ratecraft", extra: dict | None = None) -> SparkSession:
     """A ``local[cpus]`` session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    for k, v in SCALE_CONF.items():
+    for k, v in {**SCALE_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions",
                              str(shuffle_partitions or cpus))
