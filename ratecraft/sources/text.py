@@ -8,6 +8,8 @@ and a rejects table ``(line, reason)`` instead.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType)
@@ -35,7 +37,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _split(line: Column, sep: str) -> Column:
     # Spark's split takes a regex; escape the separator.
-    import re
     return F.split(line, re.escape(sep))
 
 
