@@ -282,7 +282,7 @@ def q_als_select_best(spark, sf):
 def q_als_recommend(spark, sf):
     """Top-10 unrated, popular items for every user of the fitted model."""
     training, _ = _als_inputs(spark, sf)
-    model = train.fit(training)
+    model = train.fit_durable(training)
     uf, itf = train.factors(model)
     recs = rec.recommend(uf, itf, TOP_N, exclude=_rated_pairs(spark, sf),
                          counts=_base_counts(spark, sf), min_ratings=MIN_RATINGS)

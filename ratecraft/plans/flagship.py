@@ -20,7 +20,7 @@ def recommend_for_profile(spark: SparkSession, sf_dir: str, n: int = 10,
                                      "personal ratings")
     items = text.parse_items(fx.item_lines(spark, sf_dir))
     training = sets.training_union(splits.split(ratings)[0], personal)
-    model = train.fit(training)
+    model = train.fit_durable(training)
     uf, itf = train.factors(model)
     candidates = sets.candidate_items(items, sets.excluded_items(personal))
     recs = recommend_for_user(user_id, uf, itf, n, candidates=candidates)

@@ -25,7 +25,7 @@ def refresh(history: DataFrame, new: DataFrame, items: DataFrame, n: int = 10,
         training = training.select("user_id", "item_id", "rating")
     else:
         training = training_union(split(history.select(*cols))[0], new)
-    model = train.fit(training, rank=rank)
+    model = train.fit_durable(training, rank=rank)
     uf, itf = train.factors(model)
     users = new.select("user_id").distinct()
     uf = uf.join(users, "user_id", "left_semi")
