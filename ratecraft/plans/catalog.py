@@ -262,6 +262,27 @@ def q_als_rmse(spark, sf):
     return train.heldout_rmse(model, heldout).select("split", "n", _r("rmse"))
 
 
+def q_als_rmse_pairwise(spark, sf):
+    """The original error formulation on the fitted model: predictions joined
+    back to held-out rows on (user, item), k*k terms per pair rated k times."""
+    training, heldout = _als_inputs(spark, sf)
+    model = train.fit(training)
+    preds = train.predict(model, heldout)
+    return ev.rmse_pairwise(preds, heldout).select("split", "n", _r("rmse"))
+
+
+def q_als_score_requested(spark, sf):
+    """Requested (user, item) pairs (the posted requests) scored by the model,
+    with titles and rating counts."""
+    from .. import api
+    training, _ = _als_inputs(spark, sf)
+    model = train.fit(training)
+    requested = text.parse_posted(fx.posted_bodies(spark, sf)).select("user_id", "item_id")
+    out = api.score_requests(model, requested.distinct(), _items(spark, sf),
+                             _base_counts(spark, sf))
+    return out.select("user_id", "item_id", "title", _r("score"), "n_ratings")
+
+
 def q_als_score(spark, sf):
     training, heldout = _als_inputs(spark, sf)
     model = train.fit(training)
@@ -404,6 +425,8 @@ QUERIES = {
     "select_best": q_select_best,
     "als_rmse": q_als_rmse,
     "als_score": q_als_score,
+    "als_rmse_pairwise": q_als_rmse_pairwise,
+    "als_score_requested": q_als_score_requested,
     "als_rank_search": q_als_rank_search,
     "als_select_best": q_als_select_best,
     "als_recommend": q_als_recommend,
