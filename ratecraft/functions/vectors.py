@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+MAX_UNROLL = 256
+
 
 def vector_dim(df: DataFrame, col: str = "features") -> int:
     """Dimension of a factor column, read from one row (a single-row action)."""
@@ -23,6 +25,10 @@ def dot(a: Column | str, b: Column | str, dim: int | None = None) -> Column:
     """
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
+    if dim is not None and dim > MAX_UNROLL:
+        # Past a few hundred terms the unrolled expression outgrows codegen's
+        # method-size limit; the compact form stays compiled at any length.
+        dim = None
     if dim is None:
         prods = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
         return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
