@@ -34,3 +34,19 @@ def test_three_splits_partition_the_input(spark):
     assert tr.count() + va.count() + te.count() == base.count()
     # The split is a function of (user, item, ts): equal keys never straddle splits.
     assert tr.join(te, ["user_id", "item_id", "ts"], "left_semi").count() == 0
+
+
+def test_random_split_option_partitions_the_input(spark):
+    base = fx.base(spark, SF_SMALL)
+    parts = splits.split(base, "random")
+    assert len(parts) == 3 and sum(p.count() for p in parts) == base.count()
+
+
+def test_approx_rating_stats_close_to_exact(spark):
+    from ratecraft.operators.aggregates import rating_stats
+    base = fx.base(spark, SF_SMALL)
+    exact = rating_stats(base).first()
+    approx = rating_stats(base, approx=True).first()
+    assert approx.n_ratings == exact.n_ratings
+    assert abs(approx.n_users - exact.n_users) <= 0.05 * exact.n_users
+    assert abs(approx.n_items - exact.n_items) <= 0.05 * exact.n_items
