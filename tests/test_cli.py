@@ -35,3 +35,17 @@ def test_prepare_train_recommend_refresh(spark):
                  "--out", f"{root}/recs2"]) == 0
     users = {r.user_id for r in spark.read.parquet(f"{root}/recs2").collect()}
     assert users == {7, 8}
+
+
+def test_train_with_rank_search_writes_model_and_metrics(spark):
+    root = scratch_path(spark, "cli-search").replace("file:", "")
+    rows = [f"{u}::{i}::{(u * 3 + i) % 5 + 1}::{1000 + u * 17 + i}"
+            for u in range(1, 30) for i in range(1, 25) if (u + i) % 3]
+    _write(f"{root}/ratings", rows)
+    assert main(["prepare", "--ratings", f"{root}/ratings", "--out", f"{root}/table"]) == 0
+    assert main(["train", "--table", f"{root}/table", "--model", f"{root}/model", "--search",
+                 "--metrics", f"{root}/metrics"]) == 0
+    metrics = {r.split: r.n for r in spark.read.json(f"{root}/metrics").collect()}
+    assert set(metrics) == {"validation", "test"} and all(n > 0 for n in metrics.values())
+    from ratecraft.plans import train
+    assert train.load(f"{root}/model").rank in (4, 6, 8, 10, 12)
