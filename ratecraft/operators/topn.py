@@ -50,17 +50,18 @@ _BLOCK_OUT = StructType([
 ])
 
 
-def _empty_block() -> pd.DataFrame:
-    return pd.DataFrame({"user_id": pd.Series([], dtype="int32"),
-                         "item_id": pd.Series([], dtype="int32"),
-                         "score": pd.Series([], dtype="float64")})
-
-
 def _block_scorer(n: int, max_chunk: int = 512):
+    # The returned function runs in the Python workers. It refers only to
+    # numpy, pandas and plain values bound here, so it is shipped by value and
+    # executors need nothing from this package installed.
+    chunk_bytes = SCORE_CHUNK_BYTES
+
     def score_block(users: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         items = right[right["kind"] == 0]
         if users.empty or items.empty:
-            return _empty_block()
+            return pd.DataFrame({"user_id": pd.Series([], dtype="int32"),
+                                 "item_id": pd.Series([], dtype="int32"),
+                                 "score": pd.Series([], dtype="float64")})
         item_ids = items["item_id"].to_numpy(dtype=np.int64)
         imat = np.stack(items["features"].to_numpy()).astype(np.float64)
         user_ids = users["user_id"].to_numpy(dtype=np.int64)
@@ -76,7 +77,7 @@ def _block_scorer(n: int, max_chunk: int = 512):
             mask_cols = si.to_numpy()[ok].astype(np.int64)
         k = min(n, len(item_ids))
         # Users per score chunk: the chunk's float64 scores stay within budget.
-        chunk = int(max(16, min(max_chunk, SCORE_CHUNK_BYTES // (8 * len(item_ids)))))
+        chunk = int(max(16, min(max_chunk, chunk_bytes // (8 * len(item_ids)))))
         out_u, out_i, out_s = [], [], []
         for start in range(0, len(user_ids), chunk):
             stop = min(start + chunk, len(user_ids))
