@@ -22,8 +22,8 @@ print("ROWS", E.queries()["top_n_per_user"](spark, "/root/testdata/sf0.001").cou
 
 
 def test_workers_do_not_import_the_package():
-    with tempfile.TemporaryDirectory() as cwd:
-        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-        out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env,
-                             capture_output=True, text=True, timeout=600)
+    cwd = tempfile.mkdtemp(prefix="run-deploy-")   # a fresh folder, left in place
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env,
+                         capture_output=True, text=True, timeout=600)
     assert "ROWS 500" in out.stdout, out.stderr[-2000:]
