@@ -330,8 +330,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     per_key = Window.partitionBy("key")
     keys = docs.where("text is not null").select("text") \
         .mapInArrow(_keys(k, num, den, crowd), "key long, cls long, n long")
-    keys = written(keys.repartition("key").distinct()
-                   .withColumn("rows", F.count("*").over(per_key)).where("rows > 1"), "keys")
+    # The size band, on narrow rows: a class none of whose neighbours by size is
+    # near enough has no partner under this key.
+    by_size = per_key.orderBy("n", "cls")
+    keys = keys.repartition("key").distinct().select(
+        "key", "cls", "n", F.lag("n").over(by_size).alias("below"), F.lead("n").over(by_size).alias("above")) \
+        .where((F.col("below") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("above") * num))
+    keys = written(keys.select("key", "cls", "n", F.count("*").over(per_key).alias("rows")), "keys")
 
     # Large tiles against their hub: partners linked to it (tier 0), within
     # twice the threshold distance (tier 1: may link to those), or further.
@@ -359,9 +364,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     rows = keys.join(large, ["key", "cls"], "left") \
         .where((F.col("rows") < STAR) | F.col("tier").isNotNull()) \
         .select("key", "cls", F.coalesce("tier", F.lit(2)).alias("tier"))
-    rows = rows.join(classes, "cls").join(comps, F.col("cls") == F.col("node"), "left") \
-        .select("key", "cls", "n", "bits", "tier", F.coalesce("root", "cls").alias("comp"))
-    tiles = _tiles(rows).select("tile", "n", "cls", "comp", "tier", "side", "bits") \
+    about = classes.join(comps, F.col("cls") == F.col("node"), "left") \
+        .select("cls", "n", "bits", F.coalesce("root", "cls").alias("comp"))
+    tiles = _tiles(rows).select("tile", "cls", "tier", "side").join(about, "cls") \
+        .select("tile", "n", "cls", "comp", "tier", "side", "bits") \
         .repartition("tile").sortWithinPartitions("tile", "n", "cls")
     rest = written(tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct(), "candidates")
     second = _settled(docs, members, rest, k).where(is_link).select("a", "b")
