@@ -116,8 +116,23 @@ _BYTE_LOWER = _BYTE[_LOWER]
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def hash_words(data: np.ndarray, off: np.ndarray, lower: bool):
-    """Words of concatenated texts.
+#: Also cuts at ASCII punctuation and control characters.
+PLAIN = _WS.copy()
+PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = True
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Lower case for A-Z and, in UTF-8, for the capitals from U+00C0 to U+00DE."""
+    out = _LOWER[data].astype(np.uint8)
+    if len(data) > 1:
+        at = np.flatnonzero(data[:-1] == 0xC3) + 1
+        at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+        out[at] += 0x20
+    return out
+
+
+def hash_words(data: np.ndarray, off: np.ndarray, lower: bool, cut: np.ndarray = _WS):
+    """Words of concatenated texts; ``cut`` marks the bytes between words.
 
     Returns (64-bit hash of each word, byte start of each word, index of each
     text's first word with one more at the end).
@@ -125,7 +140,7 @@ def hash_words(data: np.ndarray, off: np.ndarray, lower: bool):
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    blank = _WS[data]
+    blank = cut[data]
     first = np.empty(n, bool)
     first[0] = True
     first[1:] = blank[:-1]

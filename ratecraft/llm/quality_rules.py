@@ -45,6 +45,8 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 #: Terms of the binomial sum that are added one by one; a geometric series
 #: bounds the rest from above.
 TERMS = 2000
+#: Repeated windows of a text that are looked up one by one.
+FEW = 16
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -62,20 +64,29 @@ def measured(docs: DataFrame) -> DataFrame:
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_hashes": F.transform("_words", lambda x: F.xxhash64(x)),
+        "_windows": F.expr(
+            "CASE WHEN size(_words) >= 3 THEN transform(sequence(0, size(_words) - 3),"
+            " i -> xxhash64(_words[i], _words[i + 1], _words[i + 2]))"
+            " ELSE cast(array() AS array<bigint>) END"),
     }).drop("_words", "_lines")
-    d = d.withColumn("_windows", F.expr(
-        "CASE WHEN size(_hashes) >= 3 THEN transform(sequence(0, size(_hashes) - 3),"
-        " i -> xxhash64(_hashes[i], _hashes[i + 1], _hashes[i + 2]))"
-        " ELSE cast(array() AS array<bigint>) END")).drop("_hashes")
-    # Only texts with a repeated window are sorted.
+    # Only texts with a repeated window go on: which hashes come twice, then
+    # where they are. Few such hashes are looked up one by one; for many, the
+    # windows are sorted with their places.
     d = d.withColumn("_sorted", F.expr(
-        "CASE WHEN size(array_distinct(_windows)) < size(_windows) THEN"
-        " sort_array(transform(_windows, (x, i) -> struct(x AS h, i AS i))) END")).drop("_windows")
+        "CASE WHEN size(array_distinct(_windows)) < size(_windows) THEN sort_array(_windows) END"))
+    d = d.withColumn("_twice", F.expr(
+        "array_distinct(filter(_sorted, (x, j) -> j > 0 AND _sorted[greatest(j - 1, 0)] = x))")).drop("_sorted")
+    d = d.withColumn("_placed", F.expr(
+        f"CASE WHEN size(_twice) > {FEW} THEN"
+        " sort_array(transform(_windows, (x, i) -> struct(x AS h, i AS i))) END"))
     d = d.withColumn("_at", F.expr(
-        "sort_array(transform(filter(transform(_sorted, (x, j) -> struct(x.i AS i,"
-        " (j > 0 AND _sorted[greatest(j - 1, 0)].h = x.h) OR (j < size(_sorted) - 1 AND"
-        " _sorted[least(j + 1, size(_sorted) - 1)].h = x.h) AS twice)), x -> x.twice), x -> x.i))")).drop("_sorted")
+        f"CASE WHEN size(_twice) <= {FEW} THEN"
+        " filter(sequence(0, size(_windows) - 1), i -> array_contains(_twice, _windows[i]))"
+        " WHEN _placed IS NOT NULL THEN"
+        " sort_array(transform(filter(_placed, (x, j) ->"
+        " (j > 0 AND _placed[greatest(j - 1, 0)].h = x.h) OR (j < size(_placed) - 1 AND"
+        " _placed[least(j + 1, size(_placed) - 1)].h = x.h)), x -> x.i)) END")) \
+        .drop("_windows", "_twice", "_placed")
     return d.withColumn("n_repeat_words", F.expr(
         "coalesce(aggregate(_at, struct(0L AS n, -3 AS last),"
         " (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n), 0L)")).drop("_at")

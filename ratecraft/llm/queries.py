@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from ratecraft.llm import jaccard
+from ratecraft.llm import decontaminate, jaccard, mixing, quality_rules, sharding
 from ratecraft.llm.common import load
 
 
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_join(load(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark, sf_dir):
+    return mixing.mix_report(load(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark, sf_dir):
+    return sharding.shard_report(load(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op8_mixing": op8_mixing,
+    "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {}
