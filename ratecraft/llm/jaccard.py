@@ -15,7 +15,8 @@ at least ``num / den``. The steps, each one a Spark job over all rows:
    count of the two bitmaps' difference bounds the overlap from above:
    ``|A & B| <= (|A| + |B| - bits(A xor B)) / 2``. Tiles of one key above
    ``TILE`` rows are dealt into pairs of blocks, so no task holds a hot key.
-4. Pairs that pass are settled exactly by intersecting the sorted sets.
+4. Pairs that pass are settled exactly by intersecting the sorted sets; pairs
+   of classes already found in one component are spared.
 
 Large groups of near copies are contracted first: each class of a tile with
 ``STAR`` or more rows is settled against the tile's smallest class. Jaccard
@@ -58,7 +59,7 @@ CELLS = 1 << 18
 #: Rows of a tile side; a key with more rows is dealt into pairs of blocks.
 TILE = 1024
 #: A tile with so many rows is first settled against its hub.
-STAR = 16
+STAR = 256
 
 
 def _sets(col, k):
@@ -240,7 +241,7 @@ def _tile_pairs(num, den):
 LOOKUP_BITS = 1 << 23
 
 
-def _texts_of(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, described: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(cls, text) of each class in ``pairs``: the text of one row of it.
 
     A bit table of ``LOOKUP_BITS`` (at most 131,072 rows, so safe to broadcast)
@@ -257,42 +258,61 @@ def _texts_of(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFr
     rows = (rows.withColumn("slot", (slot / 64).cast("int")).join(F.broadcast(table), "slot")
             .where((F.col("bits").bitwiseAND(bit)) != 0).select("doc_id", "text"))
     found = owner.alias("o").join(rows.alias("r"), F.expr("o.doc_id <=> r.doc_id")).select("o.cls", "r.text")
-    return found
+    return written(found.mapInArrow(_one_text_a_class(k), "cls long, text string"), "texts")
 
 
 def _one_text_a_class(k):
-    """Keep rows whose text is of the class asked for (ids may repeat), once a task run."""
+    """Keep rows whose text is of the class asked for (ids may repeat), each
+    class once a task."""
 
     def run(batches):
+        seen = set()
         for b in batches:
             want = b.column("cls").to_numpy()
-            keep = [i for i, s in _sets(b.column("text"), k)
-                    if as_long(np.array([_class_of(s)]))[0] == want[i]]
+            keep = []
+            for i, s in _sets(b.column("text"), k):
+                if want[i] not in seen and as_long(np.array([_class_of(s)]))[0] == want[i]:
+                    seen.add(want[i])
+                    keep.append(i)
             if keep:
                 yield b.take(pa.array(keep))
 
     return run
 
 
-def _settled(docs, described, pairs, k) -> DataFrame:
-    """Exact overlap of each candidate pair: (a, b, shared, na, nb)."""
-    texts = _texts_of(docs, described, pairs).mapInArrow(_one_text_a_class(k), "cls long, text string")
-    texts = written(texts.groupBy("cls").agg(F.min("text").alias("text")), "texts")
-    hubs = pairs.select("a").distinct().join(texts, F.col("a") == F.col("cls"))
-    rows = (pairs.join(texts, F.col("b") == F.col("cls")).select("a", "b", F.lit(1).alias("kind"), "text")
-            .unionByName(hubs.select("a", F.col("a").alias("b"), F.lit(0).alias("kind"), "text")))
-    # A hub with many partners meets them in several slices, each with its own copy of the hub.
-    slices = 16
-    crowded = pairs.groupBy("a").count().where("count >= 1024").select(F.col("a").alias("c"))
-    rows = rows.join(crowded, F.col("a") == F.col("c"), "left")
-    split = F.when(F.col("c").isNull(), F.array(F.lit(0))).when(
-        F.col("kind") == 0, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(
-        F.array(F.pmod(F.xxhash64("b"), F.lit(slices)).cast("int")))
-    rows = rows.withColumn("slice", F.explode(split)).repartition("a", "slice") \
+#: Partners that meet their hub in one place; a hub with more has several.
+SLICE = 256
+
+
+def _settled(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Exact overlap of each candidate pair: (a, b, shared, na, nb). Pairs are
+    dealt into slices while narrow; then each text travels once a slice."""
+    crowded = pairs.groupBy("a").count().where(F.col("count") > SLICE) \
+        .select(F.col("a").alias("c"), F.ceil(F.col("count") / SLICE).alias("slices"))
+    dealt = written(pairs.join(crowded, F.col("a") == F.col("c"), "left").select(
+        "a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("slices")), F.lit(0)).alias("slice")), "dealt")
+    wanted = dealt.select("a", "slice", "b", F.lit(1).alias("kind")).unionByName(
+        dealt.select("a", "slice", F.col("a").alias("b"), F.lit(0).alias("kind")).distinct())
+    rows = wanted.join(texts, F.col("b") == F.col("cls")).repartition("a", "slice") \
         .sortWithinPartitions("a", "slice", "kind", "b").select("a", "b", "kind", "text")
     return rows.mapInArrow(_settle(k), "a long, b long, shared long, na long, nb long")
 
 
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes are not in one component yet."""
+    x = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    y = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    return pairs.join(x, "a", "left").join(y, "b", "left") \
+        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _forest(pairs: DataFrame) -> DataFrame:
+    """Each class with its smallest partner: enough to join most groups."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy("a").agg(F.min("b").alias("b")) \
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _tiles(rows: DataFrame) -> DataFrame:
     """Deal (key, n, cls, ...) into tiles of bounded size.
 
@@ -346,7 +366,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     far_num = max(0, 2 * num - den)
     sides = star.where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     pairs = written(_bounded(sides, classes, far_num, den), "star")
-    hub_links = _settled(docs, members, pairs, k).where(
+    hub_texts = _texts_of(docs, members, pairs, k)
+    hub_links = _settled(hub_texts, pairs, k).where(
         (den + far_num) * F.col("shared") >= far_num * (F.col("na") + F.col("nb")))
     hub_links = written(hub_links, "hublinks")
     is_link = (den + num) * F.col("shared") >= num * (F.col("na") + F.col("nb"))
@@ -370,10 +391,19 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         .select("tile", "n", "cls", "comp", "tier", "side", "bits") \
         .repartition("tile").sortWithinPartitions("tile", "n", "cls")
     rest = written(tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct(), "candidates")
-    second = _settled(docs, members, rest, k).where(is_link).select("a", "b")
-    links = written(first.unionByName(second), "alllinks")
+    # Pairs inside a component say nothing new. Two rounds settle one pair a
+    # class, which joins most groups; the last settles all that is left.
+    texts, links, roots = _texts_of(docs, members, rest, k), first, comps
+    for last in (False, False, True):
+        if rest.isEmpty():
+            break
+        now = rest if last else written(_forest(rest), "forest")
+        more = written(_settled(texts, now, k).where(is_link).select("a", "b"), "links")
+        links = links.unionByName(more)
+        roots = written(components(links), "roots")
+        if not last:
+            rest = written(_across(rest.join(now, ["a", "b"], "left_anti"), roots), "rest")
 
-    roots = components(links)
     placed = members.join(roots, members["cls"] == roots["node"], "left") \
         .withColumn("root", F.coalesce("root", "cls"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
