@@ -173,12 +173,12 @@ def _settle(k):
         for b in batches:
             out = []
             a, other, kind = (b.column(c).to_numpy() for c in ("a", "b", "kind"))
-            sets = dict(_sets(b.column("text"), k))
-            for i in range(b.num_rows):
+            for i, s in _sets(_unzipped(b.column("zipped")), k):
+                if as_long(np.array([_class_of(s)]))[0] != other[i]:
+                    continue  # another text with the same id
                 if kind[i] == 0:
-                    hub, hub_set = a[i], sets[i]
+                    hub, hub_set = a[i], s
                 elif hub == a[i]:
-                    s = sets[i]
                     shared = len(np.intersect1d(hub_set, s, assume_unique=True))
                     out.append((a[i], other[i], shared, len(hub_set), len(s)))
             if out:
@@ -241,50 +241,50 @@ def _tile_pairs(num, den):
 LOOKUP_BITS = 1 << 23
 
 
-def _texts_of(docs: DataFrame, described: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(cls, text) of each class in ``pairs``: the text of one row of it.
+def _zipped(batches):
+    """(id, compressed text), equal rows once a task."""
+    seen = set()
+    for b in batches:
+        out = []
+        for i, text in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            z = len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+            mark = (i, hash(z))
+            if mark not in seen:
+                seen.add(mark)
+                out.append((i, z))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()),
+                                              pa.array([r[1] for r in out], pa.binary())], names=["id", "zipped"])
 
-    A bit table of ``LOOKUP_BITS`` (at most 131,072 rows, so safe to broadcast)
-    drops most other rows before the exact join; it never drops a wanted one.
-    """
-    need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    owner = (described.where("n > 0").join(need, "cls", "left_semi")
-             .groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(LOOKUP_BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {LOOKUP_BITS}) % 64 as int))")
-    table = owner.select((slot / 64).cast("int").alias("slot"), bit.alias("bit")) \
-        .groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits"))
-    rows = docs.select("doc_id", "text").where("text is not null")
-    rows = (rows.withColumn("slot", (slot / 64).cast("int")).join(F.broadcast(table), "slot")
-            .where((F.col("bits").bitwiseAND(bit)) != 0).select("doc_id", "text"))
-    found = owner.alias("o").join(rows.alias("r"), F.expr("o.doc_id <=> r.doc_id")).select("o.cls", "r.text")
-    return written(found.mapInArrow(_one_text_a_class(k), "cls long, text string"), "texts")
 
+def _unzipped(col):
+    return pa.array([pa.decompress(z[8:], decompressed_size=int.from_bytes(z[:8], "little"), codec="zstd",
+                                   asbytes=True) for z in col.to_pylist()], pa.large_binary())
 
-def _one_text_a_class(k):
-    """Keep rows whose text is of the class asked for (ids may repeat), each
-    class once a task."""
 
-    def run(batches):
-        seen = set()
-        for b in batches:
-            want = b.column("cls").to_numpy()
-            keep = []
-            for i, s in _sets(b.column("text"), k):
-                if want[i] not in seen and as_long(np.array([_class_of(s)]))[0] == want[i]:
-                    seen.add(want[i])
-                    keep.append(i)
-            if keep:
-                yield b.take(pa.array(keep))
+def _texts_for(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with ``zipped``, the text of a row of class ``b`` (also of
+    other rows with that id: the reader checks the class).
 
-    return run
+    A bit table of ``LOOKUP_BITS`` (at most 131,072 rows, so safe to broadcast)
+    drops most other rows before the exact join; it never drops a wanted one.
+    """
+    owner = members.where("n > 0").join(wanted.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi") \
+        .groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("id"))
+    k, bit = F.pmod(F.xxhash64("id"), F.lit(LOOKUP_BITS)), F.expr("shiftleft(1L, cast(pmod(k, 64) as int))")
+    table = owner.select(k.alias("k")).select((F.col("k") / 64).cast("int").alias("slot"), bit.alias("bit")) \
+        .groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits"))
+    rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(0)).alias("id"), "text") \
+        .withColumn("k", k).withColumn("slot", (F.col("k") / 64).cast("int")).join(F.broadcast(table), "slot") \
+        .where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text").mapInArrow(_zipped, "id long, zipped binary")
+    return wanted.join(owner.withColumnRenamed("cls", "b"), "b").join(rows, "id").drop("id")
 
 
 #: Partners that meet their hub in one place; a hub with more has several.
 SLICE = 256
 
 
-def _settled(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _settled(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Exact overlap of each candidate pair: (a, b, shared, na, nb). Pairs are
     dealt into slices while narrow; then each text travels once a slice."""
     crowded = pairs.groupBy("a").count().where(F.col("count") > SLICE) \
@@ -293,8 +293,8 @@ def _settled(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         "a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("slices")), F.lit(0)).alias("slice")), "dealt")
     wanted = dealt.select("a", "slice", "b", F.lit(1).alias("kind")).unionByName(
         dealt.select("a", "slice", F.col("a").alias("b"), F.lit(0).alias("kind")).distinct())
-    rows = wanted.join(texts, F.col("b") == F.col("cls")).repartition("a", "slice") \
-        .sortWithinPartitions("a", "slice", "kind", "b").select("a", "b", "kind", "text")
+    rows = _texts_for(docs, members, wanted).repartition("a", "slice") \
+        .sortWithinPartitions("a", "slice", "kind", "b").select("a", "b", "kind", "zipped")
     return rows.mapInArrow(_settle(k), "a long, b long, shared long, na long, nb long")
 
 
@@ -366,8 +366,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     far_num = max(0, 2 * num - den)
     sides = star.where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     pairs = written(_bounded(sides, classes, far_num, den), "star")
-    hub_texts = _texts_of(docs, members, pairs, k)
-    hub_links = _settled(hub_texts, pairs, k).where(
+    hub_links = _settled(docs, members, pairs, k).where(
         (den + far_num) * F.col("shared") >= far_num * (F.col("na") + F.col("nb")))
     hub_links = written(hub_links, "hublinks")
     is_link = (den + num) * F.col("shared") >= num * (F.col("na") + F.col("nb"))
@@ -393,12 +392,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     rest = written(tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct(), "candidates")
     # Pairs inside a component say nothing new. Two rounds settle one pair a
     # class, which joins most groups; the last settles all that is left.
-    texts, links, roots = _texts_of(docs, members, rest, k), first, comps
+    links, roots = first, comps
     for last in (False, False, True):
         if rest.isEmpty():
             break
         now = rest if last else written(_forest(rest), "forest")
-        more = written(_settled(texts, now, k).where(is_link).select("a", "b"), "links")
+        more = written(_settled(docs, members, now, k).where(is_link).select("a", "b"), "links")
         links = links.unionByName(more)
         roots = written(components(links), "roots")
         if not last:
