@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
-from ratecraft.llm import decontaminate, jaccard, mixing, quality_rules, sharding
+from ratecraft.llm import (
+    classifier,
+    decontaminate,
+    jaccard,
+    mixing,
+    quality_rules,
+    repeats,
+    sharding,
+    token_files,
+    warc_archive,
+)
 from ratecraft.llm.common import load
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return repeats.removal_report(load(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    return token_files.token_report(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_quality_classifier(spark, sf_dir):
+    return classifier.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_join(load(spark, sf_dir, "documents"))
 
 
+def op6_warc_archive(spark, sf_dir):
+    return warc_archive.archive_report(load(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_report(load(spark, sf_dir, "documents"))
 
@@ -27,8 +55,12 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_files": op3_token_files,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_warc_archive": op6_warc_archive,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
