@@ -133,7 +133,7 @@ def machine(model, row, feat, value, n):
         at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         total[row[at]] = np.add.reduceat(xv, at, axis=0)
         square[row[at]] = np.add.reduceat(xv * xv, at, axis=0)
-    linear = np.bincount(row, w[feat] * value, minlength=n)
+    linear = np.bincount(row, w[feat] * value, minlength=n).astype(np.float64)
     return b + linear + 0.5 * (total * total - square).sum(axis=1), total
 
 
