@@ -47,8 +47,12 @@ SEED = 20_240_603
 END = np.uint64(0)
 #: Words that a task adds up before it sends them.
 COUNTED = 1 << 19
-#: Tokens of a row of class sequences, and of a batch in the recursions.
-PACK = 1 << 18
+#: Tokens of a row of class sequences. The sequences of a row advance together,
+#: so those above ``LONG`` tokens have rows of their own.
+PACK = 1 << 20
+LONG = 2048
+#: Chance to stay in a state that training starts from.
+STAY = 0.99
 #: Start of the classes' and transitions' counts (Dirichlet).
 PRIOR = 0.1
 
@@ -95,14 +99,14 @@ def class_of(h: np.ndarray) -> np.ndarray:
 
 
 def _pack(batches):
-    part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+    part, seq, held, size = TaskContext.get().partitionId(), 0, {False: [], True: []}, {False: 0, True: 0}
 
-    def row():
+    def row(rows):
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([[k for k, _, _ in held]], pa.list_(pa.int64())),
-             pa.array([np.array([t for _, t, _ in held], bool).tobytes()], pa.binary()),
-             pa.array([np.array([len(s) for _, _, s in held], np.int64).tobytes()], pa.binary()),
-             pa.array([np.concatenate([s for _, _, s in held]).astype(np.uint16).tobytes()], pa.binary())],
+            [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([[k for k, _, _ in rows]], pa.list_(pa.int64())),
+             pa.array([np.array([t for _, t, _ in rows], bool).tobytes()], pa.binary()),
+             pa.array([np.array([len(s) for _, _, s in rows], np.int64).tobytes()], pa.binary()),
+             pa.array([np.concatenate([s for _, _, s in rows]).astype(np.uint16).tobytes()], pa.binary())],
             names=["part", "seq", "keys", "train", "sizes", "classes"])
 
     for b in batches:
@@ -111,13 +115,16 @@ def _pack(batches):
             cls = class_of(h)
             for i in range(lo, hi):
                 s = np.append(cls[woff[i - lo]:woff[i - lo + 1]], CLASSES)
-                if held and size + len(s) > PACK:
-                    yield row()
-                    held, size, seq = [], 0, seq + 1
-                held.append((int(key[i]), bool(train[i]), s))
-                size += len(s)
-    if held:
-        yield row()
+                long = len(s) > LONG
+                if held[long] and size[long] + len(s) > PACK:
+                    yield row(held[long])
+                    held[long], size[long], seq = [], 0, seq + 1
+                held[long].append((int(key[i]), bool(train[i]), s))
+                size[long] += len(s)
+    for rows in held.values():
+        if rows:
+            yield row(rows)
+            seq += 1
 
 
 def _sequences(r):
@@ -139,11 +146,11 @@ def forward(model, size, cls, off):
     order, at, live = _in_step(size, off)
     alpha = np.empty((len(cls), len(start)))
     scale = np.empty(len(cls))
-    a = None
-    for t, n in enumerate(live):
+    a, ones = None, np.ones(len(start))
+    for t, n in enumerate(live.tolist()):
         i = at[:n] + t
-        a = (start if t == 0 else a[:n] @ move) * emit[cls[i]]
-        s = a.sum(axis=1)
+        a = (start if t == 0 else a[:n] @ move) * emit.take(cls.take(i), axis=0)
+        s = a @ ones
         a /= s[:, None]
         alpha[i] = a
         scale[i] = s
@@ -160,18 +167,21 @@ def expected(model, size, cls, off):
     gamma = np.empty_like(alpha)
     moves = np.zeros((k, k))
     n_all = len(size)
-    length = size[order]
     beta = np.ones((n_all, k))
+    back = np.ascontiguousarray(move.T)
+    weight = emit.take(cls, axis=0) / scale[:, None]
+    live, inner = live.tolist(), 0
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
         i = at[:n] + t
-        inner = live[t + 1] if t + 1 < len(live) else 0  # sequences with a token after this
-        if inner:
-            j = at[:inner] + t + 1
-            after = emit[cls[j]] * beta[:inner] / scale[j][:, None]
-            moves += alpha[i[:inner]].T @ after
-            beta[:inner] = after @ move.T
-        gamma[i] = alpha[i] * beta[:n]
+        if inner:  # sequences with a token after this one
+            after = weight.take(i[:inner] + 1, axis=0)
+            after *= beta[:inner]
+            moves += alpha.take(i[:inner], axis=0).T @ after
+            beta[:inner] = after @ back
+        gamma[i] = beta[:n]
+        inner = n
+    gamma *= alpha
     moves *= move
     emits = np.stack([np.bincount(cls, gamma[:, s], minlength=CLASSES + 1) for s in range(k)], axis=1)
     starts = gamma[off[:-1]].sum(axis=0) if n_all else np.zeros(k)
@@ -215,8 +225,9 @@ def _add(batches):
 def _starting_model():
     rng = np.random.default_rng(SEED)
     start = np.full(STATES, 1 / STATES)
-    move = rng.dirichlet(np.full(STATES, 4.0), STATES)
-    emit = rng.gamma(2.0, 1.0, (CLASSES + 1, STATES)) + 0.1
+    move = np.full((STATES, STATES), (1 - STAY) / (STATES - 1))
+    np.fill_diagonal(move, STAY)
+    emit = rng.gamma(1.0, 1.0, (CLASSES + 1, STATES)) + 0.1
     return start, move, emit / emit.sum(axis=0)
 
 

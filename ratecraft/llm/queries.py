@@ -5,6 +5,7 @@ from __future__ import annotations
 from ratecraft.llm import (
     classifier,
     decontaminate,
+    hmm,
     jaccard,
     mixing,
     quality_rules,
@@ -42,6 +43,10 @@ def op6_warc_archive(spark, sf_dir):
     return warc_archive.archive_report(load(spark, sf_dir, "pages"))
 
 
+def op7_hmm_scores(spark, sf_dir):
+    return hmm.hmm_scores(load(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_report(load(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_warc_archive": op6_warc_archive,
+    "op7_hmm_scores": op7_hmm_scores,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
