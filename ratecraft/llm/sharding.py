@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ratecraft.llm.common import ship_by_value
+from ratecraft.llm.common import ship_by_value, written
 from ratecraft.session import scratch_path
 
 SHARDS = 24
@@ -95,38 +95,48 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     out.sortWithinPartitions("shard", "bucket", "place").write.partitionBy("shard").parquet(path)
 
 
-def read_shards(spark, path: str, schema) -> DataFrame:
+#: Buckets whose offsets may be sent to every executor.
+MOST_BUCKETS = 1_000_000
+
+
+def read_shards(spark, path: str, schema, keep=None) -> DataFrame:
     """The rows of written shards with ``shard`` and ``slot``; ``schema``: of
-    the documents."""
+    the documents. ``keep``: what to make of their columns, before the join
+    with the offsets, so that it moves no texts."""
     fields = [f for f in schema.fields if f.name.lower() not in ADDED]
-    full = type(schema)(fields).add("bucket", "integer").add("place", "long").add("shard", "integer")
+    full = StructType([*fields, StructField("bucket", IntegerType()), StructField("place", LongType()),
+                       StructField("shard", IntegerType())])
     rows = spark.read.schema(full).parquet(path)
     counts = rows.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    offsets = written(counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")),
+                      "offsets")
+    if offsets.count() <= MOST_BUCKETS:
+        offsets = F.broadcast(offsets)
+    rows = rows.select(*([F.col(f"`{f.name}`") for f in fields] if keep is None else keep), "shard", "bucket", "place")
     return rows.join(offsets, ["shard", "bucket"]).withColumn("slot", F.col("offset") + F.col("place")) \
         .drop("offset", "place", "bucket")
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, keep=None) -> DataFrame:
     """Write ``docs`` into shards below the shared folder and read them back."""
     spark = docs.sparkSession
     path = scratch_path(spark, "shards")
     write_shards(docs, path, shards)
-    return read_shards(spark, path, docs.schema)
+    return read_shards(spark, path, docs.schema, keep)
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of each row,
     from the files."""
-    d = sharded(docs.select("doc_id", "text"), shards)
     text = F.coalesce(F.col("text"), F.lit(""))
+    d = sharded(docs.select("doc_id", "text"), shards, [
+        F.col("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32")])
     # With one more shard a row either stays or goes to the new one.
     grown = F.when(_score(F.lit(shards)) > _score(F.col("shard")), F.lit(shards)).otherwise(F.col("shard"))
-    narrow = d.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
-                      F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
-                      F.col("shard"), F.col("slot"), grown.cast("int").alias("grown_shard"))
-    return narrow
+    return d.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+                    grown.cast("int").alias("grown_shard"))
 
 
 ship_by_value(__name__)
