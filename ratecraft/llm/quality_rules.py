@@ -143,9 +143,8 @@ def tests(rows: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
 
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """One row a stratum with a column ``cut_<rule>`` each (null: none holds)."""
-    t = tests(rows, labels, risk)
-    m = t.agg(F.count("*").alias("m"))
-    held = t.join(F.broadcast(m)).where(f"p * m <= {error!r}")  # one row
+    t = written(tests(rows, labels, risk), "tests")
+    held = t.where(F.col("p") * t.count() <= error)
     best = [(F.min if spec[2] > 0 else F.max)(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}")
             for r, spec in RULES.items()]
     return held.groupBy("stratum").agg(*best)
