@@ -13,7 +13,8 @@ at least ``num / den``. The steps, each one a Spark job over all rows:
 3. Tiles: the classes of one key, sorted by size. Pairs whose sizes differ by
    more than the threshold allows are not formed (the size band), and the bit
    count of the two bitmaps' difference bounds the overlap from above:
-   ``|A & B| <= (|A| + |B| - bits(A xor B)) / 2``. Tiles of one key above
+   ``|A & B| <= (|A| + |B| - bits(A xor B)) / 2``, first with bitmaps folded to
+   ``BITS``, then, a pair once, with the whole ones. Tiles of one key above
    ``TILE`` rows are dealt into pairs of blocks, so no task holds a hot key.
 4. Pairs that pass are settled exactly by intersecting the sorted sets; pairs
    of classes already found in one component are spared.
@@ -52,7 +53,8 @@ from ratecraft.llm.common import (
 )
 from ratecraft.llm.components import components
 
-#: Bits of a signature, as longs of 64.
+#: Bits of the folded signature that travels with every tile row, and the
+#: least of a whole one.
 BITS = 512
 #: Cells of the table that orders shingles by how common they are.
 CELLS = 1 << 18
@@ -76,14 +78,23 @@ def _class_of(s: np.ndarray) -> np.uint64:
     return mix64(np.array([np.add.reduce(spread) + np.uint64(len(s))], np.uint64))[0]
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1)
-                       .astype(np.uint8), bitorder="little").tobytes()
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit a shingle or more (a power of two), as words of 64."""
+    width = max(BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(words: np.ndarray, n: int = BITS // 64) -> np.ndarray:
+    while len(words) > n:
+        words = words[:len(words) // 2] ^ words[len(words) // 2:]
+    return words
 
 
 def _describe(k):
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()),
-                        ("cls", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("cells", pa.binary())])
+                        ("cls", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()),
+                        ("wide", pa.binary()), ("cells", pa.binary())])
 
     def run(batches):
         cells = np.zeros(CELLS, np.int64)
@@ -91,20 +102,23 @@ def _describe(k):
         for b in batches:
             seen = True
             m = b.num_rows
-            cls, n, bits = np.zeros(m, np.int64), np.zeros(m, np.int64), [None] * m
+            cls, n, bits, wide = np.zeros(m, np.int64), np.zeros(m, np.int64), [None] * m, [None] * m
             for i, s in _sets(b.column("text"), k):
-                cls[i], n[i], bits[i] = as_long(np.array([_class_of(s)]))[0], len(s), _bitmap(s)
+                w = _bitmap(s)
+                cls[i], n[i] = as_long(np.array([_class_of(s)]))[0], len(s)
+                bits[i], wide[i] = _folded(w).tobytes(), w.tobytes()
                 cells += np.bincount((s >> np.uint64(46)).astype(np.int64), minlength=CELLS) \
                     if len(s) > CELLS // 8 else 0
                 if len(s) <= CELLS // 8:
                     np.add.at(cells, (s >> np.uint64(46)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(m, pa.int64()), b.column("doc_id").cast(pa.int64()), b.column("text_key"),
-                 pa.array(cls), pa.array(n), pa.array(bits, pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
+                 pa.array(cls), pa.array(n), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()),
+                 pa.nulls(m, pa.binary())], schema=schema)
         if seen:
             parts = cells.astype(np.float32).reshape(64, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(64)), *[pa.nulls(64, pa.int64())] * 4, pa.nulls(64, pa.binary()),
+                [pa.array(np.arange(64)), *[pa.nulls(64, pa.int64())] * 4, *[pa.nulls(64, pa.binary())] * 2,
                  pa.array([x.tobytes() for x in parts], pa.binary())], schema=schema)
 
     return run
@@ -170,7 +184,7 @@ def _settle(k):
 
     def run(batches):
         hub, hub_set = None, None
-        for b in batches:
+        for b in (whole.slice(lo, 128) for whole in batches for lo in range(0, whole.num_rows, 128)):
             out = []
             a, other, kind = (b.column(c).to_numpy() for c in ("a", "b", "kind"))
             for i, s in _sets(_unzipped(b.column("zipped")), k):
@@ -244,7 +258,7 @@ LOOKUP_BITS = 1 << 23
 def _zipped(batches):
     """(id, compressed text), equal rows once a task."""
     seen = set()
-    for b in batches:
+    for b in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
         out = []
         for i, text in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
             z = len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
@@ -341,11 +355,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     described = written(docs.withColumn("text_key", _text_key()).mapInArrow(
-        _describe(k), "row long, doc_id long, text_key long, cls long, n long, bits binary, cells binary"), "sets")
+        _describe(k), "row long, doc_id long, text_key long, cls long, n long, bits binary, wide binary, cells binary"),
+        "sets")
     crowd = spark.sparkContext.broadcast(_crowding(described))
-    members = described.where("row is null").select("doc_id", "text_key", "cls", "n", "bits")
-    classes = written(members.where("n > 0").groupBy("cls")
-                      .agg(F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+    members = described.where("row is null").select("doc_id", "text_key", "cls", "n")
+    classes = written(described.where("n > 0").select("cls", "n", "bits", "wide").dropDuplicates(["cls"]), "classes")
 
     per_key = Window.partitionBy("key")
     keys = docs.where("text is not null").select("text") \
@@ -389,7 +403,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     tiles = _tiles(rows).select("tile", "cls", "tier", "side").join(about, "cls") \
         .select("tile", "n", "cls", "comp", "tier", "side", "bits") \
         .repartition("tile").sortWithinPartitions("tile", "n", "cls")
-    rest = written(tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct(), "candidates")
+    rest = tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct()
+    rest = written(_bounded(rest, classes, num, den), "candidates")
     # Pairs inside a component say nothing new. Two rounds settle one pair a
     # class, which joins most groups; the last settles all that is left.
     links, roots = first, comps
@@ -426,16 +441,29 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _within(num, den):
+    def run(batches):
+        for b in batches:
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            keep = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("wa"), b.column("wb"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                n = min(len(x), len(y))
+                diff = int(np.bitwise_count(_folded(x, n) ^ _folded(y, n)).sum())
+                keep[i] = (na[i] + nb[i] - diff) // 2 * (num + den) >= num * (na[i] + nb[i])
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _bounded(sides: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes and bitmaps allow a similarity of ``num / den``."""
-    x = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    y = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    both = sides.join(x, "a").join(y, "b").where(
-        (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    part = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    diff = sum(F.bit_count(part("ba", i).bitwiseXOR(part("bb", i))) for i in range(BITS // 64))
-    most = F.floor((F.col("na") + F.col("nb") - diff) / 2)
-    return both.where(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+    """Pairs whose sizes and whole bitmaps allow a similarity of ``num / den``."""
+    x = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"))
+    y = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"))
+    both = sides.join(x, "a").join(y, "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    both = both.join(classes.select(F.col("cls").alias("a"), F.col("wide").alias("wa")), "a") \
+        .join(classes.select(F.col("cls").alias("b"), F.col("wide").alias("wb")), "b")
+    return both.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_within(num, den), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
