@@ -13,7 +13,7 @@ single-user, driver-side version to Spark jobs over tables of users.
 | 6:2:2 train/validation/test split           | :func:`split_ratings`             |
 | train ALS / search the rank grid            | :func:`train_model` / :func:`search_rank` |
 | held-out RMSE                               | :func:`compute_rmse`              |
-| top unrated items for a user                | :func:`top_ratings` (any set of users) |
+| top unrated items for a user                | :func:`top_ratings` (any set of users), :func:`top_ratings_for_user` |
 | predicted ratings for listed items          | :func:`ratings_for_items`         |
 | add new ratings and retrain                 | :func:`add_ratings`               |
 """
@@ -33,9 +33,11 @@ def load_ratings(spark: SparkSession, path: str, positive_only: bool = False,
                  mode: str = "failfast"):
     """``user::item::rating::ts`` text -> typed ratings (quarantine: (good, rejects))."""
     lines = text.read_lines(spark, path)
-    if positive_only:
-        return text.require_nonempty(text.load_positive_ratings(lines, mode), "ratings")
-    return text.parse_ratings(lines, mode)
+    if not positive_only:
+        return text.parse_ratings(lines, mode)
+    loaded = text.load_positive_ratings(lines, mode)
+    text.require_nonempty(loaded[0] if mode == "quarantine" else loaded, "ratings")
+    return loaded
 
 
 def load_items(spark: SparkSession, path: str, mode: str = "failfast"):
@@ -59,9 +61,9 @@ def train_model(training: DataFrame, rank: int = train.RANK, **kw) -> ALSModel:
     return train.fit(training, rank=rank, **kw)
 
 
-def search_rank(training: DataFrame, validation: DataFrame, ranks=train.RANK_GRID):
+def search_rank(training: DataFrame, validation: DataFrame, ranks=train.RANK_GRID, **kw):
     """``(results(rank, rmse), best_rank, best_model)``."""
-    return train.rank_search(training, validation, ranks)
+    return train.rank_search(training, validation, ranks, **kw)
 
 
 def compute_rmse(model: ALSModel, heldout: DataFrame, pairwise: bool = False) -> DataFrame:
@@ -69,7 +71,7 @@ def compute_rmse(model: ALSModel, heldout: DataFrame, pairwise: bool = False) ->
     if "split" not in heldout.columns:
         heldout = heldout.withColumn("split", F.lit("test"))
     preds = train.predict(model, heldout)
-    return evaluate.rmse_pairwise(preds, heldout) if pairwise else evaluate.rmse_by_split(preds)
+    return evaluate.rmse_pairwise(preds) if pairwise else evaluate.rmse_by_split(preds)
 
 
 def top_ratings(model: ALSModel, users: DataFrame, items: DataFrame, counts: DataFrame,
@@ -81,9 +83,21 @@ def top_ratings(model: ALSModel, users: DataFrame, items: DataFrame, counts: Dat
     Items below ``min_ratings`` and pairs in ``rated`` are excluded before ranking.
     """
     uf, itf = train.factors(model)
-    uf = uf.join(users.select("user_id"), "user_id", "left_semi")
     recs = rec.recommend(uf, itf, n, exclude=rated, candidates=items, counts=counts,
-                         min_ratings=min_ratings)
+                         min_ratings=min_ratings, users=users)
+    return rec.with_counts(rec.with_titles(recs, items), counts).select(
+        "user_id", "rank", "item_id", "title", "score", "n_ratings")
+
+
+def top_ratings_for_user(model: ALSModel, user_id: int, items: DataFrame, counts: DataFrame,
+                         n: int = 10, min_ratings: int | None = 25,
+                         rated: DataFrame | None = None) -> DataFrame:
+    """The same for one user, without Python workers: the user's vector becomes
+    literals and the ranking one ordered limit."""
+    uf, itf = train.factors(model)
+    mine = rated.where(F.col("user_id") == user_id) if rated is not None else None
+    recs = rec.recommend_for_user(user_id, uf, itf, n, exclude_items=mine, candidates=items,
+                                  counts=counts, min_ratings=min_ratings)
     return rec.with_counts(rec.with_titles(recs, items), counts).select(
         "user_id", "rank", "item_id", "title", "score", "n_ratings")
 
@@ -106,7 +120,7 @@ def score_requests(model: ALSModel, requests: DataFrame, items: DataFrame,
                                                        "n_ratings")
 
 
-def add_ratings(history: DataFrame, new: DataFrame, items: DataFrame, n: int = 10):
+def add_ratings(history: DataFrame, new: DataFrame, items: DataFrame, n: int = 10, **kw):
     """Fold ``new`` ratings into training, retrain and recommend for each of
     their users: ``(model, recs(user_id, rank, item_id, title, score))``."""
-    return refresh.refresh(history, new, items, n)
+    return refresh.refresh(history, new, items, n, **kw)

@@ -12,7 +12,7 @@ def with_split(ratings: DataFrame, method: str = "bucket", seed: int = SPLIT_SEE
 
     - ``bucket``: last digit of the timestamp (0-5 / 6-7 / 8-9),
     - ``hash``: md5 of (user, item, ts, seed), mod 10,
-    - ``random``: ``randomSplit`` semantics (depends on partitioning; kept for
+    - ``random``: a draw a row (depends on partitioning and row order; kept for
       parity with the original, not recommended).
     Both deterministic methods are narrow: no shuffle, any partitioning.
     """
@@ -29,8 +29,6 @@ def with_split(ratings: DataFrame, method: str = "bucket", seed: int = SPLIT_SEE
 
 def split(ratings: DataFrame, method: str = "bucket", seed: int = SPLIT_SEED):
     """(train, validation, test) DataFrames; columns as the input."""
-    if method == "random":
-        return tuple(ratings.randomSplit([6.0, 2.0, 2.0], seed))
     s = with_split(ratings, method, seed)
     cols = ratings.columns
     return tuple(s.where(F.col("split") == name).select(*cols)

@@ -8,10 +8,14 @@
   without materialising user x item pairs as rows. Users and items are hashed
   into blocks of bounded size; block pair (ub, ib) meets in one cogroup where a
   numpy matmul scores it and keeps each user's best N. Every block pair is
-  bounded (block sizes follow a memory budget and the factor rank), so memory
-  per task is fixed no matter how big either table grows. Rows already rated
-  travel to exactly the one block pair they fall in and are masked there, so
-  exclusion happens before ranking with no over-fetch and no cap.
+  bounded (block sizes follow a memory budget, the factor rank and the mean
+  number of rated items), however big either table grows. Items a user already
+  rated ride on the user's row, an array per item block (never longer than that
+  block), and are masked before ranking: no over-fetch and no cap.
+
+One rule for scores in every path: the products are added in factor order in
+double precision, equal scores go to the smaller id, and a score that is not
+finite fails the job (a model with NaN or infinite factors is broken).
 """
 
 from __future__ import annotations
@@ -56,44 +60,49 @@ def _block_scorer(n: int, max_chunk: int = 512):
     # executors need nothing from this package installed.
     chunk_bytes = SCORE_CHUNK_BYTES
 
-    def score_block(users: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        items = right[right["kind"] == 0]
+    def in_order(u, v):
+        # The sum every other path computes: factor by factor, no BLAS.
+        acc = u[:, 0] * v[:, 0]
+        for d in range(1, u.shape[1]):
+            acc = acc + u[:, d] * v[:, d]
+        return acc
+
+    def score_block(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if users.empty or items.empty:
             return pd.DataFrame({"user_id": pd.Series([], dtype="int32"),
                                  "item_id": pd.Series([], dtype="int32"),
                                  "score": pd.Series([], dtype="float64")})
         item_ids = items["item_id"].to_numpy(dtype=np.int64)
+        by_id = np.argsort(item_ids, kind="stable")
         imat = np.stack(items["features"].to_numpy()).astype(np.float64)
         user_ids = users["user_id"].to_numpy(dtype=np.int64)
         umat = np.stack(users["features"].to_numpy()).astype(np.float64)
-        # Rated pairs falling in this block pair, as (user row, item column).
-        seen = right[right["kind"] == 1]
-        mask_rows = mask_cols = None
-        if not seen.empty:
-            su = seen["user_id"].map(pd.Series(np.arange(len(user_ids)), index=user_ids))
-            si = seen["item_id"].map(pd.Series(np.arange(len(item_ids)), index=item_ids))
-            ok = (su.notna() & si.notna()).to_numpy()
-            mask_rows = su.to_numpy()[ok].astype(np.int64)
-            mask_cols = si.to_numpy()[ok].astype(np.int64)
+        if umat.shape[1] != imat.shape[1]:
+            raise ValueError("factor length mismatch")
+        seen = users["seen"].to_numpy()
         k = min(n, len(item_ids))
+        # No matrix product is further than this from the sum in order.
+        eps = 4 * (umat.shape[1] + 1) * np.finfo(np.float64).eps
+        slack = eps * np.linalg.norm(umat, axis=1) * np.linalg.norm(imat, axis=1).max()
         # Users per score chunk: the chunk's float64 scores stay within budget.
         chunk = int(max(16, min(max_chunk, chunk_bytes // (8 * len(item_ids)))))
         out_u, out_i, out_s = [], [], []
         for start in range(0, len(user_ids), chunk):
             stop = min(start + chunk, len(user_ids))
             s = umat[start:stop] @ imat.T
-            if mask_rows is not None:
-                sel = (mask_rows >= start) & (mask_rows < stop)
-                s[mask_rows[sel] - start, mask_cols[sel]] = -np.inf
-            s[np.isnan(s)] = -np.inf
-            # k-th best score per row (linear-time partition), then every item
-            # scoring at least that (ties included), ordered exactly by
-            # (row, score desc, item id asc), keeping the first k per row.
+            if not np.isfinite(s).all():
+                raise ValueError("a score is not finite: the factors hold NaN or infinity")
+            for row in range(start, stop):
+                if seen[row] is not None and len(seen[row]):
+                    rated = np.asarray(seen[row], dtype=np.int64)
+                    at = np.searchsorted(item_ids, rated, sorter=by_id)
+                    at = by_id[np.minimum(at, len(by_id) - 1)]
+                    s[row - start, at[item_ids[at] == rated]] = -np.inf
+            # Everything within rounding of the k-th best, then exact scores,
+            # ordered by (row, score desc, item id asc), first k per row.
             kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            r, c = np.nonzero(s >= kth[:, None])
-            sc = s[r, c]
-            fin = np.isfinite(sc)
-            r, c, sc = r[fin], c[fin], sc[fin]
+            r, c = np.nonzero((s >= (kth - 2 * slack[start:stop])[:, None]) & (s > -np.inf))
+            sc = in_order(umat[r + start], imat[c])
             order = np.lexsort((item_ids[c], -sc, r))
             r, c, sc = r[order], c[order], sc[order]
             keep = (np.arange(r.size) - np.searchsorted(r, r, side="left")) < k
@@ -115,9 +124,11 @@ SCORE_CHUNK_BYTES = 64 << 20
 MIN_BLOCK, MAX_BLOCK = 1024, 65536
 
 
-def block_size(rank: int) -> int:
-    """Rows per block for factors of length ``rank`` within the budget."""
-    return int(min(MAX_BLOCK, max(MIN_BLOCK, GROUP_BUDGET_BYTES // (max(1, rank) * 8))))
+def block_size(rank: int, rated: float = 0.0) -> int:
+    """Rows per block for factors of length ``rank``, each with ``rated`` item
+    ids of 4 bytes, within the budget."""
+    row = max(1, rank) * 8 + 4 * rated
+    return int(min(MAX_BLOCK, max(MIN_BLOCK, GROUP_BUDGET_BYTES // row)))
 
 
 def plan_blocks(n_users: int, n_items: int, parallelism: int,
@@ -137,23 +148,26 @@ def plan_blocks(n_users: int, n_items: int, parallelism: int,
 
 
 def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
-                 exclude: DataFrame | None = None, user_block: int | None = None,
-                 item_block: int | None = None, user_blocks: int | None = None,
-                 item_blocks: int | None = None) -> DataFrame:
+                 exclude: DataFrame | None = None, user_blocks: int | None = None,
+                 item_blocks: int | None = None,
+                 sized_from: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(user_id, rank, item_id, score)``: each user's N best items by dot product.
 
     ``user_factors(user_id, features)``, ``item_factors(item_id, features)``;
     ``exclude(user_id, item_id)`` removes pairs (e.g. already rated) before
     ranking. Filter ``item_factors`` first (popularity floor) to rank only
-    eligible items. Block counts default to ``ceil(rows / block size)``.
+    eligible items. Block counts come from counts of ``sized_from`` (the plain
+    factor tables, when the given ones are filtered: counting those would run
+    their filters once more).
     """
+    spark = user_factors.sparkSession
     if user_blocks is None or item_blocks is None:
         from ..functions.vectors import vector_dim
-        size = block_size(vector_dim(user_factors))
-        user_block, item_block = user_block or size, item_block or size
-        par = user_factors.sparkSession.sparkContext.defaultParallelism
-        pu, pi = plan_blocks(user_factors.count(), item_factors.count(), par,
-                             user_block, item_block)
+        su, si = sized_from or (user_factors, item_factors)
+        rank, n_users = vector_dim(su, default=1), su.count()
+        rated = exclude.count() / max(1, n_users) if exclude is not None else 0.0
+        pu, pi = plan_blocks(n_users, si.count(), spark.sparkContext.defaultParallelism,
+                             block_size(rank, rated), block_size(rank))
         user_blocks, item_blocks = user_blocks or pu, item_blocks or pi
     nu, ni = user_blocks, item_blocks
     ub = F.pmod(F.xxhash64("user_id"), F.lit(nu)).cast("int")
@@ -162,33 +176,25 @@ def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
     users = (user_factors.where(F.col("features").isNotNull())
              .select("user_id", "features", ub.alias("ub"),
                      F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib")))
-    right_cols = ["ub", "ib", "kind", "user_id", "item_id", "features"]
+    if exclude is not None:
+        # Distinct by construction, and at most one item block long.
+        seen = exclude.select("user_id", "item_id", ib.alias("ib")).groupBy("user_id", "ib") \
+            .agg(F.collect_set("item_id").alias("seen"))
+        users = users.join(seen, ["user_id", "ib"], "left")
+    else:
+        users = users.withColumn("seen", F.lit(None).cast("array<int>"))
     items = (item_factors.where(F.col("features").isNotNull())
              .select(F.explode(F.sequence(F.lit(0), F.lit(nu - 1))).alias("ub"), ib.alias("ib"),
-                     F.lit(0).alias("kind"), F.lit(None).cast("int").alias("user_id"),
                      "item_id", "features"))
-    right = items
-    if exclude is not None:
-        # Only pairs of users and items being ranked matter; after the
-        # semi-joins and distinct, a block pair holds at most
-        # user_block x item_block of them, whatever the skew of the input.
-        seen = (exclude.select("user_id", "item_id")
-                .join(user_factors.select("user_id"), "user_id", "left_semi")
-                .join(item_factors.select("item_id"), "item_id", "left_semi")
-                .distinct()
-                .select(ub.alias("ub"), ib.alias("ib"), F.lit(1).alias("kind"), "user_id",
-                        "item_id", F.lit(None).cast(item_factors.schema["features"].dataType)
-                        .alias("features")))
-        right = items.select(*right_cols).unionByName(seen.select(*right_cols))
 
     # Scoring cost grows with block *products* while bytes grow with block
     # sums, so AQE's byte-based coalescing would pack all block pairs into a
     # few tasks. An explicit partition count (not coalesced) keeps every core
     # busy; both sides share it, so the cogroup adds no further shuffle.
-    spark = user_factors.sparkSession
     parts = min(nu * ni, max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                              spark.sparkContext.defaultParallelism))
-    scored = (users.repartition(parts, "ub", "ib").groupBy("ub", "ib")
-              .cogroup(right.repartition(parts, "ub", "ib").groupBy("ub", "ib"))
+    scored = (users.select("ub", "ib", "user_id", "features", "seen")
+              .repartition(parts, "ub", "ib").groupBy("ub", "ib")
+              .cogroup(items.repartition(parts, "ub", "ib").groupBy("ub", "ib"))
               .applyInPandas(_block_scorer(n), schema=_BLOCK_OUT))
     return top_n_per_group(scored, n).select("user_id", "rank", "item_id", "score")

@@ -7,9 +7,10 @@ the same thing in another summation order agrees.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import vector_dim
+from ..functions.vectors import dot, vector_dim
 from ..operators import aggregates as agg
 from ..operators import evaluate as ev
 from ..operators import scoring, sets, splits
@@ -77,17 +78,26 @@ def q_parse_items(spark, sf):
 
 
 def q_parse_rejects(spark, sf):
-    lines = fx.ratings_lines(spark, sf).unionByName(fx.item_lines(spark, sf))
+    lines = fx.spoiled_lines(spark, sf).unionByName(fx.item_lines(spark, sf))
     _, rejects = text.parse_ratings(lines, mode="quarantine")
     return rejects
 
 
+def q_parse_text_files(spark, sf):
+    """Rating lines written as text files to the shared folder, read back and
+    parsed; malformed lines go to quarantine."""
+    path = scratch_path(spark, "rating-text")
+    fx.spoiled_lines(spark, sf).write.text(path)
+    good, _ = text.parse_ratings(text.read_lines(spark, path), mode="quarantine")
+    return good
+
+
 def q_parse_posted(spark, sf):
     return text.parse_posted(fx.posted_bodies(spark, sf))
 
 
 def q_positive_ratings(spark, sf):
-    return text.load_positive_ratings(fx.all_rating_lines(spark, sf))
+    return text.load_positive_ratings(fx.odd_rating_lines(spark, sf))
 
 
 # ---- 3: aggregates and splits ------------------------------------------------
@@ -226,10 +236,7 @@ def q_rmse(spark, sf):
 
 
 def q_rmse_pairwise(spark, sf):
-    s = splits.with_split(fx.base(spark, sf), "bucket")
-    heldout = s.where(F.col("split") != "train")
-    preds = _heldout_predictions(spark, sf)
-    return ev.rmse_pairwise(preds, heldout).select("split", "n", _r("rmse"))
+    return ev.rmse_pairwise(_heldout_predictions(spark, sf)).select("split", "n", _r("rmse"))
 
 
 def _damped_search(spark, sf):
@@ -246,7 +253,7 @@ def q_select_best(spark, sf):
                                                                               _r("rmse"))
 
 
-# ---- 7: ALS models (rows-only checks) ---------------------------------------
+# ---- 7: ALS models: results in full (bench) ---------------------------------------
 
 def _als_inputs(spark, sf):
     s = splits.with_split(_base_parsed(spark, sf), "bucket")
@@ -256,22 +263,21 @@ def _als_inputs(spark, sf):
     return training, heldout
 
 
-def q_als_rmse(spark, sf):
+def full_als_rmse(spark, sf):
     training, heldout = _als_inputs(spark, sf)
     model = train.fit(training)
     return train.heldout_rmse(model, heldout).select("split", "n", _r("rmse"))
 
 
-def q_als_rmse_pairwise(spark, sf):
+def full_als_rmse_pairwise(spark, sf):
     """The original error formulation on the fitted model: predictions joined
     back to held-out rows on (user, item), k*k terms per pair rated k times."""
     training, heldout = _als_inputs(spark, sf)
     model = train.fit(training)
-    preds = train.predict(model, heldout)
-    return ev.rmse_pairwise(preds, heldout).select("split", "n", _r("rmse"))
+    return ev.rmse_pairwise(train.predict(model, heldout)).select("split", "n", _r("rmse"))
 
 
-def q_als_score_requested(spark, sf):
+def full_als_score_requested(spark, sf):
     """Requested (user, item) pairs (the posted requests) scored by the model,
     with titles and rating counts."""
     from .. import api
@@ -283,24 +289,26 @@ def q_als_score_requested(spark, sf):
     return out.select("user_id", "item_id", "title", _r("score"), "n_ratings")
 
 
-def q_als_score(spark, sf):
+def full_als_score(spark, sf):
     training, heldout = _als_inputs(spark, sf)
     model = train.fit(training)
     test = heldout.where(F.col("split") == "test").select("user_id", "item_id", "rating")
     return train.predict(model, test).select("user_id", "item_id", "rating", _r("prediction"))
 
 
-def q_als_rank_search(spark, sf):
+def full_als_rank_search(spark, sf):
     training, heldout = _als_inputs(spark, sf)
     results, _, _ = train.rank_search(training, heldout.where(F.col("split") == "validation"))
     return results.select("rank", _r("rmse"))
 
 
-def q_als_select_best(spark, sf):
-    return ev.select_best(q_als_rank_search(spark, sf), param="rank")
+def full_als_select_best(spark, sf):
+    training, heldout = _als_inputs(spark, sf)
+    results, _, _ = train.rank_search(training, heldout.where(F.col("split") == "validation"))
+    return ev.select_best(results, param="rank").select("rank", _r("rmse"))
 
 
-def q_als_recommend(spark, sf):
+def full_als_recommend(spark, sf):
     """Top-10 unrated, popular items for every user of the fitted model."""
     training, _ = _als_inputs(spark, sf)
     model = train.fit_durable(training)
@@ -310,7 +318,7 @@ def q_als_recommend(spark, sf):
     return recs.select("user_id", "rank", "item_id", _r("score"))
 
 
-def q_als_recommend_subset(spark, sf):
+def full_als_recommend_subset(spark, sf):
     """Spark's per-user top-N (no exclusion) for the users with held-out ratings."""
     training, heldout = _als_inputs(spark, sf)
     model = train.fit(training)
@@ -319,13 +327,13 @@ def q_als_recommend_subset(spark, sf):
         "user_id", "rank", "item_id", _r("score"))
 
 
-def q_als_recommend_all(spark, sf):
+def full_als_recommend_all(spark, sf):
     training, _ = _als_inputs(spark, sf)
     model = train.fit(training)
     return train.recommend_all(model, TOP_N).select("user_id", "rank", "item_id", _r("score"))
 
 
-def q_model_roundtrip(spark, sf):
+def full_model_roundtrip(spark, sf):
     training, heldout = _als_inputs(spark, sf)
     model = train.fit(training)
     path = train.save(model, scratch_path(spark, "als-model"))
@@ -351,7 +359,7 @@ def _refresh_inputs(spark, sf):
     return ratings.where(F.col("ts") < cutoff), ratings.where(F.col("ts") >= cutoff)
 
 
-def q_als_refresh(spark, sf):
+def full_als_refresh(spark, sf):
     history, new = _refresh_inputs(spark, sf)
     _, recs = rf.refresh(history, new, _items(spark, sf), TOP_N)
     return recs.select("user_id", "rank", "item_id", "title", _r("score"))
@@ -379,7 +387,31 @@ def q_stream_ingest(spark, sf):
     fx.posted_bodies(spark, sf).write.mode("overwrite").json(src)
     from ..streaming.ingest import ingest_posted
     return ingest_posted(spark, src, scratch_path(spark, "posted-sink"),
-                         scratch_path(spark, "posted-ckpt"))
+                         scratch_path(spark, "posted-ckpt")).select("user_id", "item_id", "rating")
+
+
+def _spoiled_ingest(spark, sf):
+    """Spoiled posts through a quarantining ingest: (posted table, its folder)."""
+    from ..streaming.ingest import ingest_posted
+    src, sink = scratch_path(spark, "spoiled-posts"), scratch_path(spark, "spoiled-sink")
+    fx.spoiled_posts(spark, sf).write.text(src)
+    return ingest_posted(spark, src, sink, scratch_path(spark, "spoiled-ckpt"),
+                         mode="quarantine"), sink
+
+
+def q_posted_rejects(spark, sf):
+    """Every malformed record or line of the posts, as the ingest quarantines it."""
+    from ..streaming.ingest import read_rejects
+    return read_rejects(spark, _spoiled_ingest(spark, sf)[1])
+
+
+def q_ratings_with_posts(spark, sf):
+    """The prepared ratings table with ingested posts added, as refresh reads it."""
+    from .prepare import read_ratings_table, write_ratings_table
+    path = write_ratings_table(fx.ratings_lines(spark, sf), scratch_path(spark, "ratings"))
+    posted, _ = _spoiled_ingest(spark, sf)
+    both = read_ratings_table(spark, path).unionByName(posted)
+    return agg.item_stats(both).select("item_id", "n_ratings", _r("avg_rating"))
 
 
 def q_stream_item_stats(spark, sf):
@@ -392,12 +424,122 @@ def q_stream_item_stats(spark, sf):
     return out.select("item_id", "n_ratings", _r("avg_rating"))
 
 
+# ---- 9: ALS models: what must hold of any fit, checked row by row -----------
+
+def _measured(df):
+    """Replaces ``rmse`` by whether it is a number."""
+    return df.withColumn("measured", F.col("rmse").isNotNull() & ~F.isnan("rmse")
+                         & (F.col("rmse") >= 0)).drop("rmse")
+
+
+def _lists_checked(recs, n, *bad):
+    """Per user: rows of the list, and how many break a rule: ranks that are not
+    1..n in order of (score descending, item), or a row that ``bad`` has too."""
+    by = Window.partitionBy("user_id").orderBy("rank")
+    before = F.struct(-F.lag("score").over(by), F.lag("item_id").over(by))
+    wrong = (F.col("rank") != F.row_number().over(by)) | F.isnan("score") | F.col("score").isNull()
+    wrong = wrong | F.coalesce(before >= F.struct(-F.col("score"), F.col("item_id")), F.lit(False))
+    marked = recs.select("user_id", "item_id", wrong.cast("long").alias("wrong"))
+    for other, keys in bad:
+        hit = other.select(*keys).distinct().withColumn("hit", F.lit(1))
+        marked = marked.join(hit, keys, "left").withColumn(
+            "wrong", F.col("wrong") + F.coalesce("hit", F.lit(0))).drop("hit")
+    return marked.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_items"), F.sum("wrong").alias("n_broken"))
+
+
+def q_als_rmse(spark, sf):
+    return _measured(full_als_rmse(spark, sf))
+
+
+def q_als_rmse_pairwise(spark, sf):
+    return _measured(full_als_rmse_pairwise(spark, sf))
+
+
+def q_als_rank_search(spark, sf):
+    return _measured(full_als_rank_search(spark, sf))
+
+
+def q_als_select_best(spark, sf):
+    """The chosen rank against the whole table: none may be better."""
+    training, heldout = _als_inputs(spark, sf)
+    results, best, _ = train.rank_search(training, heldout.where(F.col("split") == "validation"))
+    chosen = ev.select_best(results, param="rank").first()
+    return results.agg(
+        F.count(F.lit(1)).alias("n_ranks"),
+        F.count_if((F.col("rank") == chosen["rank"]) & (F.col("rank") == best)).alias("n_best"),
+        F.count_if(F.col("rmse") < chosen["rmse"]).alias("n_better"))
+
+
+def q_als_score(spark, sf):
+    """Held-out predictions against the dot product of the model's factors."""
+    training, heldout = _als_inputs(spark, sf)
+    model = train.fit_durable(training)
+    test = heldout.where(F.col("split") == "test").select("user_id", "item_id", "rating")
+    uf, itf = train.factors(model)
+    got = train.predict(model, test) \
+        .join(uf.withColumnRenamed("features", "_u"), "user_id") \
+        .join(itf.withColumnRenamed("features", "_i"), "item_id")
+    near = F.abs(F.col("prediction") - dot("_u", "_i", train.RANK)) <= 1e-4 * (1 + F.abs("prediction"))
+    return got.select("user_id", "item_id", "rating", near.alias("is_dot"))
+
+
+def q_als_score_requested(spark, sf):
+    s = full_als_score_requested(spark, sf)
+    return s.select("user_id", "item_id", "title", "n_ratings",
+                    (F.col("score").isNotNull() & ~F.isnan("score")).alias("scored"))
+
+
+def q_als_recommend(spark, sf):
+    """Length and order of every user's list; none of its items rated or unpopular."""
+    low = _base_counts(spark, sf).where(F.col("n_ratings") < MIN_RATINGS)
+    return _lists_checked(full_als_recommend(spark, sf), TOP_N,
+                          (_rated_pairs(spark, sf), ["user_id", "item_id"]), (low, ["item_id"]))
+
+
+def q_als_recommend_subset(spark, sf):
+    return _lists_checked(full_als_recommend_subset(spark, sf), TOP_N_PER_USER)
+
+
+def q_als_recommend_all(spark, sf):
+    return _lists_checked(full_als_recommend_all(spark, sf), TOP_N)
+
+
+def q_als_refresh(spark, sf):
+    return _lists_checked(full_als_refresh(spark, sf), TOP_N,
+                          (fx.base(spark, sf), ["user_id", "item_id"]))
+
+
+def q_model_roundtrip(spark, sf):
+    """Factors of a fit against those read back from its files."""
+    training, _ = _als_inputs(spark, sf)
+    model = train.fit(training)
+    loaded = train.load(train.save(model, scratch_path(spark, "als")))
+
+    def pairs(a, b, kind):
+        return a.withColumnRenamed("features", "x").join(
+            b.withColumnRenamed("features", "y"), "id", "full_outer").select(
+            F.lit(kind).alias("kind"), F.coalesce(F.col("x") == F.col("y"), F.lit(False)).alias("same"))
+    both = pairs(model.userFactors, loaded.userFactors, "user").unionByName(
+        pairs(model.itemFactors, loaded.itemFactors, "item"))
+    return both.agg(F.count_if(F.col("kind") == "user").alias("n_users"),
+                    F.count_if(F.col("kind") == "item").alias("n_items"),
+                    F.count_if(~F.col("same")).alias("n_changed"))
+
+
+#: Model queries with their full values, which depend on the fit (bench, tests).
+FULL = {name[5:]: f for name, f in list(globals().items()) if name.startswith("full_")}
+
+
 QUERIES = {
     "parse_ratings": q_parse_ratings,
     "item_stats": q_item_stats,
     "parse_items": q_parse_items,
     "parse_rejects": q_parse_rejects,
+    "parse_text_files": q_parse_text_files,
     "parse_posted": q_parse_posted,
+    "posted_rejects": q_posted_rejects,
+    "ratings_with_posts": q_ratings_with_posts,
     "positive_ratings": q_positive_ratings,
     "rating_stats": q_rating_stats,
     "item_counts": q_item_counts,

@@ -4,7 +4,8 @@ tables (views ``lineitem``, ``orders``, ``part``, ``embeddings`` ...).
 Each statement restates a query's semantics independently of the Spark code:
 the fixture derivation, the parser's accept/reject rules, the split rules,
 scores as double dot products, ranks by (score desc, item_id asc), and floats
-rounded to 6 decimals. Model queries (ALS) have no SQL form and are absent.
+rounded to 6 decimals. Of the model queries (ALS) SQL gives what doesn't depend
+on the fit: keys, counts, ranks, and that no check of theirs fails.
 """
 
 from __future__ import annotations
@@ -36,15 +37,34 @@ CTE = {
                    WHEN ((ts % 10) + 10) % 10 < 8 THEN 'validation'
                    ELSE 'test' END AS split
     FROM base)""",
+    "training": """training AS (
+    SELECT user_id, item_id FROM bucketed WHERE split = 'train'
+    UNION ALL SELECT user_id, item_id FROM personal)""",
+    "known": """known AS (
+    SELECT b.* FROM bucketed b WHERE b.split <> 'train'
+      AND b.user_id IN (SELECT user_id FROM training)
+      AND b.item_id IN (SELECT item_id FROM training))""",
+    "spoiled": """spoiled AS (
+    SELECT CASE (CAST(user_id AS BIGINT) * 7 + CAST(item_id AS BIGINT) * 3 + ts) % 20
+             WHEN 0 THEN concat_ws('::', user_id, item_id, rating)
+             WHEN 1 THEN concat_ws('::', 'u' || user_id, item_id, rating, ts)
+             WHEN 2 THEN concat_ws('::', user_id, item_id || '.0', rating, ts)
+             WHEN 3 THEN concat_ws('::', user_id, item_id, 'five', ts)
+             WHEN 4 THEN concat_ws('::', user_id, item_id, rating, ts || 'e0')
+             WHEN 5 THEN ' ' || chr(9) || concat_ws('::', user_id, item_id, rating, ts) || '  '
+             WHEN 6 THEN concat_ws('::', user_id, item_id, rating, ts, 'more')
+             WHEN 7 THEN concat_ws('::', user_id, item_id, rating, '-' || ts)
+             ELSE concat_ws('::', user_id, item_id, rating, ts) END AS line
+    FROM base)""",
     "counts": "counts AS (SELECT item_id, count(*) AS n_ratings FROM base GROUP BY item_id)",
     "rated": """rated AS (SELECT user_id, item_id FROM base
                  UNION ALL SELECT user_id, item_id FROM personal)""",
     "ufac": """ufac AS (SELECT CAST(vec_id AS INTEGER) AS user_id,
                         CAST(embedding AS DOUBLE[]) AS uf
-                 FROM embeddings WHERE vec_id < 100)""",
+                 FROM embeddings WHERE vec_id % 5 = 0)""",
     "ifac": """ifac AS (SELECT CAST(vec_id AS INTEGER) AS item_id,
                         CAST(embedding AS DOUBLE[]) AS vf
-                 FROM embeddings WHERE vec_id >= 100)""",
+                 FROM embeddings WHERE vec_id % 5 <> 0)""",
     "titles": "titles AS (SELECT item_id, max(title) AS title FROM items GROUP BY item_id)",
     "candidates": """candidates AS (
     SELECT i.item_id FROM items i
@@ -68,6 +88,7 @@ CTE = {
 _DEPS = {
     "base": ["ratings_all"], "personal": ["ratings_all"], "bucketed": ["base"],
     "counts": ["base"], "rated": ["base", "personal"], "titles": ["items"],
+    "training": ["bucketed", "personal"], "known": ["bucketed", "training"], "spoiled": ["base"],
     "candidates": ["items", "personal"], "train_stats": ["bucketed"],
     "heldout_pred": ["bucketed", "train_stats"], "damped": ["bucketed", "train_stats"],
 }
@@ -129,16 +150,40 @@ FROM base GROUP BY item_id"""
 
 SQL["parse_items"] = _with("items") + "SELECT item_id, title FROM items"
 
-SQL["parse_rejects"] = _with("base", "items") + ",\n  " + _rating_parse(
-    "SELECT concat_ws('::', user_id, item_id, rating, ts) AS line FROM base "
+SQL["parse_rejects"] = _with("spoiled", "items") + ",\n  " + _rating_parse(
+    "SELECT line FROM spoiled "
     "UNION ALL SELECT concat_ws('::', item_id, title) AS line FROM items") + """
 SELECT line, reason FROM judged WHERE reason IS NOT NULL"""
 
+SQL["parse_text_files"] = _with("spoiled") + ",\n  " + _rating_parse("SELECT line FROM spoiled") + """
+SELECT user_id, item_id, rating, ts, CAST(((ts % 10) + 10) % 10 AS INTEGER) AS bucket
+FROM judged WHERE reason IS NULL"""
+
+_POSTS = """posts AS (
+    SELECT (l.l_orderkey * 3 + l.l_partkey + l.l_linenumber) % 16 AS kind,
+           CAST(o.o_custkey AS INTEGER) AS user_id, CAST(l.l_partkey AS INTEGER) AS item_id,
+           CAST(floor(l.l_quantity / 10) AS BIGINT) AS stars
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+
+SQL["posted_rejects"] = "WITH " + _POSTS + """
+SELECT CASE kind WHEN 0 THEN 'post ' || item_id || ' {' WHEN 1 THEN NULL
+            WHEN 2 THEN concat_ws(',', item_id, stars) WHEN 3 THEN CAST(item_id AS VARCHAR)
+            WHEN 4 THEN concat_ws(',', 'p' || item_id, stars) ELSE item_id || ',high' END AS line,
+       CASE kind WHEN 0 THEN 'corrupt record' WHEN 1 THEN 'no body' WHEN 2 THEN 'user_id'
+            WHEN 3 THEN 'too few fields' WHEN 4 THEN 'item_id' ELSE 'rating' END AS reason
+FROM posts WHERE kind < 6"""
+
+SQL["ratings_with_posts"] = _with("base").replace("WITH ", "WITH " + _POSTS + ",\n", 1) + """
+SELECT item_id, count(*) AS n_ratings, round(avg(rating), 6) AS avg_rating
+FROM (SELECT item_id, rating FROM base
+      UNION ALL SELECT item_id, CAST(stars AS DOUBLE) FROM posts WHERE kind >= 6) r
+GROUP BY item_id"""
+
 SQL["parse_posted"] = _with("ratings_all") + "SELECT user_id, item_id, rating FROM ratings_all"
 
 SQL["positive_ratings"] = _with("ratings_all") + """
 SELECT user_id, item_id, rating, ts, CAST(((ts % 10) + 10) % 10 AS INTEGER) AS bucket
-FROM ratings_all WHERE rating > 0"""
+FROM ratings_all WHERE rating > 0 AND ts % 17 <> 0"""
 
 SQL["rating_stats"] = _with("base") + """
 SELECT count(*) AS n_ratings, count(DISTINCT user_id) AS n_users,
@@ -271,3 +316,58 @@ FROM base WHERE ((ts % 10) + 10) % 10 < 6"""
 SQL["stream_item_stats"] = _with("ratings_all") + """
 SELECT item_id, count(*) AS n_ratings, round(avg(rating), 6) AS avg_rating
 FROM ratings_all GROUP BY item_id"""
+
+# ---- model queries: what a correct fit of any quality must give ---------------
+
+_KNOWN_REQUESTED = """SELECT DISTINCT user_id, item_id FROM ratings_all
+    WHERE user_id IN (SELECT user_id FROM training) AND item_id IN (SELECT item_id FROM training)"""
+
+SQL["als_rmse"] = _with("known") + """
+SELECT split, count(*) AS n, TRUE AS measured FROM known GROUP BY split"""
+
+SQL["als_score"] = _with("known") + """
+SELECT user_id, item_id, rating, TRUE AS is_dot FROM known WHERE split = 'test'"""
+
+SQL["model_roundtrip"] = _with("training") + """
+SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items,
+       CAST(0 AS BIGINT) AS n_changed FROM training"""
+
+SQL["als_rmse_pairwise"] = _with("known") + """
+SELECT split, CAST(sum(k * k) AS BIGINT) AS n, TRUE AS measured
+FROM (SELECT split, user_id, item_id, count(*) AS k FROM known GROUP BY ALL) p GROUP BY split"""
+
+SQL["als_score_requested"] = _with("ratings_all", "training", "titles", "counts") + f"""
+SELECT s.user_id, s.item_id, t.title, c.n_ratings, TRUE AS scored
+FROM ({_KNOWN_REQUESTED}) s JOIN titles t USING (item_id) JOIN counts c USING (item_id)"""
+
+SQL["als_rank_search"] = "SELECT CAST(unnest([4, 6, 8, 10, 12]) AS INTEGER) AS rank, TRUE AS measured"
+
+SQL["als_select_best"] = """SELECT CAST(5 AS BIGINT) AS n_ranks, CAST(1 AS BIGINT) AS n_best,
+       CAST(0 AS BIGINT) AS n_better"""
+
+
+def _lists(users: str, n: int, items: str, rated: str | None) -> str:
+    """Per user: the list's length, and that no row of it breaks a rule."""
+    rated_too = (f"(SELECT count(DISTINCT r.item_id) FROM {rated} r WHERE r.user_id = u.user_id"
+                 f" AND r.item_id IN ({items}))") if rated else "0"
+    return f"""
+SELECT u.user_id, CAST(least({n}, (SELECT count(*) FROM ({items}) i) - {rated_too}) AS BIGINT) AS n_items,
+       CAST(0 AS BIGINT) AS n_broken
+FROM (SELECT DISTINCT user_id FROM {users}) u
+WHERE u.user_id IN (SELECT user_id FROM training)
+  AND (SELECT count(*) FROM ({items}) i) > {rated_too}"""
+
+
+_FITTED = "SELECT DISTINCT item_id FROM training"
+SQL["als_recommend"] = _with("training", "counts", "rated") + _lists(
+    "training", 10, _FITTED + " WHERE item_id IN (SELECT item_id FROM counts WHERE n_ratings >= 25)", "rated")
+SQL["als_recommend_subset"] = _with("training", "known", "bucketed") + _lists(
+    "(SELECT user_id FROM bucketed WHERE split = 'test') b", 5, _FITTED, None)
+SQL["als_recommend_all"] = _with("training") + _lists("training", 10, _FITTED, None)
+SQL["als_refresh"] = _with("base", "items") + """,
+  cut AS (SELECT max(ts) - 30 * 86400 AS since FROM base),
+  fresh AS (SELECT * FROM base WHERE ts >= (SELECT since FROM cut)),
+  rated AS (SELECT user_id, item_id FROM base),
+  training AS (SELECT user_id, item_id FROM base WHERE ts < (SELECT since FROM cut) AND ((ts % 10) + 10) % 10 < 6
+               UNION ALL SELECT user_id, item_id FROM fresh)""" + _lists(
+    "fresh", 10, _FITTED + " WHERE item_id IN (SELECT item_id FROM items)", "rated")

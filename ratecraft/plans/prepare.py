@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.splits import TRAIN_BUCKETS, VALIDATION_BUCKETS
+from ..functions.splits import TRAIN_BUCKETS, VALIDATION_BUCKETS, ts_bucket
 from ..sources import text
 
 RATING_TABLE_SCHEMA = "user_id int, item_id int, rating double, ts bigint, bucket int"
@@ -21,16 +21,23 @@ RATING_TABLE_SCHEMA = "user_id int, item_id int, rating double, ts bigint, bucke
 def write_ratings_table(lines: DataFrame, path: str, mode: str = "failfast") -> str:
     """Parse ``user::item::rating::ts`` lines and write them partitioned by bucket.
 
-    No shuffle: each input split (even-sized by construction) sorts its rows
-    by (bucket, item) and writes at most one file per bucket, so a hot item,
-    user or bucket cannot pile up in one task. File count is input splits x
-    10; raise ``spark.sql.files.maxPartitionBytes`` for fewer, larger files.
+    One rebalancing shuffle by bucket: AQE cuts a bucket's rows into tasks of
+    ``advisoryPartitionSizeInBytes`` and merges small ones, so files have that
+    size and a hot bucket is many tasks. Quarantine: the text is split once; the
+    parsed lines, good and bad, are written aside and both tables read them.
     """
-    parsed = text.parse_ratings(lines, mode)
     if mode == "quarantine":
-        parsed, rejects = parsed
-        rejects.write.mode("overwrite").parquet(path.rstrip("/") + "_rejects")
-    (parsed.sortWithinPartitions("bucket", "item_id")
+        spark, aside = lines.sparkSession, path.rstrip("/") + "_parsed"
+        text.judge_ratings(lines).write.mode("overwrite").parquet(aside)
+        judged = spark.read.parquet(aside)
+        judged.where(F.col("_reason").isNotNull()) \
+            .select(F.col("_line").alias("line"), F.col("_reason").alias("reason")) \
+            .write.mode("overwrite").parquet(path.rstrip("/") + "_rejects")
+        parsed = judged.where(F.col("_reason").isNull()) \
+            .select("user_id", "item_id", "rating", "ts").withColumn("bucket", ts_bucket("ts"))
+    else:
+        parsed = text.parse_ratings(lines, mode)
+    (parsed.hint("rebalance", F.col("bucket"))
      .write.mode("overwrite").partitionBy("bucket").parquet(path))
     return path
 

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.aggregates import eligible_items
-from ..functions.vectors import dot, vector_dim
-from ..operators.topn import block_size, plan_blocks, top_n, top_n_by_dot
+from ..functions.vectors import dot, finite
+from ..operators.topn import top_n, top_n_by_dot
 
 
 def titles(items: DataFrame) -> DataFrame:
@@ -22,27 +22,28 @@ def titles(items: DataFrame) -> DataFrame:
 
 def recommend(user_factors: DataFrame, item_factors: DataFrame, n: int,
               exclude: DataFrame | None = None, candidates: DataFrame | None = None,
-              counts: DataFrame | None = None, min_ratings: int | None = None) -> DataFrame:
+              counts: DataFrame | None = None, min_ratings: int | None = None,
+              users: DataFrame | None = None) -> DataFrame:
     """``(user_id, rank, item_id, score)``: top-N per user among eligible items.
 
+    - ``users(user_id)``: restrict users (semi-join);
     - ``candidates(item_id)``: restrict items (semi-join), e.g. items minus
       those the profile rated;
     - ``counts(item_id, n_ratings)`` + ``min_ratings``: popularity floor;
     - ``exclude(user_id, item_id)``: pairs to skip (already rated).
     """
-    # Block counts come from the unfiltered factor tables (a cheap scan, an
-    # upper bound for the filtered ones), so the filters below run once, inside
-    # the scoring job, instead of again for a sizing count.
-    size = block_size(vector_dim(user_factors))
-    nu, ni = plan_blocks(user_factors.count(), item_factors.count(),
-                         user_factors.sparkSession.sparkContext.defaultParallelism, size, size)
     items = item_factors
     if candidates is not None:
         items = items.join(candidates.select("item_id"), "item_id", "left_semi")
     if min_ratings is not None:
         items = items.join(eligible_items(counts, min_ratings), "item_id", "left_semi")
-    return top_n_by_dot(user_factors, items, n, exclude=exclude, user_blocks=nu,
-                        item_blocks=ni)
+    chosen = user_factors
+    if users is not None:
+        chosen = chosen.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    # Blocks are sized by the unfiltered tables (a cheap scan and an upper
+    # bound), so the filters above run once, inside the scoring job.
+    return top_n_by_dot(chosen, items, n, exclude=exclude,
+                        sized_from=(user_factors, item_factors))
 
 
 def recommend_for_user(user_id: int, user_factors: DataFrame, item_factors: DataFrame, n: int,
@@ -73,7 +74,7 @@ def recommend_for_user(user_id: int, user_factors: DataFrame, item_factors: Data
     lit_vec = F.array(*[F.lit(v) for v in vec])
     scored = items.where(F.col("features").isNotNull()).select(
         F.lit(user_id).cast("int").alias("user_id"), "item_id",
-        dot("features", lit_vec, len(vec)).alias("score"))
+        finite(dot("features", lit_vec, len(vec))).alias("score"))
     return top_n(scored, n).select("user_id", "rank", "item_id", "score")
 
 

@@ -12,7 +12,7 @@ from .recommend import recommend, with_titles
 
 
 def refresh(history: DataFrame, new: DataFrame, items: DataFrame, n: int = 10,
-            presplit: bool = False, rank: int = train.RANK):
+            presplit: bool = False, rank: int = train.RANK, blocks: int = train.BLOCKS):
     """Returns ``(model, recs)`` where recs is ``(user_id, rank, item_id, title, score)``.
 
     ``presplit=False``: new ratings join the training split only (validation
@@ -25,11 +25,10 @@ def refresh(history: DataFrame, new: DataFrame, items: DataFrame, n: int = 10,
         training = training.select("user_id", "item_id", "rating")
     else:
         training = training_union(split(history.select(*cols))[0], new)
-    model = train.fit_durable(training, rank=rank)
+    model = train.fit_durable(training, rank=rank, blocks=blocks)
     uf, itf = train.factors(model)
     users = new.select("user_id").distinct()
-    uf = uf.join(users, "user_id", "left_semi")
     rated = history.select("user_id", "item_id").unionByName(new.select("user_id", "item_id"))
     rated = rated.join(users, "user_id", "left_semi")
-    recs = recommend(uf, itf, n, exclude=rated, candidates=items)
+    recs = recommend(uf, itf, n, exclude=rated, candidates=items, users=users)
     return model, with_titles(recs, items).select("user_id", "rank", "item_id", "title", "score")

@@ -43,17 +43,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only when the session has none (a bare test session) do we create one.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            # A folder on one machine is not shared: executors could not read it
-            # back after a failure. A cluster must name a shared folder.
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...)")
-        configured = tempfile.mkdtemp(prefix="ratecraft-ckpt-")
-    sc.setCheckpointDir(configured)
+    local = sc.master.startswith("local")
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not local and (not found or found.startswith("file:") or found.startswith("/")
+                      and spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")):
+        # A folder on one machine is not shared: executors could not read it
+        # back after a failure. A cluster must name a shared folder.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...)")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="ratecraft-ckpt-"))
     return sc.getCheckpointDir()
 
 

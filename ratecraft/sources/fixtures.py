@@ -12,7 +12,8 @@ Catalyst prunes the columns each query needs.
 - ``personal``: the personal user's rows (the personal-ratings file; the loader
   keeps ``rating > 0``).
 - ``items``: part key and name.
-- ``user_factors`` / ``item_factors``: explicit factor vectors from ``embeddings``.
+- ``user_factors`` / ``item_factors``: explicit factor vectors from ``embeddings``;
+  every fifth vector is a user's, so both sides grow with the table.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .text import format_item_lines, format_rating_lines
 
 # Fixed values of the fixture definition.
 PERSONAL_USER = 0
-USER_FACTOR_IDS_BELOW = 100
+USER_FACTOR_EVERY = 5
 TS_OFFSET_MOD = 86400
 _EPOCH_NTZ = _dt.datetime(1970, 1, 1)
 
@@ -34,21 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition by ``key`` only when the scan has fewer splits than the
-    cluster has cores (e.g. one large row group), so per-row work downstream
-    runs in parallel. A large input already has many splits and is left as is
-    (no extra shuffle at scale)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin over the shuffle partitions: the test table is one file, and
+    per-row work downstream should not follow its splits. The plan is the same
+    at every size, and no key (a hot order) decides where rows go."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber",
-                                                 "l_quantity")
-    return spread(li, "l_orderkey")
+    return spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity"))
 
 
 def ratings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +84,52 @@ def all_rating_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_rating_lines(ratings_all(spark, sf_dir))
 
 
+def spoiled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base lines with two in five changed by the rule FIXTURES.md gives:
+    one kind for each way to be malformed, and lines that are odd but good."""
+    sep = "::"
+    u, i, r, t = (F.col(c).cast("string") for c in ("user_id", "item_id", "rating", "ts"))
+    kind = F.pmod(F.col("user_id") * 7 + F.col("item_id") * 3 + F.col("ts"), F.lit(20))
+    join = lambda *f: F.concat_ws(sep, *f)
+    line = (F.when(kind == 0, join(u, i, r))
+            .when(kind == 1, join(F.concat(F.lit("u"), u), i, r, t))
+            .when(kind == 2, join(u, F.concat(i, F.lit(".0")), r, t))
+            .when(kind == 3, join(u, i, F.lit("five"), t))
+            .when(kind == 4, join(u, i, r, F.concat(t, F.lit("e0"))))
+            .when(kind == 5, F.concat(F.lit(" \t"), join(u, i, r, t), F.lit("  ")))
+            .when(kind == 6, join(u, i, r, t, F.lit("more")))
+            .when(kind == 7, join(u, i, r, F.concat(F.lit("-"), t)))
+            .otherwise(join(u, i, r, t)))
+    return base(spark, sf_dir).select(line.alias("value"))
+
+
+def odd_rating_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rating lines; the rating of every 17th timestamp is ``nan``."""
+    r = F.when(F.pmod("ts", F.lit(17)) == 0, F.lit("nan")).otherwise(F.col("rating").cast("string"))
+    return ratings_all(spark, sf_dir).select(F.concat_ws(
+        "::", F.col("user_id").cast("string"), F.col("item_id").cast("string"), r,
+        F.col("ts").cast("string")).alias("value"))
+
+
+def spoiled_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON record per line item (``value``), some spoiled by the rule
+    FIXTURES.md gives: not JSON, no body, a user outside int32, bad lines."""
+    li = _lineitem(spark, sf_dir)
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = li.join(od, li.l_orderkey == od.o_orderkey)
+    kind = F.pmod(F.col("l_orderkey") * 3 + F.col("l_partkey") + F.col("l_linenumber"), F.lit(16))
+    part = F.col("l_partkey").cast("string")
+    stars = F.floor(F.col("l_quantity") / 10).cast("bigint").cast("string")
+    line = (F.when(kind == 3, part).when(kind == 4, F.concat_ws(",", F.concat(F.lit("p"), part), stars))
+            .when(kind == 5, F.concat_ws(",", part, F.lit("high"))).otherwise(F.concat_ws(",", part, stars)))
+    user = F.when(kind == 2, F.concat(F.lit("99999"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"))) \
+        .otherwise(F.col("o_custkey").cast("string"))
+    good = F.concat(F.lit('{"user_id": '), user, F.lit(', "body": "'), line, F.lit('"}'))
+    value = (F.when(kind == 0, F.concat(F.lit("post "), part, F.lit(" {")))
+             .when(kind == 1, F.concat(F.lit('{"user_id": '), user, F.lit("}"))).otherwise(good))
+    return rows.select(value.alias("value"))
+
+
 def personal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_rating_lines(personal_rows(spark, sf_dir))
 
@@ -118,11 +160,11 @@ def posted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") < USER_FACTOR_IDS_BELOW).select(
+    return e.where(F.pmod("vec_id", F.lit(USER_FACTOR_EVERY)) == 0).select(
         F.col("vec_id").cast("int").alias("user_id"), F.col("embedding").alias("features"))
 
 
 def item_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") >= USER_FACTOR_IDS_BELOW).select(
+    return e.where(F.pmod("vec_id", F.lit(USER_FACTOR_EVERY)) != 0).select(
         F.col("vec_id").cast("int").alias("item_id"), F.col("embedding").alias("features"))

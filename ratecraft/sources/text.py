@@ -58,7 +58,7 @@ def _apply_mode(parsed: DataFrame, reason: Column, cols: list[str], mode: str, w
     judged = judged.select(F.inline(F.array(F.struct(*judged.columns))))
     if mode == "failfast":
         err = F.raise_error(F.concat(F.lit(f"malformed {what} line ("), F.col("_reason"),
-                                     F.lit("): "), F.col("_line")))
+                                     F.lit("): "), F.coalesce("_line", F.lit(""))))
         return judged.select(*[F.when(F.col("_reason").isNull(), F.col(c)).otherwise(err).alias(c)
                                for c in cols])
     if mode == "quarantine":
@@ -74,12 +74,29 @@ def _fields(lines: DataFrame, col: str, sep: str, extra=()) -> DataFrame:
                         _split(py_strip(col), sep).alias("_f"))
 
 
+def judge_ratings(lines: DataFrame, col: str = "value") -> DataFrame:
+    """``(_line, user_id, item_id, rating, ts, _reason)`` of every line; the
+    reason is NULL for a good one. One split a line."""
+    parsed, reason = _rating_fields(lines, col)
+    judged = parsed.withColumn("_reason", reason)
+    return judged.select(F.inline(F.array(F.struct(
+        "_line", "user_id", "item_id", "rating", "ts", "_reason"))))
+
+
 def parse_ratings(lines: DataFrame, mode: str = "failfast", col: str = "value"):
     """Lines -> ``(user_id int, item_id int, rating double, ts bigint, bucket int)``.
 
     ``bucket`` is the last digit of ``ts`` (never negative). Extra fields are
     ignored. Ids outside int32 are rejected here rather than failing model fit.
     """
+    parsed, reason = _rating_fields(lines, col)
+    out = _apply_mode(parsed, reason, ["user_id", "item_id", "rating", "ts"], mode, "rating")
+    if mode == "quarantine":
+        return out[0].withColumn("bucket", ts_bucket("ts")), out[1]
+    return out.withColumn("bucket", ts_bucket("ts"))
+
+
+def _rating_fields(lines: DataFrame, col: str):
     f = F.col("_f")
     parsed = _fields(lines, col, RATING_SEP).select(
         "_line",
@@ -94,18 +111,16 @@ def parse_ratings(lines: DataFrame, mode: str = "failfast", col: str = "value"):
               .when(F.col("item_id").isNull(), F.lit("item_id"))
               .when(F.col("rating").isNull(), F.lit("rating"))
               .when(F.col("ts").isNull(), F.lit("ts")))
-    out = _apply_mode(parsed, reason, ["user_id", "item_id", "rating", "ts"], mode, "rating")
-    if mode == "quarantine":
-        return out[0].withColumn("bucket", ts_bucket("ts")), out[1]
-    return out.withColumn("bucket", ts_bucket("ts"))
+    return parsed, reason
 
 
-def load_positive_ratings(lines: DataFrame, mode: str = "failfast") -> DataFrame:
-    """Personal-ratings loader: parsed ratings with ``rating > 0`` only."""
+def load_positive_ratings(lines: DataFrame, mode: str = "failfast"):
+    """Personal-ratings loader: parsed ratings with ``rating > 0`` only; NaN is
+    not above zero (Spark orders it highest). Quarantine: (good, rejects)."""
     parsed = parse_ratings(lines, mode)
-    if mode == "quarantine":
-        parsed = parsed[0]
-    return parsed.where(F.col("rating") > 0)
+    good = parsed[0] if mode == "quarantine" else parsed
+    good = good.where((F.col("rating") > 0) & ~F.isnan("rating"))
+    return (good, parsed[1]) if mode == "quarantine" else good
 
 
 def require_nonempty(df: DataFrame, what: str = "ratings") -> DataFrame:
@@ -130,23 +145,36 @@ def parse_items(lines: DataFrame, mode: str = "failfast", col: str = "value"):
 
 
 def parse_posted(bodies: DataFrame, user_col: str = "user_id", body_col: str = "body",
-                 mode: str = "failfast"):
+                 mode: str = "failfast", corrupt_col: str | None = None, extra=()):
     """Posted bodies (one per request: a user id and ``item,rating`` lines)
-    -> ``(user_id, item_id, rating)`` rows, one per line."""
+    -> ``(user_id, item_id, rating)`` rows, one per line, and the request's
+    columns named in ``extra``.
+
+    Nothing is dropped: a record that isn't JSON (``corrupt_col`` holds its
+    text), a request without a body, and a user id that isn't an int32 literal
+    are malformed like a bad line. A request's bad user rejects each of its lines.
+    """
+    corrupt = F.col(corrupt_col) if corrupt_col else F.lit(None).cast("string")
     lines = bodies.select(
-        F.col(user_col).cast("int").alias("user_id"),
-        F.explode(_split(py_strip(body_col), POSTED_LINE_SEP)).alias("_body_line"))
+        F.col(user_col).cast("string").alias("_user"), corrupt.alias("_corrupt"), *extra,
+        F.explode_outer(_split(py_strip(body_col), POSTED_LINE_SEP)).alias("_body_line"))
     f = F.col("_f")
-    parsed = _fields(lines, "_body_line", POSTED_FIELD_SEP, extra=("user_id",)).select(
-        "_line", "user_id",
+    parsed = _fields(lines, "_body_line", POSTED_FIELD_SEP,
+                     extra=("_user", "_corrupt", *extra)).select(
+        F.coalesce("_corrupt", "_line").alias("_line"), "_corrupt", *extra,
+        F.col("_line").isNull().alias("_empty"),
+        int_field(F.array("_user"), 1, "int").alias("user_id"),
         F.size(f).alias("_n"),
         int_field(f, 1, "int").alias("item_id"),
         float_field(f, 2).alias("rating"),
     )
-    reason = (F.when(F.col("_n") < 2, F.lit("too few fields"))
+    reason = (F.when(F.col("_corrupt").isNotNull(), F.lit("corrupt record"))
+              .when(F.col("_empty"), F.lit("no body"))
+              .when(F.col("user_id").isNull(), F.lit("user_id"))
+              .when(F.col("_n") < 2, F.lit("too few fields"))
               .when(F.col("item_id").isNull(), F.lit("item_id"))
               .when(F.col("rating").isNull(), F.lit("rating")))
-    return _apply_mode(parsed, reason, ["user_id", "item_id", "rating"], mode, "posted")
+    return _apply_mode(parsed, reason, ["user_id", "item_id", "rating", *extra], mode, "posted")
 
 
 def format_rating_lines(ratings: DataFrame) -> DataFrame:

@@ -1,49 +1,93 @@
 """Incremental ingest of posted ratings with Structured Streaming.
 
 Each posted request lands as a JSON record ``{"user_id": .., "body": "item,rating\\n.."}``
-in a folder; the stream parses new files and appends typed rating rows to a
-Parquet table. The checkpoint (in the shared checkpoint folder) records which
-files were committed, so a restart after a lost executor or driver neither
-drops nor duplicates a request. ``availableNow`` processes what is there and
-stops: the batch-refresh cadence of a request handler without a server.
+in a folder. The stream parses new files and adds typed rows to a ratings table
+in the layout of :mod:`ratecraft.plans.prepare` (bucket folders), below a folder
+of its micro-batch. A post carries no time of its own: its ``ts`` is when its
+file arrived, which a replay reads again. Each batch's folder is overwritten as a
+whole and the checkpoint (in the shared folder) records which files were
+committed, so a restart neither drops nor duplicates a request. ``availableNow``
+processes what is there and stops: the batch-refresh cadence of a request
+handler without a server.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.splits import ts_bucket
 from ..sources.text import parse_posted
 
-POSTED_SCHEMA = "user_id int, body string"
+#: User ids are read as text: an id that isn't an int32 is a malformed line, not NULL.
+POSTED_SCHEMA = "user_id string, body string, _corrupt_record string"
+POSTED_TABLE_SCHEMA = ("user_id int, item_id int, rating double, ts bigint, batch_id bigint,"
+                       " bucket int")
 
 
 def posted_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 1000):
+    """New files' records, with ``ts``: the second a record's file arrived."""
     return (spark.readStream.schema(POSTED_SCHEMA)
+            .option("columnNameOfCorruptRecord", "_corrupt_record")
             .option("maxFilesPerTrigger", max_files_per_trigger)
-            .json(source_dir))
+            .json(source_dir)
+            .select("*", F.col("_metadata.file_modification_time").cast("timestamp")
+                    .cast("long").alias("ts")))
 
 
-def ingest_posted(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                  mode: str = "failfast", timeout_s: int = 600) -> DataFrame:
-    """Run one ``availableNow`` ingest and return the sink table."""
-    rows = parse_posted(posted_stream(spark, source_dir), mode=mode)
-    if mode == "quarantine":
-        rows = rows[0]
-    query = (rows.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", checkpoint_dir)
-             .trigger(availableNow=True)
-             .start(sink_dir))
-    finished = query.awaitTermination(timeout_s)
-    if not finished:
+def _finish(query, timeout_s: int | None, what: str) -> None:
+    """Wait until all available input is processed; a time limit only on request."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
-        raise TimeoutError(f"ingest did not finish within {timeout_s}s")
+        raise TimeoutError(f"{what} did not finish within {timeout_s}s")
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    return spark.read.schema("user_id int, item_id int, rating double").parquet(sink_dir)
+
+
+def rejects_path(sink_dir: str) -> str:
+    return sink_dir.rstrip("/") + "_rejects"
+
+
+def ingest_posted(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
+                  mode: str = "failfast", timeout_s: int | None = None) -> DataFrame:
+    """Run one ``availableNow`` ingest and return the table of posted ratings.
+
+    ``quarantine`` writes every malformed record or line to the table at
+    :func:`rejects_path` as ``(line, reason)``; ``failfast`` fails on the first.
+    """
+    sink = sink_dir.rstrip("/")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = parse_posted(batch, mode=mode, corrupt_col="_corrupt_record", extra=("ts",))
+        if mode == "quarantine":
+            rows, rejects = rows
+            rejects.write.mode("overwrite").parquet(f"{rejects_path(sink)}/batch_id={batch_id}")
+        (rows.withColumn("bucket", ts_bucket("ts")).sortWithinPartitions("bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch_id={batch_id}"))
+
+    query = (posted_stream(spark, source_dir).writeStream
+             .option("checkpointLocation", checkpoint_dir)
+             .foreachBatch(write_batch)
+             .trigger(availableNow=True)
+             .start())
+    _finish(query, timeout_s, "ingest")
+    return read_posted_table(spark, sink_dir)
+
+
+def read_posted_table(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """Posted ratings with the columns of the ratings table."""
+    return spark.read.schema(POSTED_TABLE_SCHEMA).parquet(sink_dir).select(
+        "user_id", "item_id", "rating", "ts", "bucket")
+
+
+def read_rejects(spark: SparkSession, sink_dir: str) -> DataFrame:
+    return spark.read.schema("line string, reason string, batch_id bigint") \
+        .parquet(rejects_path(sink_dir)).select("line", "reason")
 
 
 def running_item_stats(spark: SparkSession, source_dir: str, sink_dir: str,
-                       checkpoint_dir: str, timeout_s: int = 600) -> DataFrame:
+                       checkpoint_dir: str, timeout_s: int | None = None) -> DataFrame:
     """Per-item count and mean maintained incrementally as posts arrive.
 
     A stateful streaming aggregation (state: one (count, sum) per item, bounded
@@ -52,9 +96,7 @@ def running_item_stats(spark: SparkSession, source_dir: str, sink_dir: str,
     after a restart overwrites the same folder, so the output is exactly-once.
     Returns the current snapshot (latest row per item).
     """
-    from pyspark.sql import functions as F
-
-    rows = parse_posted(posted_stream(spark, source_dir))
+    rows = parse_posted(posted_stream(spark, source_dir), corrupt_col="_corrupt_record")
     agg = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_ratings"),
                                       F.sum("rating").alias("sum_rating"))
 
@@ -66,19 +108,12 @@ def running_item_stats(spark: SparkSession, source_dir: str, sink_dir: str,
              .foreachBatch(write_batch)
              .trigger(availableNow=True)
              .start())
-    finished = query.awaitTermination(timeout_s)
-    if not finished:
-        query.stop()
-        raise TimeoutError(f"running item stats did not finish within {timeout_s}s")
-    if query.exception() is not None:
-        raise RuntimeError(str(query.exception()))
+    _finish(query, timeout_s, "running item stats")
     return item_stats_snapshot(spark, sink_dir)
 
 
 def item_stats_snapshot(spark: SparkSession, sink_dir: str) -> DataFrame:
     """Latest (count, mean) per item from the per-batch update files."""
-    from pyspark.sql import functions as F
-
     log = spark.read.schema("item_id int, n_ratings bigint, sum_rating double, batch_id bigint") \
         .parquet(sink_dir)
     latest = log.groupBy("item_id").agg(

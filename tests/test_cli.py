@@ -44,7 +44,8 @@ def test_train_with_rank_search_writes_model_and_metrics(spark):
     _write(f"{root}/ratings", rows)
     assert main(["prepare", "--ratings", f"{root}/ratings", "--out", f"{root}/table"]) == 0
     assert main(["train", "--table", f"{root}/table", "--model", f"{root}/model", "--search",
-                 "--metrics", f"{root}/metrics"]) == 0
+                 "--ranks-out", f"{root}/ranks", "--metrics", f"{root}/metrics"]) == 0
+    assert sorted(r["rank"] for r in spark.read.json(f"{root}/ranks").collect()) == [4, 6, 8, 10, 12]
     metrics = {r.split: r.n for r in spark.read.json(f"{root}/metrics").collect()}
     assert set(metrics) == {"validation", "test"} and all(n > 0 for n in metrics.values())
     from ratecraft.plans import train

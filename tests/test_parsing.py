@@ -84,3 +84,10 @@ def test_parse_is_one_split_per_row(spark):
     df = text.load_positive_ratings(_lines(spark, ["1::2::3::4"])).where(F.col("bucket") == 4)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_nan_is_not_a_positive_rating_and_rejects_are_returned(spark):
+    lines = spark.createDataFrame([("1::2::nan::5",), ("1::3::4::6",), ("1::4::0::7",), ("bad",)], "value string")
+    good, rejects = text.load_positive_ratings(lines, mode="quarantine")
+    assert [r.item_id for r in good.collect()] == [3]
+    assert [tuple(r) for r in rejects.collect()] == [("bad", "too few fields")]

@@ -39,7 +39,7 @@ def test_item_stats_exact_under_skew(skewed):
 def test_pairwise_rmse_exact_under_copies(skewed):
     pdf, df = skewed
     preds = df.withColumn("prediction", (df.item_id % 5).cast("double"))
-    got = evaluate.rmse_pairwise(preds, df).collect()[0]
+    got = evaluate.rmse_pairwise(preds).collect()[0]
     p = pdf.assign(prediction=(pdf.item_id % 5).astype(float))
     j = p.merge(pdf, on=["split", "user_id", "item_id"], suffixes=("", "_a"))
     want = math.sqrt(((j.prediction - j.rating_a) ** 2).mean())

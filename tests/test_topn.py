@@ -1,6 +1,10 @@
 """Block top-N against brute force: many blocks, exclusions, ties."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ratecraft.functions.vectors import dot
 
 from ratecraft.operators.topn import top_n, top_n_by_dot
 
@@ -65,3 +69,56 @@ def test_single_user_path_matches_block_path(spark):
     assert [(r.rank, r.item_id, r.score) for r in one] == \
         sorted((r.rank, r.item_id, r.score) for r in blk)
     assert recommend_for_user(99, uf, itf, 7).count() == 0
+
+
+def _frames(spark, users, items):
+    return (spark.createDataFrame([(k, v) for k, v in enumerate(users)], "user_id int, features array<float>"),
+            spark.createDataFrame([(k, v) for k, v in enumerate(items)], "item_id int, features array<float>"))
+
+
+@pytest.mark.parametrize("rank", [10, 64, 300])
+def test_equal_float_vectors_tie_by_item_in_both_paths(spark, rank):
+    from ratecraft.plans.recommend import recommend_for_user
+    rng = np.random.default_rng(rank)
+    v = [float(x) for x in rng.normal(size=rank).astype(np.float32)]
+    users = [[float(x) for x in rng.normal(size=rank).astype(np.float32)] for _ in range(12)]
+    uf, itf = _frames(spark, users, [v] * 300)
+    got = top_n_by_dot(uf, itf, 5, user_blocks=2, item_blocks=3)
+    for u in range(0, 12, 4):
+        rows = sorted((r.rank, r.item_id, r.score) for r in got.where(F.col("user_id") == u).collect())
+        assert [r[1] for r in rows] == [0, 1, 2, 3, 4]
+        one = recommend_for_user(u, uf, itf, 5).collect()
+        assert [(r.rank, r.item_id, r.score) for r in one] == rows
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf")])
+def test_scores_that_are_not_finite_fail_in_both_paths(spark, bad):
+    from ratecraft.plans.recommend import recommend_for_user
+    uf, itf = _frames(spark, [[1.0, 1.0]], [[1.0, 2.0], [bad, 1.0]])
+    with pytest.raises(Exception, match="not finite"):
+        top_n_by_dot(uf, itf, 2).collect()
+    with pytest.raises(Exception, match="not finite"):
+        recommend_for_user(0, uf, itf, 2).collect()
+
+
+@pytest.mark.parametrize("rank", [64, 300])
+def test_vectors_of_another_length_fail_at_any_rank(spark, rank):
+    df = spark.createDataFrame([([1.0] * rank, [1.0] * (rank + 1))], "a array<float>, b array<float>")
+    with pytest.raises(Exception, match="length mismatch"):
+        df.select(dot("a", "b", rank)).collect()
+    uf, itf = _frames(spark, [[1.0] * rank], [[1.0] * (rank + 1)])
+    with pytest.raises(Exception, match="mismatch"):
+        top_n_by_dot(uf, itf, 2).collect()
+
+
+def test_dense_exclusions(spark):
+    """Every user has rated all items but two; repeated pairs change nothing."""
+    rng = np.random.default_rng(2)
+    n_items = 400
+    uf, itf = _frames(spark, rng.normal(size=(30, 3)).astype(np.float32).tolist(),
+                      rng.normal(size=(n_items, 3)).astype(np.float32).tolist())
+    rated = spark.range(30).select(F.col("id").cast("int").alias("user_id")).withColumn(
+        "item_id", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1)))).where("(item_id + user_id) % 200 <> 0")
+    got = top_n_by_dot(uf, itf, 5, exclude=rated.union(rated), item_blocks=3, user_blocks=2).collect()
+    want = {(u, i) for u in range(30) for i in range(n_items) if (i + u) % 200 == 0}
+    assert {(r.user_id, r.item_id) for r in got} == want and len(got) == len(want)
