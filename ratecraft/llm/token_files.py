@@ -8,10 +8,10 @@ boundary is found without decoding the rest. A segment is a row of a Parquet
 table below the shared folder. Global offsets are sums of the segments' id
 counts, first by writing task, then by segment; no 64-bit table is stored.
 
-The tokenizer is the library's. A task remembers the ids of space-delimited
-pieces: byte-level BPE never joins a piece that begins with a single space
-between two visible characters to what precedes it, so encoding pieces gives the
-ids of the whole text; texts cut in any other way are encoded whole.
+The tokenizer is the library's. Byte-level BPE first cuts a text by a pattern and
+then encodes each piece for itself, so a task encodes a piece once and remembers
+its ids. ``PIECE`` is that pattern for ASCII and Latin letters; a text that it
+doesn't cover, or with a run of white space, is encoded whole.
 
 Defined results: null and empty texts hold the end id alone; rows with a null id
 come first; rows that share an id are ordered by text hash and equal rows are
@@ -21,6 +21,7 @@ text above ``SEGMENT_IDS`` ids makes a segment of its own.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -41,7 +42,7 @@ SEGMENT_DOCS = 4096
 #: Set bits between two samples of the select structure.
 STRIDE = 64
 #: Pieces whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 SCHEMA = ("part int, seq int, n_docs int, n_ids long, id_bytes int, doc_ids array<bigint>, low_bits int,"
           " low binary, high binary, samples binary, ids binary")
 
@@ -90,8 +91,17 @@ class EliasFano:
         return high + planes.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits))
 
 
-def _visible(c: str) -> bool:
-    return "!" <= c <= "~" or "À" <= c <= "ɏ"
+#: What the tokenizer's own pattern gives on texts of these characters, as long
+#: as no white space is next to another, except a space after a line end.
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE's letters: printable bytes stand for themselves, the
+    others for the characters from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class _Encoder:
@@ -102,28 +112,25 @@ class _Encoder:
 
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
-        self.first, self.later = {}, {}
-
-    def _learn(self, known, pieces, lead):
-        new = [p for p in pieces if p not in known and p and _visible(p[0]) and _visible(p[-1])]
-        for p, e in zip(new, self.tok.encode_batch([lead + p for p in new], add_special_tokens=False), strict=True):
-            known[p] = array(self.kind, e.ids).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) + len(self.first) > REMEMBERED:
-            self.first, self.later = {}, {}
-        cut = [t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in cut}, "")
-        self._learn(self.later, set().union(*(p[1:] for p in cut)), " ")
-        out, get = [], self.later.__getitem__
-        for t, p in zip(texts, cut, strict=True):
-            try:
-                out.append(self.first[p[0]] + b"".join(map(get, p[1:])))
-            except KeyError:  # some space isn't a plain one: encode it whole
-                out.append(array(self.kind, self.tok.encode(t, add_special_tokens=False).ids).tobytes())
-        return out
+        self.alphabet = _byte_alphabet()
+        self.known = {}
+
+    def _ids(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = self.known[piece] = array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        pieces = PIECE.findall(text)
+        if sum(map(len, pieces)) != len(text) or "\n\n" in text:
+            return array(self.kind, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        get, learn = self.known.get, self._ids
+        return b"".join([get(p) or learn(p) for p in pieces])
 
 
 def _segment(part, seq, held, width):
@@ -145,10 +152,10 @@ def _encode(tokenizer_json):
         for b in batches:
             encoder = encoder or _Encoder(tokenizer_json.value)
             width, end = encoder.width, END_ID.to_bytes(encoder.width, "little")
-            for lo in range(0, b.num_rows, 512):
-                piece = b.slice(lo, 512)
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                for d, ids in zip(piece.column("doc_id").to_pylist(), encoder(texts), strict=True):
+            for lo in range(0, b.num_rows, 128):
+                piece = b.slice(lo, 128)
+                for d, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                    ids = encoder(text or "")
                     n = len(ids) // width + 1
                     if held and (size + n > SEGMENT_IDS or len(held) >= SEGMENT_DOCS):
                         yield _batch(_segment(part, seq, held, width))
