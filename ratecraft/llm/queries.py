@@ -15,6 +15,7 @@ from ratecraft.llm import (
     warc_archive,
 )
 from ratecraft.llm.common import load
+from ratecraft.llm.oracle import SQL  # noqa: F401
 
 
 def op1_suffix_dedup(spark, sf_dir):
@@ -71,5 +72,3 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
-
-SQL: dict[str, str] = {}
