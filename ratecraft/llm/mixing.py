@@ -83,13 +83,13 @@ def _rate(l, c):
 
 def balance(hist: DataFrame, goal: DataFrame) -> DataFrame:
     """``goal`` with ``mean`` and the dual variable ``l`` of each source."""
-    s = goal.withColumn("mean", F.col("source_size") / F.col("n_full"))
-    share = F.col("target") / F.col("source_size")
-    least = F.col("least") / F.col("mean")
-    top = F.log(F.lit(float(MOST))) / least  # here even the smallest document has all its copies
+    s = goal.withColumn("mean", F.try_divide("source_size", "n_full"))
+    share = F.try_divide("target", "source_size")
+    least = F.try_divide("least", "mean")
+    top = F.try_divide(F.log(F.lit(float(MOST))), least)  # here even the smallest document has all its copies
     full = share >= MOST * (1 - 1e-12)
     s = s.withColumns({
-        "lo": F.when(share >= 1, F.lit(0.0)).otherwise(F.log(share) / least),
+        "lo": F.when(share >= 1, F.lit(0.0)).otherwise(F.try_divide(F.log(share), least)),
         "hi": F.when(share >= 1, top).otherwise(F.lit(0.0)),
         "l": F.when(full, top).otherwise(F.log(share)),
         "off": F.when(full | (F.col("source_size") == 0), F.lit(0.0)).otherwise(F.lit(1.0)),
@@ -100,7 +100,7 @@ def balance(hist: DataFrame, goal: DataFrame) -> DataFrame:
         if not (s.agg(F.max("off")).first()[0] or 0) > CLOSE:
             break
         open_ = s.where(F.col("off") > CLOSE)
-        c = F.col("size") / F.col("mean")
+        c = F.try_divide("size", "mean")
         r = _rate(F.col("l"), c)
         words = F.col("n") * F.col("size")
         sums = docs.join(open_, "key").groupBy("key").agg(
@@ -111,8 +111,8 @@ def balance(hist: DataFrame, goal: DataFrame) -> DataFrame:
         hi = F.when(miss >= 0, F.col("l")).otherwise(F.col("hi"))
         s = s.withColumns({"lo": F.when(F.col("f").isNull(), F.col("lo")).otherwise(lo),
                            "hi": F.when(F.col("f").isNull(), F.col("hi")).otherwise(hi),
-                           "off": F.when(F.col("f").isNull(), F.col("off")).otherwise(F.abs(miss) / F.col("target"))})
-        step = F.col("l") - miss / F.col("df")
+                           "off": F.when(F.col("f").isNull(), F.col("off")).otherwise(F.try_divide(F.abs(miss), F.col("target")))})
+        step = F.col("l") - F.try_divide(miss, F.col("df"))
         inside = (F.col("df") > 0) & (step > F.col("lo")) & (step < F.col("hi"))
         s = s.withColumn("l", F.when(F.col("f").isNull() | (F.col("off") <= CLOSE), F.col("l"))
                          .when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)).drop("f", "df")
@@ -156,7 +156,7 @@ def with_copies(docs: DataFrame) -> DataFrame:
         "mix_size": n_words(F.col("text")), "mix_deal": deal,
         "mix_block": F.xxhash64("mix_key", F.pmod(deal, F.col("mix_blocks")))})
     rows = rows.withColumn("mix_rate", F.when(F.col("mix_size") == 0, F.lit(1.0)).otherwise(
-        _rate(F.col("mix_l"), F.col("mix_size") / F.col("mix_mean"))))
+        _rate(F.col("mix_l"), F.try_divide("mix_size", "mix_mean"))))
     rows = rows.drop("mix_key", "mix_mean", "mix_l", "mix_blocks").repartition("mix_block") \
         .sortWithinPartitions("mix_block", F.desc("mix_size"), "mix_deal")
     schema = StructType([*rows.schema.fields, StructField("mix_copies", LongType())])
