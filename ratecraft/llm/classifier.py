@@ -206,8 +206,8 @@ def train(docs: DataFrame, labels: DataFrame):
         .select(F.col("doc_id").alias("label_id"), F.col("label").cast("int").alias("label"))
     rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")) \
         .join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))  # about SAMPLE rows of 12 bytes
-    got = rows.select("doc_id", "label", "text", "n_chars").mapInArrow(_featurise, "label int, f binary, v binary") \
-        .orderBy("f", "v", "label").collect()
+    got = rows.select("doc_id", "label", "text", "n_chars").mapInArrow(_featurise, "label int, f binary, v binary").collect()
+    got.sort(key=lambda r: (r.f, r.v, r.label))  # the fit must not depend on the tasks' order
     return fit([r.label for r in got], [(np.frombuffer(r.f, np.int32), np.frombuffer(r.v, np.float32)) for r in got])
 
 
