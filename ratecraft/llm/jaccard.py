@@ -7,14 +7,15 @@ at least ``num / den``. The steps, each one a Spark job over all rows:
    that set names its class, so equal sets are one class from here on. A class
    has a size and a parity bitmap: bit ``h mod BITS`` flips for each shingle.
    The same pass counts shingles in a table of ``CELLS`` cells.
-2. Two similar sets must share one of the first ``n - ceil(t n) + 1`` shingles
-   of any common order. The order puts shingles from crowded cells last; it
-   decides the speed, never the result. Those shingles are the tile keys.
+2. Two similar sets must share ``l`` of the first ``n - ceil(t n) + l`` shingles
+   of any common order, with ``l`` about ``n / SHARED``, the smaller of the two.
+   The order puts shingles from crowded cells last; it decides the speed, never
+   the result. Those shingles are the tile keys.
 3. Tiles: the classes of one key, sorted by size. Pairs whose sizes differ by
    more than the threshold allows are not formed (the size band), and the bit
    count of the two bitmaps' difference bounds the overlap from above:
    ``|A & B| <= (|A| + |B| - bits(A xor B)) / 2``, first with bitmaps folded to
-   ``BITS``, then, a pair once, with the whole ones. Tiles of one key above
+   ``BITS``, then, for pairs met under ``l`` keys, with the whole ones. Tiles of one key above
    ``TILE`` rows are dealt into pairs of blocks, so no task holds a hot key.
 4. Pairs that pass are settled exactly by intersecting the sorted sets; pairs
    of classes already found in one component are spared.
@@ -56,6 +57,8 @@ from ratecraft.llm.components import components
 #: Bits of the folded signature that travels with every tile row, and the
 #: least of a whole one.
 BITS = 512
+#: One in so many of a set's shingles must be among the keys it shares.
+SHARED = 32
 #: Cells of the table that orders shingles by how common they are.
 CELLS = 1 << 18
 #: Rows of a tile side; a key with more rows is dealt into pairs of blocks.
@@ -159,7 +162,7 @@ def _keys(k, num, den, crowd):
                     continue
                 seen.add(c)
                 n = len(s)
-                p = n - (num * n + den - 1) // den + 1
+                p = n - (num * n + den - 1) // den + max(1, n // SHARED)
                 lv = level[(s >> np.uint64(46)).astype(np.int64)]
                 if lv.any():
                     s = s[np.lexsort((s, lv))]
@@ -226,9 +229,10 @@ def _tile_pairs(num, den):
                 diff = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
                 most = (n[x] + n[y] - diff) // 2
                 good = most * (num + den) >= num * (n[x] + n[y])
-                out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])])[:, good])
+                out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]),
+                                     np.maximum(1, n[x] // SHARED)])[:, good])  # x is the smaller
             d += 1
-        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
 
     def run(batches):
         held = None
@@ -242,11 +246,11 @@ def _tile_pairs(num, den):
             if last:
                 p = pairs({c: v[:last] for c, v in t.items()})
                 if p.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], names=["a", "b", "need"])
         if held is not None and len(held["tile"]):
             p = pairs(held)
             if p.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], names=["a", "b", "need"])
 
     return run
 
@@ -403,7 +407,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     tiles = _tiles(rows).select("tile", "cls", "tier", "side").join(about, "cls") \
         .select("tile", "n", "cls", "comp", "tier", "side", "bits") \
         .repartition("tile").sortWithinPartitions("tile", "n", "cls")
-    rest = tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct()
+    rest = tiles.mapInArrow(_tile_pairs(num, den), "a long, b long, need long") \
+        .groupBy("a", "b", "need").agg(F.count("*").alias("met")).where("met >= need").select("a", "b")
     rest = written(_bounded(rest, classes, num, den), "candidates")
     # Pairs inside a component say nothing new. Two rounds settle one pair a
     # class, which joins most groups; the last settles all that is left.
