@@ -103,7 +103,8 @@ def _pack(batches):
 
     def row(rows):
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([[k for k, _, _ in rows]], pa.list_(pa.int64())),
+            [pa.array([part], pa.int32()), pa.array([seq], pa.int32()),
+             pa.array([[k for k, _, _ in rows]], pa.list_(pa.int64())),
              pa.array([np.array([t for _, t, _ in rows], bool).tobytes()], pa.binary()),
              pa.array([np.array([len(s) for _, _, s in rows], np.int64).tobytes()], pa.binary()),
              pa.array([np.concatenate([s for _, _, s in rows]).astype(np.uint16).tobytes()], pa.binary())],
@@ -310,7 +311,8 @@ def hmm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, rounds: int =
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"),
         (crc32_of_id("doc_id") % folds != held_out).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     counts = written(word_counts(rows), "counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == 0, F.col("c"))).alias("e")).first()
+    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"),
+                       F.max(F.when(F.col("word") == 0, F.col("c"))).alias("e")).first()
     n, v, ends = total.n or 0, total.v, total.e or 0
 
     # The most frequent words: from the lowest count that leaves at most HEAD.
@@ -344,10 +346,16 @@ def hmm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, rounds: int =
     tail = counts if least is None else counts.where(F.col("c") < least)
     rare = looked.where("word is not null").select("key", "word", "tf").join(tail, "word") \
         .select("key", (F.col("tf") * F.log10(F.col("c") + 1)).alias("logs"), F.col("tf").alias("n_known"))
+    def parts(df, **has):
+        columns = {"n_tokens": "long", "n_known": "long", "logs": "double", "chain": "double"}
+        return df.select("key", *[has.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()],
+                         F.lit(int("n_tokens" in has)).alias("one"))
+
     # Rows of equal key are equal: each sum is right after division by their number.
-    per = looked.where("word is null").select("key", "n_tokens", "n_known", "logs", F.lit(None).cast("double").alias("chain"), F.lit(1).alias("one")) \
-        .unionByName(rare.select("key", F.lit(None).cast("long").alias("n_tokens"), "n_known", "logs", F.lit(None).cast("double").alias("chain"), F.lit(0).alias("one"))) \
-        .unionByName(chain.select("key", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("n_known"), F.lit(None).cast("double").alias("logs"), "chain", F.lit(0).alias("one")))
+    n_known, logs = F.col("n_known"), F.col("logs")
+    per = parts(looked.where("word is null"), n_tokens=F.col("n_tokens"), n_known=n_known, logs=logs) \
+        .unionByName(parts(rare, n_known=n_known, logs=logs)) \
+        .unionByName(parts(chain, chain=F.col("chain")))
     per = per.groupBy("key").agg(
         F.max("n_tokens").alias("n_tokens"), (F.sum("n_known") / F.sum("one")).cast("long").alias("n_known"),
         (F.sum("logs") / F.sum("one")).alias("logs"), F.max("chain").alias("chain"))

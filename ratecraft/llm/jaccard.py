@@ -43,7 +43,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ratecraft.llm.common import (
-    as_hash,
     as_long,
     hash_shingles,
     hash_words,

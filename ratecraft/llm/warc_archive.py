@@ -109,7 +109,8 @@ def original_records(spark, path: str) -> DataFrame:
     r = read_archive(spark, path)
     header = F.regexp_replace("header", r"(?<=\r\n)(WARC-Refers-To|WARC-Profile|X-Content-Address): [^\r]*\r\n", "")
     header = F.regexp_replace(header, r"WARC-Type: revisit", "WARC-Type: response")
-    header = F.regexp_replace(header, r"Content-Length: [0-9]+", F.concat(F.lit("Content-Length: "), F.col("payload_bytes").cast("string")))
+    size = F.concat(F.lit("Content-Length: "), F.col("payload_bytes").cast("string"))
+    header = F.regexp_replace(header, r"Content-Length: [0-9]+", size)
     return r.select("page_id", F.concat(header.cast("binary"), F.col("payload"),
                                         F.lit(_EOL * 2).cast("binary")).alias("record"))
 
