@@ -53,7 +53,7 @@ def n_words(text) -> F.Column:
 # --- UTF-8 text columns as numpy arrays -------------------------------------
 
 #: Text bytes handled at once inside a task; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
