@@ -11,7 +11,9 @@ counts, first by writing task, then by segment; no 64-bit table is stored.
 The tokenizer is the library's. Byte-level BPE first cuts a text by a pattern and
 then encodes each piece for itself, so a task encodes a piece once and remembers
 its ids. ``PIECE`` is that pattern for ASCII and Latin letters; a text that it
-doesn't cover, or with a run of white space, is encoded whole.
+doesn't cover, with a run of white space, or with the content of an added token
+is encoded whole. Such content (``<|endoftext|>``) becomes the token's own id, as
+in the library's plain ``encode(text, add_special_tokens=False)``.
 
 Defined results: null and empty texts hold the end id alone; rows with a null id
 come first; rows that share an id are ordered by text hash and equal rows are
@@ -21,6 +23,7 @@ text above ``SEGMENT_IDS`` ids makes a segment of its own.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -111,7 +114,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(tokenizer_json)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
         self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
@@ -125,7 +128,7 @@ class _Encoder:
 
     def __call__(self, text: str) -> bytes:
         pieces = PIECE.findall(text)
-        if sum(map(len, pieces)) != len(text) or "\n\n" in text:
+        if sum(map(len, pieces)) != len(text) or "\n\n" in text or any(a in text for a in self.added):
             return array(self.kind, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.known) > REMEMBERED:
             self.known = {}

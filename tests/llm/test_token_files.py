@@ -61,3 +61,18 @@ def test_ties_nulls_and_no_rows(docs):
     got = sorted((r.start, r.doc_id) for r in tf.token_report(docs(rows), path).collect())
     assert [d for _, d in got] == [None, 1, 5, 5, 5] and got[0][0] == 0
     assert tf.token_report(docs(rows).where("doc_id = 77"), path).collect() == []
+
+
+def test_added_tokens_keep_their_ids(docs):
+    path = public.path("byte_bpe_50k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    rows = [(1, "a<|endoftext|>b"), (2, "some words"), (3, "<|endoftext|><|endoftext|> and\n\nmore é中"), (4, "<|endoftext"),
+            (5, "a<|endoftext|>b")]
+    assert plain.encode(rows[0][1], add_special_tokens=False).ids == [64, 50256, 65]
+    got = {r.doc_id: r for r in tf.token_report(docs(rows), path).collect()}
+    at = 0
+    for i, text in rows:
+        ids = plain.encode(text, add_special_tokens=False).ids + [tf.END_ID]
+        r = got[i]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
