@@ -18,7 +18,8 @@ Defined results: null and empty texts have no words and are scored by their
 statistics; without labels of both kinds every score is the share of good
 labels, or 0.5; a document with labels that differ counts as bad; rows with a
 null id are scored, and never trained on; null ``n_chars`` has a bin of its own;
-repeated rows are scored one by one; other columns are not read.
+repeated rows are scored one by one, and of rows that share an id the one with
+the least text hash is trained on; other columns are not read.
 """
 
 from __future__ import annotations
@@ -206,7 +207,10 @@ def train(docs: DataFrame, labels: DataFrame):
         .select(F.col("doc_id").alias("label_id"), F.col("label").cast("int").alias("label"))
     rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")) \
         .join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))  # about SAMPLE rows of 12 bytes
-    got = rows.select("doc_id", "label", "text", "n_chars").mapInArrow(_featurise, "label int, f binary, v binary").collect()
+    # One row an id, whatever its number of rows: the least text hash.
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "n_chars", "text")).alias("one")
+    rows = rows.groupBy("doc_id", "label").agg(one).select("doc_id", "label", "one.text", "one.n_chars")
+    got = rows.mapInArrow(_featurise, "label int, f binary, v binary").collect()
     got.sort(key=lambda r: (r.f, r.v, r.label))  # the fit must not depend on the tasks' order
     return fit([r.label for r in got], [(np.frombuffer(r.f, np.int32), np.frombuffer(r.v, np.float32)) for r in got])
 

@@ -41,3 +41,16 @@ def test_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in fm.classify(docs([(1, "a"), (2, None)]), none).collect()} == {0.5}
     assert fm.classify(docs([(1, "a")]).where("doc_id = 9"), none).collect() == []
+
+
+def test_an_id_is_trained_on_once_however_many_rows_hold_it(spark, docs, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = [(i, f"text number {i}") for i in range(60)]
+    seen = []
+    monkeypatch.setattr(fm, "fit", lambda label, sets: seen.append((label, [(f.tolist(), v.tolist()) for f, v in sets])))
+    for copies in ([], [(7, f"other {k % 3}") for k in range(500)], [(7, f"other {k % 3}") for k in range(40)]):
+        fm.train(docs(rows + copies), labels)
+    known = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").count()
+    assert labels.where("doc_id = 7 and crc32(cast('7' as binary)) % 5 != 0").count() == 1
+    assert [len(label) for label, _ in seen] == [known] * 3
+    assert seen[1] == seen[2]
