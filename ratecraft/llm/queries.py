@@ -8,6 +8,7 @@ from ratecraft.llm import (
     hmm,
     jaccard,
     mixing,
+    periodic_runs,
     quality_rules,
     repeats,
     sharding,
@@ -60,6 +61,10 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_report(load(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -71,4 +76,5 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op13_periodic_runs": op13_periodic_runs,
 }
