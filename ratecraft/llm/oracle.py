@@ -93,3 +93,34 @@ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, {_BASE32} AS pa
        CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> owner THEN owner END AS refers_to
 FROM p JOIN o ON p.html = o.html"""
+
+SQL["op11_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+  v AS (SELECT *, [w for w in regexp_split_to_array(x, '[\x20\x09-\x0D]+') if w <> ''] AS w,
+               min(doc_id) OVER (PARTITION BY x) AS least FROM t),
+  f AS (SELECT part,
+               CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+               + 4 * CAST(100 * (len(x) - len(regexp_replace(x, '[A-Z]', '', 'g'))) > 5 * len(x) AS INT)
+               + 8 * CAST(regexp_matches(x, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > least, FALSE) AS INT) AS mask,
+               EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = v.doc_id AND l.quality = 1) AS good,
+               EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = v.doc_id AND l.toxic = 1) AS toxic FROM v),
+  m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+  letters AS (SELECT unnest(string_split('A B C D E', ' ')) AS l),
+  orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+             WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+  steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS l FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+  bits AS (SELECT filter_order, CAST(step AS INTEGER) AS step, l, 1 << (instr('ABCDE', l) - 1) AS own,
+                  coalesce(list_sum([1 << (instr('ABCDE', c) - 1) for c in string_split(substr(filter_order, 1, step - 1), '')
+                                     if c <> '']), 0)::INT AS past FROM steps),
+  r AS (SELECT part, filter_order, step, l,
+               coalesce(sum(n) FILTER (mask & (own | past) = 0), 0) AS kept,
+               coalesce(sum(n) FILTER (mask & own <> 0 AND mask & past = 0), 0) AS removed,
+               coalesce(sum(n) FILTER (mask & own <> 0 AND mask & past <> 0), 0) AS redundant,
+               coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+               coalesce(sum(good) FILTER (mask & own <> 0 AND mask & past = 0), 0) AS good_lost,
+               coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & past = 0), 0) AS toxic_lost
+        FROM m, bits GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley
+FROM r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ratecraft.llm import (
     classifier,
     decontaminate,
+    filter_audit,
     hmm,
     jaccard,
     mixing,
@@ -61,6 +62,10 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit_report(spark, f"{sf_dir}/documents.parquet", load(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.run_report(load(spark, sf_dir, "documents"), plant=True)
 
@@ -76,5 +81,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_filter_audit": op11_filter_audit,
     "op13_periodic_runs": op13_periodic_runs,
 }
