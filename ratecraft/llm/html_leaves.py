@@ -42,7 +42,7 @@ PATHS = 2048
 NEAREST = 16
 
 
-def _bucket(token: str) -> int:
+def bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % PATHS
 
 
@@ -56,17 +56,17 @@ class Paths:
         key = parent, tag, attributes
         found = self.known.get(key)
         if found is None:
-            own = {_bucket(tag)}
+            own = {bucket(tag)}
             for name, *value in _ATTRIBUTE.findall(attributes):
                 if name.lower() in ("class", "id", "role", "hidden", "aria-hidden"):
-                    own.update(_bucket(f"{name.lower()[0]}-{t}" if name.lower() in ("hidden", "aria-hidden") else "." + t)
+                    own.update(bucket(f"{name.lower()[0]}-{t}" if name.lower() in ("hidden", "aria-hidden") else "." + t)
                                for t in _NAME.findall("".join(value).lower() or "yes"))
             found = self.known[key] = len(self.tokens)
             self.tokens.append((frozenset(own), *self.tokens[parent][:NEAREST - 1]))
         return found
 
     def buckets(self, path: int) -> list[int]:
-        """Tokens of a path; the innermost element's count twice."""
+        """Tokens of a path, and those of the innermost element once more under other numbers."""
         levels = self.tokens[path]
         out = [b for level in levels for b in sorted(level)]
         return out + ([(b + 1) % PATHS for b in sorted(levels[0])] if levels else [])

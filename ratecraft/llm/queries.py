@@ -7,6 +7,7 @@ from ratecraft.llm import (
     decontaminate,
     filter_audit,
     hmm,
+    html_main_text,
     jaccard,
     mixing,
     periodic_runs,
@@ -66,6 +67,10 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit_report(spark, f"{sf_dir}/documents.parquet", load(spark, sf_dir, "labels"))
 
 
+def op12_html_main_text(spark, sf_dir):
+    return html_main_text.main_texts(load(spark, sf_dir, "pages"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.run_report(load(spark, sf_dir, "documents"), plant=True)
 
@@ -82,5 +87,6 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
     "op11_filter_audit": op11_filter_audit,
+    "op12_html_main_text": op12_html_main_text,
     "op13_periodic_runs": op13_periodic_runs,
 }
