@@ -4,12 +4,14 @@
   train     --table TABLE [--personal TEXT] --model DIR [--search [--ranks-out OUT]] [--metrics OUT]
   recommend --model DIR --items TEXT --table TABLE [--personal TEXT] [--users IDS] --out OUT [--n 10] [--min-ratings 25]
   score     --model DIR --requests CSV --items TEXT --table TABLE --out OUT
-  refresh   --table TABLE (--new TEXT | --posted TABLE) --items TEXT --model DIR --out OUT [--n 10]
+  refresh   --table TABLE (--new TEXT | --posted TABLE) --items TEXT --model DIR --out OUT [--n 10] [--fold-in OLD]
   ingest    --posted DIR --out TABLE --checkpoint DIR   add posted ratings (availableNow)
 
 ``--users`` is a text path with a user id a line, ``--requests`` one with a
 ``user,item`` pair a line. ``refresh --posted`` reads the table that ``ingest``
-writes. ``--blocks`` (train, refresh) sets the ALS block count.
+writes; ``--fold-in`` names a saved model whose item vectors are kept, so that
+only the vectors of the new ratings' users are solved.
+``--blocks`` (train, refresh) sets the ALS block count.
 Paths are any Hadoop-readable location. Outputs are written by executors;
 the driver only ever holds single-row results.
 """
@@ -82,6 +84,7 @@ def main(argv=None) -> int:
     g.add_argument("--new")
     g.add_argument("--posted")
     a.add_argument("--blocks", type=int)
+    a.add_argument("--fold-in")
     a.add_argument("--items", required=True)
     a.add_argument("--model", required=True)
     a.add_argument("--out", required=True)
@@ -146,9 +149,13 @@ def main(argv=None) -> int:
         new = (read_posted_table(spark, args.posted) if args.posted
                else text.parse_ratings(text.read_lines(spark, args.new)))
         items = api.load_items(spark, args.items)
-        model, recs = api.add_ratings(history, new, items, args.n,
-                                      blocks=args.blocks or train.BLOCKS)
-        train.save(model, args.model)
+        if args.fold_in:
+            if args.fold_in.rstrip("/") == args.model.rstrip("/"):
+                raise SystemExit("--fold-in and --model must differ: the old model is read while the new one is written")
+            _, recs = api.fold_in_ratings(train.load(args.fold_in), history, new, items, args.n, path=args.model)
+        else:
+            model, recs = api.add_ratings(history, new, items, args.n, blocks=args.blocks or train.BLOCKS)
+            train.save(model, args.model)
         sinks.write_report(recs, args.out)
     elif args.cmd == "ingest":
         from .streaming import ingest_posted

@@ -15,7 +15,7 @@ single-user, driver-side version to Spark jobs over tables of users.
 | held-out RMSE                               | :func:`compute_rmse`              |
 | top unrated items for a user                | :func:`top_ratings` (any set of users), :func:`top_ratings_for_user` |
 | predicted ratings for listed items          | :func:`ratings_for_items`         |
-| add new ratings and retrain                 | :func:`add_ratings`               |
+| add new ratings and retrain                 | :func:`add_ratings`; without a refit :func:`fold_in_ratings` |
 """
 
 from __future__ import annotations
@@ -124,3 +124,9 @@ def add_ratings(history: DataFrame, new: DataFrame, items: DataFrame, n: int = 1
     """Fold ``new`` ratings into training, retrain and recommend for each of
     their users: ``(model, recs(user_id, rank, item_id, title, score))``."""
     return refresh.refresh(history, new, items, n, **kw)
+
+
+def fold_in_ratings(model: ALSModel, history: DataFrame, new: DataFrame, items: DataFrame, n: int = 10, **kw):
+    """Take ``new`` ratings in without a refit: the vectors of their users are
+    solved for the model's item vectors. ``(model, recs)`` as :func:`add_ratings`."""
+    return refresh.refresh_users(model, history, new, items, n, **kw)

@@ -28,9 +28,11 @@ TOP_N_PER_USER = 5
 MIN_RATINGS = 25
 
 # Our own parameters: the damping grid of the deterministic baseline model,
-# the window of "new" ratings for the refresh query, and result rounding.
+# the window of "new" ratings for the refresh query, which users of the fold-in
+# query have no history (one in three), and result rounding.
 DAMPING_GRID = (0.0, 5.0, 10.0, 25.0, 50.0)
 REFRESH_WINDOW_DAYS = 30
+NEWCOMERS = 3
 R6 = 6
 
 
@@ -365,6 +367,21 @@ def full_als_refresh(spark, sf):
     return recs.select("user_id", "rank", "item_id", "title", _r("score"))
 
 
+def _fold_in_inputs(spark, sf):
+    """The refresh inputs, without the history of every ``NEWCOMERS``-th user:
+    those only now send ratings."""
+    history, new = _refresh_inputs(spark, sf)
+    return history.where(F.pmod("user_id", F.lit(NEWCOMERS)) != 0), new
+
+
+def full_als_fold_in(spark, sf):
+    """Recommendations for the users of the new ratings by fold-in, no refit."""
+    history, new = _fold_in_inputs(spark, sf)
+    model = train.fit_durable(splits.split(history)[0])
+    _, recs = rf.refresh_users(model, history, new, _items(spark, sf), TOP_N)
+    return recs.select("user_id", "rank", "item_id", "title", _r("score"))
+
+
 def q_report_sink(spark, sf):
     """The recommendation report written as a table (executors write, the
     driver holds nothing) and read back."""
@@ -510,6 +527,32 @@ def q_als_refresh(spark, sf):
                           (fx.base(spark, sf), ["user_id", "item_id"]))
 
 
+def q_als_fold_in(spark, sf):
+    """Every user of the new ratings after a fold-in: ratings used, whether the
+    old model knew the user, and whether the vector solves the normal equations,
+    by the gradient of the user's squared error, summed rating by rating."""
+    history, new = _fold_in_inputs(spark, sf)
+    training = splits.split(history)[0]
+    old = train.fit_durable(training)
+    model, _ = rf.refresh_users(old, history, new, _items(spark, sf), TOP_N)
+    uf, itf = train.factors(model)
+    used = sets.training_union(training.join(new.select("user_id").distinct(), "user_id", "left_semi"), new)
+    rows = used.join(uf.withColumnRenamed("features", "x"), "user_id").join(itf.withColumnRenamed("features", "v"), "item_id")
+    err = dot("x", "v", train.RANK) - F.col("rating")
+    part = lambda c, k: F.get(c, F.lit(k)).cast("double")
+    norm = lambda c: F.sqrt(dot(c, c, train.RANK))
+    sums = rows.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_ratings"), F.first("x").alias("x"),
+        F.array(*[F.sum(err * part("v", k)) for k in range(train.RANK)]).alias("g"),
+        F.sum((norm("x") * norm("v") + F.abs("rating")) * norm("v")).alias("size"))
+    gradient = F.greatest(*[F.abs(part("g", k) + train.REG_PARAM * F.col("n_ratings") * part("x", k))
+                            for k in range(train.RANK)])
+    known = train.factors(old)[0].select("user_id", F.lit(False).alias("newcomer"))
+    return sums.join(known, "user_id", "left").select(
+        "user_id", "n_ratings", F.coalesce("newcomer", F.lit(True)).alias("newcomer"),
+        (gradient <= 1e-5 * (1 + F.col("size"))).alias("solved"))
+
+
 def q_model_roundtrip(spark, sf):
     """Factors of a fit against those read back from its files."""
     training, _ = _als_inputs(spark, sf)
@@ -576,6 +619,7 @@ QUERIES = {
     "als_recommend_all": q_als_recommend_all,
     "model_roundtrip": q_model_roundtrip,
     "als_refresh": q_als_refresh,
+    "als_fold_in": q_als_fold_in,
     "report_sink": q_report_sink,
     "ratings_table": q_ratings_table,
     "stream_ingest": q_stream_ingest,

@@ -371,3 +371,13 @@ SQL["als_refresh"] = _with("base", "items") + """,
   training AS (SELECT user_id, item_id FROM base WHERE ts < (SELECT since FROM cut) AND ((ts % 10) + 10) % 10 < 6
                UNION ALL SELECT user_id, item_id FROM fresh)""" + _lists(
     "fresh", 10, _FITTED + " WHERE item_id IN (SELECT item_id FROM items)", "rated")
+
+SQL["als_fold_in"] = _with("base") + """,
+  cut AS (SELECT max(ts) - 30 * 86400 AS since FROM base),
+  fresh AS (SELECT * FROM base WHERE ts >= (SELECT since FROM cut)),
+  training AS (SELECT user_id, item_id FROM base WHERE ts < (SELECT since FROM cut) AND ((ts % 10) + 10) % 10 < 6
+               AND user_id % 3 <> 0),
+  used AS (SELECT user_id, item_id FROM training WHERE user_id IN (SELECT user_id FROM fresh)
+           UNION ALL SELECT user_id, item_id FROM fresh)
+SELECT user_id, count(*) AS n_ratings, user_id NOT IN (SELECT user_id FROM training) AS newcomer, TRUE AS solved
+FROM used WHERE item_id IN (SELECT item_id FROM training) GROUP BY user_id"""
