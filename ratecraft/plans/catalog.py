@@ -211,6 +211,14 @@ def q_unrated_top_n(spark, sf):
     return recs.select("user_id", "rank", "item_id", _r("score"))
 
 
+def q_pruned_top_n(spark, sf):
+    """The rows of ``unrated_top_n`` by the pruned search."""
+    recs = rec.recommend(fx.user_factors(spark, sf), fx.item_factors(spark, sf), TOP_N,
+                         exclude=_rated_pairs(spark, sf), counts=_base_counts(spark, sf),
+                         min_ratings=MIN_RATINGS, prune=True)
+    return recs.select("user_id", "rank", "item_id", _r("score"))
+
+
 def q_recommend_titles(spark, sf):
     items = _items(spark, sf)
     recs = rec.recommend_for_user(fx.PERSONAL_USER, fx.user_factors(spark, sf),
@@ -522,6 +530,24 @@ def q_als_recommend_all(spark, sf):
     return _lists_checked(full_als_recommend_all(spark, sf), TOP_N)
 
 
+def full_als_pruned(spark, sf):
+    """Top-10 for all users of the fitted model by the pruned search."""
+    training, _ = _als_inputs(spark, sf)
+    uf, itf = train.factors(train.fit_durable(training))
+    return rec.recommend(uf, itf, TOP_N, prune=True).select("user_id", "rank", "item_id", _r("score"))
+
+
+def q_als_pruned(spark, sf):
+    """Every user's list by the pruned search: its length, and rows that the
+    unpruned search doesn't have (item, rank and score to the last bit)."""
+    training, _ = _als_inputs(spark, sf)
+    uf, itf = train.factors(train.fit_durable(training))
+    whole = rec.recommend(uf, itf, TOP_N).withColumn("found", F.lit(0).cast("long"))
+    return rec.recommend(uf, itf, TOP_N, prune=True).join(whole, ["user_id", "rank", "item_id", "score"], "left") \
+        .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_items"),
+                                F.sum(F.coalesce("found", F.lit(1).cast("long"))).alias("n_different"))
+
+
 def q_als_refresh(spark, sf):
     return _lists_checked(full_als_refresh(spark, sf), TOP_N,
                           (fx.base(spark, sf), ["user_id", "item_id"]))
@@ -602,6 +628,7 @@ QUERIES = {
     "popular_top_n": q_popular_top_n,
     "top_n_per_user": q_top_n_per_user,
     "unrated_top_n": q_unrated_top_n,
+    "pruned_top_n": q_pruned_top_n,
     "recommend_titles": q_recommend_titles,
     "recs_json": q_recs_json,
     "rmse": q_rmse,
@@ -617,6 +644,7 @@ QUERIES = {
     "als_recommend": q_als_recommend,
     "als_recommend_subset": q_als_recommend_subset,
     "als_recommend_all": q_als_recommend_all,
+    "als_pruned": q_als_pruned,
     "model_roundtrip": q_model_roundtrip,
     "als_refresh": q_als_refresh,
     "als_fold_in": q_als_fold_in,

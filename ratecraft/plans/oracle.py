@@ -271,6 +271,8 @@ SQL["unrated_top_n"] = _with("ufac", "ifac", "counts", "rated") + ",\n  " + _ran
          AND NOT EXISTS (SELECT 1 FROM rated r WHERE r.user_id = u.user_id AND r.item_id = i.item_id)""",
     10)
 
+SQL["pruned_top_n"] = SQL["unrated_top_n"]
+
 SQL["recommend_titles"] = _with("ufac", "ifac", "candidates", "titles") + """,
   scored AS (""" + _profile_scores("i.item_id IN (SELECT item_id FROM candidates)") + """),
   ranked AS (
@@ -364,6 +366,7 @@ SQL["als_recommend"] = _with("training", "counts", "rated") + _lists(
 SQL["als_recommend_subset"] = _with("training", "known", "bucketed") + _lists(
     "(SELECT user_id FROM bucketed WHERE split = 'test') b", 5, _FITTED, None)
 SQL["als_recommend_all"] = _with("training") + _lists("training", 10, _FITTED, None)
+SQL["als_pruned"] = SQL["als_recommend_all"].replace("AS n_broken", "AS n_different")
 SQL["als_refresh"] = _with("base", "items") + """,
   cut AS (SELECT max(ts) - 30 * 86400 AS since FROM base),
   fresh AS (SELECT * FROM base WHERE ts >= (SELECT since FROM cut)),

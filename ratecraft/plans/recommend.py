@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.aggregates import eligible_items
 from ..functions.vectors import dot, finite
+from ..operators.pruned import top_n_pruned
 from ..operators.topn import top_n, top_n_by_dot
 
 
@@ -23,14 +24,16 @@ def titles(items: DataFrame) -> DataFrame:
 def recommend(user_factors: DataFrame, item_factors: DataFrame, n: int,
               exclude: DataFrame | None = None, candidates: DataFrame | None = None,
               counts: DataFrame | None = None, min_ratings: int | None = None,
-              users: DataFrame | None = None) -> DataFrame:
+              users: DataFrame | None = None, prune: bool = False) -> DataFrame:
     """``(user_id, rank, item_id, score)``: top-N per user among eligible items.
 
     - ``users(user_id)``: restrict users (semi-join);
     - ``candidates(item_id)``: restrict items (semi-join), e.g. items minus
       those the profile rated;
     - ``counts(item_id, n_ratings)`` + ``min_ratings``: popularity floor;
-    - ``exclude(user_id, item_id)``: pairs to skip (already rated).
+    - ``exclude(user_id, item_id)``: pairs to skip (already rated);
+    - ``prune``: the same rows by :mod:`..operators.pruned`, which pays when the
+      item vectors' norms differ much.
     """
     items = item_factors
     if candidates is not None:
@@ -40,6 +43,8 @@ def recommend(user_factors: DataFrame, item_factors: DataFrame, n: int,
     chosen = user_factors
     if users is not None:
         chosen = chosen.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    if prune:
+        return top_n_pruned(chosen, items, n, exclude=exclude)
     # Blocks are sized by the unfiltered tables (a cheap scan and an upper
     # bound), so the filters above run once, inside the scoring job.
     return top_n_by_dot(chosen, items, n, exclude=exclude,
