@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import aggregates, evaluate, scoring, splits
+from .operators import aggregates, evaluate, scoring, skew, splits
 from .plans import recommend as rec
 from .plans import refresh, train
 from .sources import text
@@ -116,8 +116,8 @@ def score_requests(model: ALSModel, requests: DataFrame, items: DataFrame,
     """Requested (user, item) pairs scored by the model, with titles and counts."""
     preds = train.predict(model, requests.select("user_id", "item_id")) \
         .withColumnRenamed("prediction", "score")
-    return scoring.enrich(preds, items, counts).select("user_id", "item_id", "title", "score",
-                                                       "n_ratings")
+    hot = skew.hot_keys(requests, "item_id")
+    return scoring.enrich(preds, items, counts, hot).select("user_id", "item_id", "title", "score", "n_ratings")
 
 
 def add_ratings(history: DataFrame, new: DataFrame, items: DataFrame, n: int = 10, **kw):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import dot
+from .skew import salted_join
 
 
 def score_pairs(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFrame,
@@ -22,12 +23,16 @@ def score_pairs(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFra
             .select("user_id", "item_id", dot("_uf", "_if", dim).alias("score")))
 
 
-def enrich(predictions: DataFrame, items: DataFrame, counts: DataFrame) -> DataFrame:
+def enrich(predictions: DataFrame, items: DataFrame, counts: DataFrame,
+           hot: dict | None = None) -> DataFrame:
     """Add ``title`` and ``n_ratings`` (inner joins on item, as in the original).
 
     Titles are deduplicated to one per item first (``max``) so a repeated item
-    id cannot multiply predictions.
+    id cannot multiply predictions. Titles and counts, a row an item each, meet
+    first; the predictions join them once, salted at hot items. ``hot`` are the
+    :func:`.skew.hot_keys` of a table with the predictions' items; without it
+    they are looked for in the predictions themselves.
     """
     titles = items.groupBy("item_id").agg(F.max("title").alias("title"))
-    return predictions.join(titles, "item_id").join(counts.select("item_id", "n_ratings"),
-                                                    "item_id")
+    about = titles.join(counts.select("item_id", "n_ratings"), "item_id")
+    return salted_join(predictions, about, "item_id", hot=hot)

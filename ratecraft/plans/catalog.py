@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, vector_dim
 from ..operators import aggregates as agg
 from ..operators import evaluate as ev
-from ..operators import scoring, sets, splits
+from ..operators import scoring, sets, skew, splits
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import text
@@ -29,10 +29,12 @@ MIN_RATINGS = 25
 
 # Our own parameters: the damping grid of the deterministic baseline model,
 # the window of "new" ratings for the refresh query, which users of the fold-in
-# query have no history (one in three), and result rounding.
+# query have no history (one in three), rows that make an item hot in the query that
+# shows the salted join, and result rounding.
 DAMPING_GRID = (0.0, 5.0, 10.0, 25.0, 50.0)
 REFRESH_WINDOW_DAYS = 30
 NEWCOMERS = 3
+HOT_ROWS = 30
 R6 = 6
 
 
@@ -169,18 +171,28 @@ def q_score_pairs(spark, sf):
 
 
 def q_enrich_predictions(spark, sf):
-    s = _score_known(spark, sf, fx.base(spark, sf).select("user_id", "item_id"))
-    e = scoring.enrich(s, _items(spark, sf), _base_counts(spark, sf))
+    pairs = fx.base(spark, sf).select("user_id", "item_id")
+    s = _score_known(spark, sf, pairs)
+    e = scoring.enrich(s, _items(spark, sf), _base_counts(spark, sf), hot=skew.hot_keys(pairs, "item_id"))
     return e.select("user_id", "item_id", "title", _r("score"), "n_ratings")
 
 
 def q_score_requested(spark, sf):
     requested = text.parse_posted(fx.posted_bodies(spark, sf)).select("user_id", "item_id")
     s = _score_known(spark, sf, requested)
-    e = scoring.enrich(s, _items(spark, sf), _base_counts(spark, sf))
+    e = scoring.enrich(s, _items(spark, sf), _base_counts(spark, sf), hot=skew.hot_keys(requested, "item_id"))
     return e.select("user_id", "item_id", "title", _r("score"), "n_ratings")
 
 
+def q_hot_item_join(spark, sf):
+    """Every rating with its item's title and count, in a join that takes an item
+    of more than ``HOT_ROWS`` rows as hot: many are, and their rows are dealt out."""
+    rated = fx.base(spark, sf)
+    about = rec.titles(_items(spark, sf)).join(_base_counts(spark, sf), "item_id")
+    return skew.salted_join(rated, about, "item_id", "left", slice_rows=HOT_ROWS).select(
+        "user_id", "item_id", "rating", "ts", "title", "n_ratings")
+
+
 def q_top_n_global(spark, sf):
     recs = rec.recommend_for_user(fx.PERSONAL_USER, fx.user_factors(spark, sf),
                                   fx.item_factors(spark, sf), TOP_N,
@@ -624,6 +636,7 @@ QUERIES = {
     "score_pairs": q_score_pairs,
     "enrich_predictions": q_enrich_predictions,
     "score_requested": q_score_requested,
+    "hot_item_join": q_hot_item_join,
     "top_n_global": q_top_n_global,
     "popular_top_n": q_popular_top_n,
     "top_n_per_user": q_top_n_per_user,

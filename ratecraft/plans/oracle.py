@@ -246,6 +246,10 @@ SQL["score_requested"] = _with("ratings_all", "base", "ufac", "ifac", "titles",
 SELECT s.user_id, s.item_id, t.title, round(s.score, 6) AS score, c.n_ratings
 FROM scored s JOIN titles t USING (item_id) JOIN counts c USING (item_id)"""
 
+SQL["hot_item_join"] = _with("base", "titles", "counts") + """
+SELECT b.user_id, b.item_id, b.rating, b.ts, t.title, c.n_ratings
+FROM base b LEFT JOIN (titles t JOIN counts c USING (item_id)) ON t.item_id = b.item_id"""
+
 SQL["top_n_global"] = _with("ufac", "ifac", "candidates") + ",\n  " + _ranked(
     _profile_scores("i.item_id IN (SELECT item_id FROM candidates)"), 10)
 
