@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import vector_dim
 from ..session import scratch_path
-from .topn import _BLOCK_OUT, _block_scorer, block_size, plan_blocks, top_n_per_group
+from .exclusions import user_blocks_within
+from .topn import (GROUP_BUDGET_BYTES, _BLOCK_OUT, _block_scorer, block_size, plan_blocks, top_n_per_group, user_block,
+                   with_sets)
 
 BANDS = 7
 _WIDER = 1 + 1e-9
@@ -102,16 +104,14 @@ def _phases(user_factors, item_factors, n, exclude, bands):
     if not plan.names:
         return plan, None, None
     n_users, rank = users.count(), vector_dim(item_factors, default=1)
-    rated = exclude.count() / max(1, n_users) if exclude is not None else 0.0
     nu, ni = plan_blocks(n_users, sum(plan.sizes), spark.sparkContext.defaultParallelism,
-                         block_size(rank, rated), block_size(rank))
+                         block_size(rank), block_size(rank))
     plan.number(-(-sum(plan.sizes) // ni))
     blocked = items.select("item_id", "features", plan.block().alias("ib"))
     if exclude is not None:
-        known = blocked.select("item_id", "ib")
-        seen = exclude.select("user_id", "item_id").join(known, "item_id").groupBy("user_id", "ib") \
-            .agg(F.collect_set("item_id").alias("seen"))
-    ub = F.pmod(F.xxhash64("user_id"), F.lit(nu)).cast("int").alias("ub")
+        blocked, seen = with_sets(blocked, exclude)
+        nu = user_blocks_within(seen, nu, GROUP_BUDGET_BYTES, n_users)
+    ub = user_block(nu).alias("ub")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def scored(dealt: DataFrame, low: int, high: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _phases(user_factors, item_factors, n, exclude, bands):
         if exclude is not None:
             asked = asked.join(seen, ["user_id", "ib"], "left")
         else:
-            asked = asked.withColumn("seen", F.lit(None).cast("array<int>"))
+            asked = asked.withColumn("seen", F.lit(None).cast("binary"))
         offered = blocked.where((F.col("ib") >= low) & (F.col("ib") < high)).select(
             F.explode(F.sequence(F.lit(0), F.lit(nu - 1))).alias("ub"), "ib", "item_id", "features")
         p = min(parts, nu * (high - low))

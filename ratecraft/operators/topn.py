@@ -8,10 +8,10 @@
   without materialising user x item pairs as rows. Users and items are hashed
   into blocks of bounded size; block pair (ub, ib) meets in one cogroup where a
   numpy matmul scores it and keeps each user's best N. Every block pair is
-  bounded (block sizes follow a memory budget, the factor rank and the mean
-  number of rated items), however big either table grows. Items a user already
-  rated ride on the user's row, an array per item block (never longer than that
-  block), and are masked before ranking: no over-fetch and no cap.
+  bounded (block sizes follow a memory budget and the factor rank, and for
+  rated items what their sets take), however big either table grows. Items a
+  user already rated ride on the user's row, a compressed set per item block
+  (:mod:`.exclusions`), and are masked before ranking: no over-fetch and no cap.
 
 One rule for scores in every path: the products are added in factor order in
 double precision, equal scores go to the smaller id, and a score that is not
@@ -27,6 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, StructField, StructType)
 
+from ..session import scratch_path
+from .exclusions import _codec, excluded_sets, numbered, user_blocks_within
+
 
 def _order(score: str, tie: str) -> list[Column]:
     # Highest score first; equal scores by ascending id (deterministic ties).
@@ -59,6 +62,7 @@ def _block_scorer(n: int, max_chunk: int = 512):
     # numpy, pandas and plain values bound here, so it is shipped by value and
     # executors need nothing from this package installed.
     chunk_bytes = SCORE_CHUNK_BYTES
+    _, decode = _codec()
 
     def in_order(u, v):
         # The sum every other path computes: factor by factor, no BLAS.
@@ -73,7 +77,9 @@ def _block_scorer(n: int, max_chunk: int = 512):
                                  "item_id": pd.Series([], dtype="int32"),
                                  "score": pd.Series([], dtype="float64")})
         item_ids = items["item_id"].to_numpy(dtype=np.int64)
-        by_id = np.argsort(item_ids, kind="stable")
+        # A rated item's number is its rank among the block's ids.
+        ranked, rank = np.unique(item_ids, return_inverse=True)
+        at_rank = np.argsort(rank, kind="stable") if len(ranked) == len(rank) else None
         imat = np.stack(items["features"].to_numpy()).astype(np.float64)
         user_ids = users["user_id"].to_numpy(dtype=np.int64)
         umat = np.stack(users["features"].to_numpy()).astype(np.float64)
@@ -93,11 +99,9 @@ def _block_scorer(n: int, max_chunk: int = 512):
             if not np.isfinite(s).all():
                 raise ValueError("a score is not finite: the factors hold NaN or infinity")
             for row in range(start, stop):
-                if seen[row] is not None and len(seen[row]):
-                    rated = np.asarray(seen[row], dtype=np.int64)
-                    at = np.searchsorted(item_ids, rated, sorter=by_id)
-                    at = by_id[np.minimum(at, len(by_id) - 1)]
-                    s[row - start, at[item_ids[at] == rated]] = -np.inf
+                if seen[row] is not None:
+                    rated = decode(seen[row])
+                    s[row - start, at_rank[rated] if at_rank is not None else np.isin(rank, rated)] = -np.inf
             # Everything within rounding of the k-th best, then exact scores,
             # ordered by (row, score desc, item id asc), first k per row.
             kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
@@ -124,11 +128,13 @@ SCORE_CHUNK_BYTES = 64 << 20
 MIN_BLOCK, MAX_BLOCK = 1024, 65536
 
 
-def block_size(rank: int, rated: float = 0.0) -> int:
-    """Rows per block for factors of length ``rank``, each with ``rated`` item
-    ids of 4 bytes, within the budget."""
-    row = max(1, rank) * 8 + 4 * rated
-    return int(min(MAX_BLOCK, max(MIN_BLOCK, GROUP_BUDGET_BYTES // row)))
+def block_size(rank: int) -> int:
+    """Rows per block for factors of length ``rank`` within the budget."""
+    return int(min(MAX_BLOCK, max(MIN_BLOCK, GROUP_BUDGET_BYTES // (max(1, rank) * 8))))
+
+
+def user_block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int")
 
 
 def plan_blocks(n_users: int, n_items: int, parallelism: int,
@@ -147,6 +153,17 @@ def plan_blocks(n_users: int, n_items: int, parallelism: int,
     return nu, ni
 
 
+def with_sets(items: DataFrame, exclude: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``items(item_id, features, ib)`` numbered in their blocks, and the sets of
+    ``exclude`` over them, both written."""
+    spark = items.sparkSession
+    path = scratch_path(spark, "top-n")
+    numbered(items).write.parquet(f"{path}/items")
+    items = spark.read.parquet(f"{path}/items")
+    excluded_sets(exclude, items).write.parquet(f"{path}/sets")
+    return items, spark.read.parquet(f"{path}/sets")
+
+
 def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
                  exclude: DataFrame | None = None, user_blocks: int | None = None,
                  item_blocks: int | None = None,
@@ -158,34 +175,36 @@ def top_n_by_dot(user_factors: DataFrame, item_factors: DataFrame, n: int,
     ranking. Filter ``item_factors`` first (popularity floor) to rank only
     eligible items. Block counts come from counts of ``sized_from`` (the plain
     factor tables, when the given ones are filtered: counting those would run
-    their filters once more).
+    their filters once more); with ``exclude`` there are as many user blocks as
+    keep the sets of any block within the budget, by their exact sizes. The
+    items in their blocks and the sets are written to the shared folder once,
+    and read where they are needed again.
     """
     spark = user_factors.sparkSession
-    if user_blocks is None or item_blocks is None:
+    nu, ni, n_users = user_blocks, item_blocks, None
+    if nu is None or ni is None:
         from ..functions.vectors import vector_dim
         su, si = sized_from or (user_factors, item_factors)
         rank, n_users = vector_dim(su, default=1), su.count()
-        rated = exclude.count() / max(1, n_users) if exclude is not None else 0.0
         pu, pi = plan_blocks(n_users, si.count(), spark.sparkContext.defaultParallelism,
-                             block_size(rank, rated), block_size(rank))
-        user_blocks, item_blocks = user_blocks or pu, item_blocks or pi
-    nu, ni = user_blocks, item_blocks
-    ub = F.pmod(F.xxhash64("user_id"), F.lit(nu)).cast("int")
-    ib = F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int")
+                             block_size(rank), block_size(rank))
+        nu, ni = nu or pu, ni or pi
+    items = item_factors.where(F.col("features").isNotNull()).select(
+        "item_id", "features", F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int").alias("ib"))
+    seen = None
+    if exclude is not None:
+        items, seen = with_sets(items, exclude)
+        if user_blocks is None:
+            nu = user_blocks_within(seen, nu, GROUP_BUDGET_BYTES, n_users)
 
     users = (user_factors.where(F.col("features").isNotNull())
-             .select("user_id", "features", ub.alias("ub"),
+             .select("user_id", "features", user_block(nu).alias("ub"),
                      F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib")))
-    if exclude is not None:
-        # Distinct by construction, and at most one item block long.
-        seen = exclude.select("user_id", "item_id", ib.alias("ib")).groupBy("user_id", "ib") \
-            .agg(F.collect_set("item_id").alias("seen"))
+    if seen is not None:
         users = users.join(seen, ["user_id", "ib"], "left")
     else:
-        users = users.withColumn("seen", F.lit(None).cast("array<int>"))
-    items = (item_factors.where(F.col("features").isNotNull())
-             .select(F.explode(F.sequence(F.lit(0), F.lit(nu - 1))).alias("ub"), ib.alias("ib"),
-                     "item_id", "features"))
+        users = users.withColumn("seen", F.lit(None).cast("binary"))
+    items = items.select(F.explode(F.sequence(F.lit(0), F.lit(nu - 1))).alias("ub"), "ib", "item_id", "features")
 
     # Scoring cost grows with block *products* while bytes grow with block
     # sums, so AQE's byte-based coalescing would pack all block pairs into a

@@ -223,6 +223,14 @@ def q_unrated_top_n(spark, sf):
     return recs.select("user_id", "rank", "item_id", _r("score"))
 
 
+def q_exclusion_sets(spark, sf):
+    """Rated pairs with known items, through the compressed sets and back."""
+    from ..operators import exclusions as ex
+    items = fx.item_factors(spark, sf).select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(4)).cast("int").alias("ib"))
+    numbers = ex.numbered(items)
+    return ex.excluded_pairs(ex.excluded_sets(_rated_pairs(spark, sf), numbers), numbers)
+
+
 def q_pruned_top_n(spark, sf):
     """The rows of ``unrated_top_n`` by the pruned search."""
     recs = rec.recommend(fx.user_factors(spark, sf), fx.item_factors(spark, sf), TOP_N,
@@ -641,6 +649,7 @@ QUERIES = {
     "popular_top_n": q_popular_top_n,
     "top_n_per_user": q_top_n_per_user,
     "unrated_top_n": q_unrated_top_n,
+    "exclusion_sets": q_exclusion_sets,
     "pruned_top_n": q_pruned_top_n,
     "recommend_titles": q_recommend_titles,
     "recs_json": q_recs_json,

@@ -275,6 +275,9 @@ SQL["unrated_top_n"] = _with("ufac", "ifac", "counts", "rated") + ",\n  " + _ran
          AND NOT EXISTS (SELECT 1 FROM rated r WHERE r.user_id = u.user_id AND r.item_id = i.item_id)""",
     10)
 
+SQL["exclusion_sets"] = _with("rated", "ifac") + """
+SELECT DISTINCT r.user_id, r.item_id FROM rated r JOIN ifac i USING (item_id)"""
+
 SQL["pruned_top_n"] = SQL["unrated_top_n"]
 
 SQL["recommend_titles"] = _with("ufac", "ifac", "candidates", "titles") + """,
