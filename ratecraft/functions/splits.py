@@ -30,6 +30,12 @@ def hash_bucket(seed: int = SPLIT_SEED, *cols: str) -> Column:
                   F.lit(10)).cast("int")
 
 
+def row_key(seed: int, cols) -> Column:
+    """md5 of all the columns as text and the seed; equal only for equal rows
+    (a null is written as ``\\N``)."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols], F.lit(str(seed))))
+
+
 def split_label(bucket: Column | str) -> Column:
     b = F.col(bucket) if isinstance(bucket, str) else bucket
     return (F.when(b < TRAIN_BUCKETS, F.lit("train"))

@@ -122,6 +122,10 @@ def q_split_hash(spark, sf):
     return splits.with_split(fx.base(spark, sf), "hash")
 
 
+def q_split_exact(spark, sf):
+    return splits.with_split(fx.base(spark, sf).select("user_id", "item_id", "rating", "ts"), "exact")
+
+
 def q_split_sizes(spark, sf):
     return splits.split_sizes(fx.base(spark, sf))
 
@@ -634,6 +638,7 @@ QUERIES = {
     "item_counts": q_item_counts,
     "split_bucket": q_split_bucket,
     "split_hash": q_split_hash,
+    "split_exact": q_split_exact,
     "split_sizes": q_split_sizes,
     "training_union": q_training_union,
     "training_union_presplit": q_training_union_presplit,

@@ -199,6 +199,12 @@ SELECT user_id, item_id, rating, ts,
 FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', user_id, item_id, ts, 24)), 1, 8))::BIGINT % 10 AS h
       FROM base) t"""
 
+SQL["split_exact"] = _with("base") + """
+SELECT user_id, item_id, rating, ts,
+       CASE WHEN r <= n * 6 // 10 THEN 'train' WHEN r <= n * 8 // 10 THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', user_id, item_id, rating, ts, 24))) AS r,
+             count(*) OVER () AS n FROM base) t"""
+
 SQL["split_sizes"] = _with("bucketed") + """,
   hashed AS (
     SELECT CASE WHEN h < 6 THEN 'train' WHEN h < 8 THEN 'validation' ELSE 'test' END AS split
