@@ -150,8 +150,6 @@ def main(argv=None) -> int:
                else text.parse_ratings(text.read_lines(spark, args.new)))
         items = api.load_items(spark, args.items)
         if args.fold_in:
-            if args.fold_in.rstrip("/") == args.model.rstrip("/"):
-                raise SystemExit("--fold-in and --model must differ: the old model is read while the new one is written")
             _, recs = api.fold_in_ratings(train.load(args.fold_in), history, new, items, args.n, path=args.model)
         else:
             model, recs = api.add_ratings(history, new, items, args.n, blocks=args.blocks or train.BLOCKS)

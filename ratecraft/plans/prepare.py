@@ -6,6 +6,7 @@ pushdown, and a split becomes partition pruning: the training split reads
 buckets 0-5 only, the held-out splits never touch those files. The write goes
 to the shared folder given (the cluster's checkpoint/warehouse path), so the
 table survives lost executors and is the lineage cut for everything after it.
+Each write is a version of the table; readers see the last whole one.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.splits import TRAIN_BUCKETS, VALIDATION_BUCKETS, ts_bucket
+from ..session import scratch_path
 from ..sources import text
+from ..sources.versions import current, publish
 
 RATING_TABLE_SCHEMA = "user_id int, item_id int, rating double, ts bigint, bucket int"
 
@@ -25,25 +28,32 @@ def write_ratings_table(lines: DataFrame, path: str, mode: str = "failfast") ->
     ``advisoryPartitionSizeInBytes`` and merges small ones, so files have that
     size and a hot bucket is many tasks. Quarantine: the text is split once; the
     parsed lines, good and bad, are written aside and both tables read them.
+    Rejects are versions of ``<path>_rejects``. Returns ``path``.
     """
+    spark = lines.sparkSession
     if mode == "quarantine":
-        spark, aside = lines.sparkSession, path.rstrip("/") + "_parsed"
-        text.judge_ratings(lines).write.mode("overwrite").parquet(aside)
+        aside = scratch_path(spark, "parsed-ratings")
+        text.judge_ratings(lines).write.parquet(aside)
         judged = spark.read.parquet(aside)
-        judged.where(F.col("_reason").isNotNull()) \
-            .select(F.col("_line").alias("line"), F.col("_reason").alias("reason")) \
-            .write.mode("overwrite").parquet(path.rstrip("/") + "_rejects")
+        rejects = judged.where(F.col("_reason").isNotNull()) \
+            .select(F.col("_line").alias("line"), F.col("_reason").alias("reason"))
+        publish(spark, path.rstrip("/") + "_rejects", lambda folder: rejects.write.parquet(folder))
         parsed = judged.where(F.col("_reason").isNull()) \
             .select("user_id", "item_id", "rating", "ts").withColumn("bucket", ts_bucket("ts"))
     else:
         parsed = text.parse_ratings(lines, mode)
-    (parsed.hint("rebalance", F.col("bucket"))
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    publish(spark, path, lambda folder: parsed.hint("rebalance", F.col("bucket"))
+            .write.partitionBy("bucket").parquet(folder))
     return path
 
 
 def read_ratings_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RATING_TABLE_SCHEMA).parquet(path)
+    """The last whole version of the table."""
+    return spark.read.schema(RATING_TABLE_SCHEMA).parquet(current(spark, path))
+
+
+def read_table_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("line string, reason string").parquet(current(spark, path.rstrip("/") + "_rejects"))
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:

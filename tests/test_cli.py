@@ -50,3 +50,27 @@ def test_train_with_rank_search_writes_model_and_metrics(spark):
     assert set(metrics) == {"validation", "test"} and all(n > 0 for n in metrics.values())
     from ratecraft.plans import train
     assert train.load(f"{root}/model").rank in (4, 6, 8, 10, 12)
+
+
+def test_fold_in_and_scores_with_counts(spark):
+    from ratecraft.plans import train
+    from ratecraft.sources.sinks import read_report
+    root = scratch_path(spark, "cli-fold").replace("file:", "")
+    rows = [f"{u}::{i}::{(u * 3 + i) % 5 + 1}::{1000 + u * 17 + i}"
+            for u in range(1, 30) for i in range(1, 25) if (u + i) % 3]
+    _write(f"{root}/ratings", rows)
+    _write(f"{root}/items", [f"{i}::Item {i}" for i in range(1, 25)])
+    _write(f"{root}/new", ["7::4::5::99999", "88::5::1::99998", "88::6::4::99997"])
+    _write(f"{root}/asked", ["88,1", "7,2", "99,1"])
+    assert main(["prepare", "--ratings", f"{root}/ratings", "--out", f"{root}/table"]) == 0
+    assert main(["train", "--table", f"{root}/table", "--model", f"{root}/model"]) == 0
+    old = train.load(f"{root}/model").itemFactors.orderBy("id").collect()
+    assert main(["refresh", "--table", f"{root}/table", "--new", f"{root}/new", "--items", f"{root}/items",
+                 "--fold-in", f"{root}/model", "--model", f"{root}/model", "--out", f"{root}/recs", "--n", "2"]) == 0
+    assert train.load(f"{root}/model").itemFactors.orderBy("id").collect() == old
+    assert {(r.user_id, r["rank"]) for r in read_report(spark, f"{root}/recs").collect()} == {(7, 1), (7, 2), (88, 1), (88, 2)}
+    assert main(["score", "--model", f"{root}/model", "--requests", f"{root}/asked", "--items", f"{root}/items",
+                 "--table", f"{root}/table", "--out", f"{root}/scores"]) == 0
+    counts = {i: sum(r.split("::")[1] == str(i) for r in rows) for i in (1, 2)}
+    got = {(r.user_id, r.item_id): r.n_ratings for r in read_report(spark, f"{root}/scores").collect()}
+    assert got == {(88, 1): counts[1], (7, 2): counts[2]}
