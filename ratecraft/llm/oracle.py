@@ -32,10 +32,8 @@ def _rule(name: str, cutoff: str) -> str:
     return f"coalesce({bottom} > 0 AND {top} / {bottom} {'>' if high > 0 else '<'} {cutoff}, FALSE)"
 
 
-_GRID = [(r, c) for r, spec in qr.RULES.items() for c in spec[3]]
-_RATE = qr.RISK / len(qr.RULES)
-_BEST = ", ".join(f"{'min' if spec[2] > 0 else 'max'}(CASE WHEN rule = '{r}' THEN cutoff END) AS cut_{r}"
-                  for r, spec in qr.RULES.items())
+_JOINT = [" OR ".join(_rule(r, str(qr.path(r)[i])) for r in qr.RULES) for i in range(qr.STEPS)]
+_CUTS = ", ".join(f"([{', '.join(map(str, qr.path(r)))}]::DOUBLE[])[step + 1] AS cut_{r}" for r in qr.RULES)
 
 SQL["op2_quality_rules"] = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS x FROM documents),
@@ -54,12 +52,14 @@ WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') A
   good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
   held AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
   tests AS ({" UNION ALL ".join(
-      f"SELECT stratum, '{r}' AS rule, CAST({c} AS DOUBLE) AS cutoff, count(*) AS n, count(*) FILTER ({_rule(r, str(c))}) AS k"
-      f" FROM held GROUP BY stratum" for r, c in _GRID)}),
-  p AS (SELECT *, CASE WHEN k >= n * {_RATE} THEN 1 ELSE list_sum(
-          [exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_RATE}) + (n - j) * ln(1 - {_RATE}))
+      f"SELECT stratum, {i} AS step, count(*) AS n, count(*) FILTER ({joint}) AS k FROM held GROUP BY stratum"
+      for i, joint in enumerate(_JOINT))}),
+  p AS (SELECT *, CASE WHEN k >= n * {qr.RISK} THEN 1 ELSE list_sum(
+          [exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({qr.RISK}) + (n - j) * ln(1 - {qr.RISK}))
            for j in range(0, k + 1)]) END AS p FROM tests),
-  cuts AS (SELECT stratum, {_BEST} FROM p WHERE p * (SELECT count(*) FROM tests) <= {qr.ERROR} GROUP BY stratum)
+  last AS (SELECT stratum, coalesce(min(step) FILTER (p * (SELECT count(DISTINCT stratum) FROM held) > {qr.ERROR}), {qr.STEPS}) - 1 AS step
+           FROM p GROUP BY stratum),
+  cuts AS (SELECT stratum, {_CUTS} FROM last WHERE step >= 0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT ({" OR ".join(_rule(r, f"cut_{r}") for r in qr.RULES)}) AS kept
 FROM b LEFT JOIN cuts USING (stratum)"""

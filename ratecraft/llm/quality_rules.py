@@ -1,21 +1,26 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule compares one measure of a text with a cutoff taken from a fixed grid.
-A cutoff may be used in a stratum (a language) only if labelled documents show,
-by an exact binomial test, that it rejects at most ``RISK`` / number of rules of
-the stratum's good documents: with k of n good documents rejected, the chance of
-k or fewer under that rate must not exceed ``ERROR`` / number of all tests
-(Bonferroni over strata, rules and cutoffs). So with probability 1 - ``ERROR``
-no stratum loses more than ``RISK`` of its good documents to the rules. Of the
-cutoffs that hold, each rule takes the strictest. The grid is fixed before any
-label is seen, so every labelled document serves as holdout.
+Each rule compares one measure of a text with a cutoff; a text that breaks any
+rule is rejected. All cutoffs together move along one path, fixed before any label
+is seen: step i takes the i-th mildest cutoff of every rule's grid (its strictest
+one when the grid has no more), so each step rejects all that the step before it
+does. A step may be used in a stratum (a language) only if labelled documents
+show, by an exact binomial test of the joint verdict, that it rejects at most
+``RISK`` of the stratum's good documents: with k of n good documents rejected,
+the chance of k or fewer under that rate must not exceed ``ERROR`` / number of
+strata (Bonferroni). The steps are tested in order and the first failure ends the
+path (fixed-sequence testing, which needs no further correction), so with
+probability 1 - ``ERROR`` no stratum loses more than ``RISK`` of its good
+documents to the rules. Of the steps that hold, the last counts. Nothing is
+fitted before the tests, so every labelled document serves as holdout.
 
 Only DataFrame functions: counting words, lines and repeated word windows is
 done on arrays inside each row, without a shuffle; labels meet narrow rows only.
 
 Defined results: null and empty texts have no words and fail the base rule; a
 null language is a stratum of its own; strata without enough labels get no
-cutoff, so only the base rule applies there; a document labelled more than once
+cutoff, so only the base rule applies there (:func:`tests` says how many labels
+the first step lacks); a document labelled more than once
 counts as good only if every label says so; null labels and labels of unknown
 documents are ignored; repeated rows are judged one by one; other columns pass.
 """
@@ -23,8 +28,9 @@ documents are ignored; repeated rows are judged one by one; other columns pass.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratecraft.llm.common import words, written
@@ -33,7 +39,8 @@ from ratecraft.llm.common import words, written
 RISK = 0.01
 #: Chance that any of these guarantees fails.
 ERROR = 0.05
-#: rule -> (numerator, denominator, +1: high is bad, -1: low is bad, cutoffs)
+#: rule -> (numerator, denominator, +1: high is bad, -1: low is bad, cutoffs
+#: from the strictest to the mildest)
 RULES = {
     "symbols": ("n_symbols", "word_chars", 1, (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2)),
     "dup_lines": ("n_dup_lines", "n_lines", 1, (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8)),
@@ -41,6 +48,8 @@ RULES = {
     "long_words": ("word_chars", "n_words", 1, (5.5, 6.0, 6.5, 7.0, 8.0, 9.0, 10.0, 12.0)),
     "short_words": ("word_chars", "n_words", -1, (4.5, 4.25, 4.0, 3.5, 3.0, 2.5, 2.0)),
 }
+#: Steps of the path.
+STEPS = max(len(spec[3]) for spec in RULES.values())
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 #: Terms of the binomial sum that are added one by one; a geometric series
 #: bounds the rest from above.
@@ -130,28 +139,43 @@ def binomial_tail(k: str, n: str, rate: float) -> str:
     return f"CASE WHEN {k} >= {n} * {a}D THEN 1D ELSE least(1D, exp({log_top}) * {tail}) END"
 
 
-def tests(rows: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
-    """(stratum, rule, cutoff, n, k, p): every cutoff's test on the labelled
-    good documents that pass the base rule."""
+def path(rule: str) -> list[float]:
+    """The rule's cutoff at each step, mildest first."""
+    grid = RULES[rule][3]
+    return [float(grid[max(0, len(grid) - 1 - i)]) for i in range(STEPS)]
+
+
+def _rejected(cut) -> Column:
+    """Whether any rule is broken, for the cutoffs ``cut(rule)``."""
+    return reduce(lambda a, b: a | b, [_breaks(r, cut(r)) for r in RULES])
+
+
+def tests(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """(stratum, step, n, k, p, most_p, missing): the test of every step's joint
+    verdict on the labelled good documents that pass the base rule; it holds if
+    ``p <= most_p``. ``missing``: good labels without which no step can hold."""
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id") \
         .agg(F.min("quality").alias("_good")).where("_good = 1").select("doc_id")
     held = rows.where(~base_failed()).join(good, "doc_id", "left_semi")
-    grid = [(r, c) for r, spec in RULES.items() for c in spec[3]]
-    counts = held.groupBy("stratum").agg(
-        F.count("*").alias("n"), *[F.count_if(_breaks(r, c)).alias(f"k{i}") for i, (r, c) in enumerate(grid)])
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"),
-                                        F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(grid)]))
-    out = counts.select("stratum", "n", each.alias("t")).select("stratum", "t.rule", "t.cutoff", "n", "t.k")
-    return out.withColumn("p", F.expr(binomial_tail("k", "n", risk / len(RULES))))
+    paths = {r: path(r) for r in RULES}
+    counts = written(held.groupBy("stratum").agg(
+        F.count("*").alias("n"),
+        *[F.count_if(_rejected(lambda r, i=i: paths[r][i])).alias(f"k{i}") for i in range(STEPS)]), "counts")
+    most = error / max(1, counts.count())
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"k{i}").alias("k")) for i in range(STEPS)]))
+    least = math.ceil(math.log(most) / math.log1p(-risk)) if 0 < risk < 1 else 1
+    return counts.select("stratum", "n", each.alias("t")).select("stratum", "t.step", "n", "t.k") \
+        .withColumn("p", F.expr(binomial_tail("k", "n", risk))).withColumn("most_p", F.lit(most)) \
+        .withColumn("missing", F.greatest(F.lit(0).cast("long"), F.lit(least).cast("long") - F.col("n")))
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """One row a stratum with a column ``cut_<rule>`` each (null: none holds)."""
-    t = written(tests(rows, labels, risk), "tests")
-    held = t.where(F.col("p") * t.count() <= error)
-    best = [(F.min if spec[2] > 0 else F.max)(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}")
-            for r, spec in RULES.items()]
-    return held.groupBy("stratum").agg(*best)
+    """One row a stratum that certifies a step, with a column ``cut_<rule>`` each."""
+    failed = F.min(F.when(F.col("p") > F.col("most_p"), F.col("step")))
+    last = tests(rows, labels, risk, error).groupBy("stratum").agg(
+        (F.coalesce(failed, F.lit(STEPS)) - 1).alias("step")).where("step >= 0")
+    return last.select("stratum", *[F.get(F.array(*[F.lit(c) for c in path(r)]), F.col("step")).alias(f"cut_{r}")
+                                    for r in RULES])
 
 
 #: Strata whose cutoffs may be sent to every executor.
@@ -164,10 +188,7 @@ def verdicts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     if cuts.count() <= MOST_STRATA:
         cuts = F.broadcast(cuts)
     judged = rows.join(cuts.withColumnRenamed("stratum", "_stratum"), F.col("stratum") == F.col("_stratum"), "left")
-    broken = [_breaks(r, F.col(f"cut_{r}")) for r in RULES]
-    rejected = broken[0]
-    for b in broken[1:]:
-        rejected = rejected | b
+    rejected = _rejected(lambda r: F.col(f"cut_{r}"))
     return judged.withColumn("base_failed", base_failed()) \
         .withColumn("kept", ~F.col("base_failed") & ~rejected) \
         .drop("_stratum", *[f"cut_{r}" for r in RULES])

@@ -80,3 +80,45 @@ def test_few_labels_certify_nothing(spark, docs):
     assert kept.columns == d.columns and kept.count() == 30
     assert qr.keep_good(d.where("doc_id < 0"), labels).count() == 0
     assert qr.quality_rules(d, labels.where("doc_id < 0")).count() == 32
+
+
+def test_path_is_nested_and_ends_at_the_first_failure(spark, docs):
+    for r, (_, _, high, grid) in qr.RULES.items():
+        steps = qr.path(r)
+        assert sorted(steps, reverse=high > 0) == steps and set(steps) == set(grid)
+    # Good documents in four languages; a third of the German ones have symbols.
+    rows, labels = [], []
+    for k, (lang, n) in enumerate([("en", 900), ("de", 900), ("fr", 450), ("es", 300)]):
+        for i in range(n):
+            junk = i % 10 == 0
+            mild = lang == "de" and i % 3 == 1
+            text = " ".join(f"word{j}" for j in range(60)) + (" ####" * 30 if junk else " ####" if mild else "")
+            rows.append((k * 1000 + i, text, lang))
+            labels.append((k * 1000 + i, int(not junk)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    measured = qr.measured(d).withColumn("stratum", qr._stratum())
+    tests = {(r.stratum, r.step): r for r in qr.tests(measured, labels).collect()}
+    assert all(abs(t.most_p - 0.05 / 4) < 1e-12 for t in tests.values())
+    assert {s: tests[s, 0].missing for s in ("=en", "=de", "=fr", "=es")} == {"=en": 0, "=de": 0, "=fr": 32, "=es": 167}
+    cuts = {r.stratum: r for r in qr.cutoffs(measured, labels).collect()}
+    assert set(cuts) == {"=en", "=de"}
+    # 4 symbols in some 354 letters: 0.0113; German steps stop before 0.01, English ones go on to words over 6 letters.
+    assert (cuts["=de"].cut_symbols, cuts["=en"].cut_symbols) == (0.02, 0.002)
+    kept = {r.doc_id: r.kept for r in qr.quality_rules(d, labels).collect()}
+    for k, lang in enumerate(["en", "de", "fr", "es"]):
+        for i in range(900 if k < 2 else 450 if k == 2 else 300):
+            assert kept[k * 1000 + i] == (lang in ("fr", "es") or i % 10 != 0)
+
+
+def test_junk_is_rejected_with_the_defaults(spark):
+    """The labelled junk of the three languages with enough labels, none of the good documents beyond the risk."""
+    sf = "/root/testdata/sf0.1"
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = qr.quality_rules(d, labels).join(d.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").where("not base_failed")
+    got = got.selectExpr("lang", "quality", "int(kept) AS kept").groupBy("lang", "quality").agg({"quality": "count", "kept": "sum"})
+    n = {(r.lang, r.quality): (r["count(quality)"], r["sum(kept)"]) for r in got.collect()}
+    for lang in ("en", "fr", "de"):
+        assert n[lang, 0][0] > 20 and n[lang, 0][1] == 0
+        assert n[lang, 1][0] - n[lang, 1][1] <= qr.RISK * n[lang, 1][0]
+    assert n["es", 0][1] == n["es", 0][0]  # 307 good labels; 437 are needed
