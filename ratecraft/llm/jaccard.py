@@ -24,7 +24,11 @@ Large groups of near copies are contracted first: each class of a tile with
 ``STAR`` or more rows is settled against the tile's smallest class. Jaccard
 distance is a metric, so a class further than twice the threshold distance from
 that hub can't link to a class that links to the hub, and classes already in
-one component need no further comparison.
+one component need no further comparison. What is left of a large tile is
+contracted ``NEAREST`` times more before pairs are formed: each class names the
+one partner of another component that its bitmap puts nearest, these pairs (one
+a class) are settled, and what they join is one component from then on. So a
+group whose members lie around the threshold doesn't turn into all its pairs.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing; a text of fewer than ``k`` words has its whole sequence as one
@@ -64,6 +68,8 @@ CELLS = 1 << 18
 TILE = 1024
 #: A tile with so many rows is first settled against its hub.
 STAR = 256
+#: Rounds in which the classes of such tiles are settled with their nearest.
+NEAREST = 2
 
 
 def _sets(col, k):
@@ -204,13 +210,15 @@ def _settle(k):
     return run
 
 
-def _tile_pairs(num, den):
+def _tile_pairs(num, den, nearest=False):
     """Rows sorted by (key, block pair, n, cls): pairs of one tile that pass
-    the size band and the bitmap bound."""
+    the size band and the bitmap bound; with ``nearest`` of these each row's
+    pair with the largest bound only."""
 
     def pairs(t):
         key, n, cls, comp, tier, side = (t[c] for c in ("tile", "n", "cls", "comp", "tier", "side"))
         bits, rows, out = t["bits"], np.arange(len(key)), []
+        best, partner = np.zeros(len(key)), np.full(len(key), -1)
         d = 1
         at = rows[:-1]
         while len(at):
@@ -228,9 +236,19 @@ def _tile_pairs(num, den):
                 diff = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
                 most = (n[x] + n[y] - diff) // 2
                 good = most * (num + den) >= num * (n[x] + n[y])
+                if nearest:
+                    x, y, share = x[good], y[good], (most / (n[x] + n[y]))[good]
+                    for a, b in ((x, y), (y, x)):  # at one distance d a row comes once on each side
+                        new = share > best[a]
+                        best[a[new]], partner[a[new]] = share[new], b[new]
+                    continue
                 out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]),
                                      np.maximum(1, n[x] // SHARED)])[:, good])  # x is the smaller
             d += 1
+        if nearest:
+            x = np.flatnonzero(partner >= 0)
+            y = partner[x]
+            out = [np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]), np.ones(len(x), np.int64)])]
         return np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
 
     def run(batches):
@@ -351,6 +369,15 @@ def _tiles(rows: DataFrame) -> DataFrame:
                     .when(F.col("block") < F.col("other"), 1).otherwise(2))
 
 
+def _dealt_tiles(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The tiles of ``rows``, sorted by size, with what their pairs are judged by."""
+    about = classes.join(roots, F.col("cls") == F.col("node"), "left") \
+        .select("cls", "n", "bits", F.coalesce("root", "cls").alias("comp"))
+    return _tiles(rows).select("tile", "cls", "tier", "side").join(about, "cls") \
+        .select("tile", "n", "cls", "comp", "tier", "side", "bits") \
+        .repartition("tile").sortWithinPartitions("tile", "n", "cls")
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Every row's shingle count and component: ``doc_id, n_shingles,
     component_id`` plus ``cls``, the class of equal sets (null when empty),
@@ -398,20 +425,29 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     # lies between once and twice the distance, they need no more comparisons.
     between = large.where("tier = 1").select("key").distinct().withColumn("between", F.lit(True))
     large = large.join(between, "key", "left").where("tier > 0 or between").select("key", "cls", "tier")
-    rows = keys.join(large, ["key", "cls"], "left") \
-        .where((F.col("rows") < STAR) | F.col("tier").isNotNull()) \
-        .select("key", "cls", F.coalesce("tier", F.lit(2)).alias("tier"))
-    about = classes.join(comps, F.col("cls") == F.col("node"), "left") \
-        .select("cls", "n", "bits", F.coalesce("root", "cls").alias("comp"))
-    tiles = _tiles(rows).select("tile", "cls", "tier", "side").join(about, "cls") \
-        .select("tile", "n", "cls", "comp", "tier", "side", "bits") \
-        .repartition("tile").sortWithinPartitions("tile", "n", "cls")
-    rest = tiles.mapInArrow(_tile_pairs(num, den), "a long, b long, need long") \
+    rows = written(keys.join(large, ["key", "cls"], "left")
+                   .where((F.col("rows") < STAR) | F.col("tier").isNotNull())
+                   .select("key", "cls", F.coalesce("tier", F.lit(2)).alias("tier"),
+                           F.col("tier").isNotNull().alias("crowded")), "rows")
+    links, roots = first, comps
+    for _ in range(NEAREST):
+        named = _dealt_tiles(rows.where("crowded"), classes, roots) \
+            .mapInArrow(_tile_pairs(num, den, nearest=True), "a long, b long, need long") \
+            .groupBy("a", "b").agg(F.count("*").alias("met"))
+        named = named.unionByName(named.select(F.col("b").alias("a"), F.col("a").alias("b"), "met")).groupBy("a") \
+            .agg(F.max_by("b", F.struct("met", "b")).alias("b")) \
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        named = written(_bounded(named, classes, num, den), "nearest")
+        if named.isEmpty():
+            break
+        more = written(_settled(docs, members, named, k).where(is_link).select("a", "b"), "links")
+        links = links.unionByName(more)
+        roots = written(components(links), "roots")
+    rest = _dealt_tiles(rows, classes, roots).mapInArrow(_tile_pairs(num, den), "a long, b long, need long") \
         .groupBy("a", "b", "need").agg(F.count("*").alias("met")).where("met >= need").select("a", "b")
     rest = written(_bounded(rest, classes, num, den), "candidates")
     # Pairs inside a component say nothing new. Two rounds settle one pair a
     # class, which joins most groups; the last settles all that is left.
-    links, roots = first, comps
     for last in (False, False, True):
         if rest.isEmpty():
             break

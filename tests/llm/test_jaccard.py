@@ -77,3 +77,32 @@ def test_keep_one_keeps_the_smallest_of_each_component(docs):
 def test_no_rows(docs):
     none = docs([(1, "x")]).where("doc_id = 2")
     assert jaccard.jaccard_join(none).collect() == [] and jaccard.keep_one(none).collect() == []
+
+
+def test_a_dispersed_group_is_not_all_its_pairs(docs, monkeypatch):
+    """Copies edited at about the threshold: few link to the hub, most to some other."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(240):
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    formed = {}
+    real = jaccard.written
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "candidates":
+            formed[jaccard.NEAREST] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    monkeypatch.setattr(jaccard, "STAR", 64)
+    want = brute(rows, 5, 80, 100)
+    for rounds in (0, 2):
+        monkeypatch.setattr(jaccard, "NEAREST", rounds)
+        got = jaccard.jaccard_groups(docs(rows), 5, 80, 100).select("doc_id", "n_shingles", "component_id")
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert formed[2] < 0.25 * formed[0]
