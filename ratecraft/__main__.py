@@ -5,7 +5,7 @@
   recommend --model DIR --items TEXT --table TABLE [--personal TEXT] [--users IDS] --out OUT [--n 10] [--min-ratings 25]
   score     --model DIR --requests CSV --items TEXT --table TABLE --out OUT
   refresh   --table TABLE (--new TEXT | --posted TABLE) --items TEXT --model DIR --out OUT [--n 10] [--fold-in OLD]
-  ingest    --posted DIR --out TABLE --checkpoint DIR   add posted ratings (availableNow)
+  ingest    --posted DIR --out TABLE --checkpoint DIR [--replay-hours H]   add posted ratings (availableNow)
 
 ``--users`` is a text path with a user id a line, ``--requests`` one with a
 ``user,item`` pair a line. ``refresh --posted`` reads the table that ``ingest``
@@ -93,6 +93,7 @@ def main(argv=None) -> int:
     a.add_argument("--posted", required=True)
     a.add_argument("--out", required=True)
     a.add_argument("--checkpoint", required=True)
+    a.add_argument("--replay-hours", type=float)
     a.add_argument("--mode", default="failfast", choices=["failfast", "quarantine"])
     args = p.parse_args(argv)
 
@@ -157,7 +158,7 @@ def main(argv=None) -> int:
         sinks.write_report(recs, args.out)
     elif args.cmd == "ingest":
         from .streaming import ingest_posted
-        ingest_posted(spark, args.posted, args.out, args.checkpoint, args.mode)
+        ingest_posted(spark, args.posted, args.out, args.checkpoint, args.mode, replay_hours=args.replay_hours)
     return 0
 
 

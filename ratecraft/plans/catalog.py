@@ -463,11 +463,40 @@ def q_ratings_with_posts(spark, sf):
     return agg.item_stats(both).select("item_id", "n_ratings", _r("avg_rating"))
 
 
+def q_stream_replayed_posts(spark, sf):
+    """Every post delivered twice, in files of two writes: each counts once."""
+    from ..streaming.ingest import ingest_posted
+    src = scratch_path(spark, "replayed")
+    posts = fx.named_posts(spark, sf)
+    posts.write.json(src)
+    posts.write.mode("append").json(src)
+    return ingest_posted(spark, src, scratch_path(spark, "replayed-sink"), scratch_path(spark, "replayed-ckpt"),
+                         replay_hours=24).select("user_id", "item_id", "rating")
+
+
+def q_sketched_stats(spark, sf):
+    """Statistics of the prepared table and ingested posts from their sketches:
+    ratings exactly, and whether the distinct counts are within 4 %."""
+    from ..operators.sketches import sketched_stats
+    from ..streaming.ingest import ingest_posted, read_posted_sketches
+    from .prepare import read_ratings_table, read_table_sketches, write_ratings_table
+    path = write_ratings_table(fx.ratings_lines(spark, sf), scratch_path(spark, "ratings"))
+    src, sink = scratch_path(spark, "sketch-posts"), scratch_path(spark, "sketch-sink")
+    fx.posted_bodies(spark, sf).write.json(src)
+    posted = ingest_posted(spark, src, sink, scratch_path(spark, "sketch-ckpt"))
+    got = sketched_stats(read_table_sketches(spark, path), read_posted_sketches(spark, sink))
+    exact = agg.rating_stats(read_ratings_table(spark, path).unionByName(posted)) \
+        .withColumnsRenamed({"n_users": "users", "n_items": "items"})
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.04 * F.col(b)
+    return got.join(exact, "n_ratings").select("n_ratings", near("n_users", "users").alias("users_near"),
+                                               near("n_items", "items").alias("items_near"))
+
+
 def q_stream_item_stats(spark, sf):
     """Per-item count and mean kept up to date by a stateful stream over the posts."""
     src = scratch_path(spark, "posted-stats")
     fx.posted_bodies(spark, sf).write.mode("overwrite").json(src)
-    from ..streaming.ingest import running_item_stats
+    from ..streaming.running import running_item_stats
     out = running_item_stats(spark, src, scratch_path(spark, "item-stats-sink"),
                              scratch_path(spark, "item-stats-ckpt"))
     return out.select("item_id", "n_ratings", _r("avg_rating"))
@@ -679,4 +708,6 @@ QUERIES = {
     "ratings_table": q_ratings_table,
     "stream_ingest": q_stream_ingest,
     "stream_item_stats": q_stream_item_stats,
+    "stream_replayed_posts": q_stream_replayed_posts,
+    "sketched_stats": q_sketched_stats,
 }

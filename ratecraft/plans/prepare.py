@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.splits import TRAIN_BUCKETS, VALIDATION_BUCKETS, ts_bucket
+from ..operators.sketches import SKETCH_SCHEMA, sketches
 from ..session import scratch_path
 from ..sources import text
 from ..sources.versions import current, publish
@@ -42,8 +43,13 @@ def write_ratings_table(lines: DataFrame, path: str, mode: str = "failfast") ->
             .select("user_id", "item_id", "rating", "ts").withColumn("bucket", ts_bucket("ts"))
     else:
         parsed = text.parse_ratings(lines, mode)
-    publish(spark, path, lambda folder: parsed.hint("rebalance", F.col("bucket"))
-            .write.partitionBy("bucket").parquet(folder))
+
+    def write(folder: str) -> None:
+        parsed.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(folder)
+        kept = spark.read.schema(RATING_TABLE_SCHEMA).parquet(folder)
+        sketches(kept).write.parquet(f"{folder}/_sketches")   # hidden from readers of the table
+
+    publish(spark, path, write)
     return path
 
 
@@ -52,6 +58,11 @@ def read_ratings_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RATING_TABLE_SCHEMA).parquet(current(spark, path))
 
 
+def read_table_sketches(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct-count sketches of the last whole version, a row a bucket."""
+    return spark.read.schema(SKETCH_SCHEMA).parquet(f"{current(spark, path)}/_sketches")
+
+
 def read_table_rejects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("line string, reason string").parquet(current(spark, path.rstrip("/") + "_rejects"))
 

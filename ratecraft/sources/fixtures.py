@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .text import format_item_lines, format_rating_lines
 
@@ -158,6 +158,19 @@ def posted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(F.col("o_custkey").cast("int").alias("user_id"), "body")
 
 
+def named_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One posted line per line item, with a request id of its own."""
+    li = _lineitem(spark, sf_dir)
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = li.join(od, li.l_orderkey == od.o_orderkey)
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity")
+    return rows.select(
+        F.col("o_custkey").cast("int").alias("user_id"),
+        F.concat_ws(",", F.col("l_partkey").cast("string"),
+                    F.floor(F.col("l_quantity") / 10).cast("bigint").cast("string")).alias("body"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", F.row_number().over(same)).alias("request_id"))
+
+
 def user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.where(F.pmod("vec_id", F.lit(USER_FACTOR_EVERY)) == 0).select(

@@ -39,12 +39,13 @@ def current(spark: SparkSession, root: str) -> str:
     return f"{root.rstrip('/')}/version={names[-1]}" if names else root
 
 
-def publish(spark: SparkSession, root: str, write: Callable[[str], None]) -> str:
-    """``write(folder)`` a new version, then commit it; returns its folder."""
+def publish(spark: SparkSession, root: str, write: Callable[[str], None], label: str = "") -> str:
+    """``write(folder)`` a new version, then commit it; returns its folder. The
+    ``label`` becomes the middle part of the version's name."""
     root = root.rstrip("/")
     fs, path = _store(spark, root)
     names = versions(spark, root)
-    name = f"{int(names[-1].split('-')[0]) + 1 if names else 1:012d}-{uuid.uuid4().hex[:8]}"
+    name = f"{int(names[-1].split('-')[0]) + 1 if names else 1:012d}-{label + "-" if label else ""}{uuid.uuid4().hex[:8]}"
     folder = f"{root}/version={name}"
     write(folder)
     fs.create(path(f"{root}/_commits/{name}"), False).close()

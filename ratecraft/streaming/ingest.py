@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.splits import ts_bucket
+from ..operators.sketches import SKETCH_SCHEMA, sketches
+from ..plans.prepare import RATING_TABLE_SCHEMA
 from ..sources.text import parse_posted
 
 #: User ids are read as text: an id that isn't an int32 is a malformed line, not NULL.
-POSTED_SCHEMA = "user_id string, body string, _corrupt_record string"
+POSTED_SCHEMA = "user_id string, body string, request_id string, _corrupt_record string"
 POSTED_TABLE_SCHEMA = ("user_id int, item_id int, rating double, ts bigint, batch_id bigint,"
                        " bucket int")
 
@@ -30,8 +32,18 @@ def posted_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: i
             .option("columnNameOfCorruptRecord", "_corrupt_record")
             .option("maxFilesPerTrigger", max_files_per_trigger)
             .json(source_dir)
-            .select("*", F.col("_metadata.file_modification_time").cast("timestamp")
-                    .cast("long").alias("ts")))
+            .select("*", F.col("_metadata.file_modification_time").cast("timestamp").alias("arrived"))
+            .withColumn("ts", F.col("arrived").cast("long")))
+
+
+def once(posts: DataFrame, replay_hours: float) -> DataFrame:
+    """The posts without those whose ``request_id`` came before, in any file, up
+    to ``replay_hours`` of arrival time ago. The state holds one key a request
+    and drops it when the watermark passes; posts without an id (and corrupt
+    records) can't be told apart and all stay."""
+    named = posts.where("request_id is not null").withWatermark("arrived", f"{int(replay_hours * 3600)} seconds") \
+        .dropDuplicatesWithinWatermark(["request_id"])
+    return named.unionByName(posts.where("request_id is null"))
 
 
 def _finish(query, timeout_s: int | None, what: str) -> None:
@@ -50,10 +62,14 @@ def rejects_path(sink_dir: str) -> str:
 
 
 def ingest_posted(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                  mode: str = "failfast", timeout_s: int | None = None) -> DataFrame:
+                  mode: str = "failfast", timeout_s: int | None = None,
+                  replay_hours: float | None = None) -> DataFrame:
     """Run one ``availableNow`` ingest and return the table of posted ratings.
 
-    ``quarantine`` writes every malformed record or line to the table at
+    With ``replay_hours`` a post that is delivered again (the same ``request_id``
+    in another file or record, within that time) counts once (:func:`once`).
+    Beside the table each batch leaves distinct-count sketches of its ratings
+    (:mod:`..operators.sketches`). ``quarantine`` writes every malformed record or line to the table at
     :func:`rejects_path` as ``(line, reason)``; ``failfast`` fails on the first.
     """
     sink = sink_dir.rstrip("/")
@@ -65,8 +81,13 @@ def ingest_posted(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
             rejects.write.mode("overwrite").parquet(f"{rejects_path(sink)}/batch_id={batch_id}")
         (rows.withColumn("bucket", ts_bucket("ts")).sortWithinPartitions("bucket")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch_id={batch_id}"))
+        kept = batch.sparkSession.read.schema(RATING_TABLE_SCHEMA).parquet(f"{sink}/batch_id={batch_id}")
+        sketches(kept).write.mode("overwrite").parquet(f"{sink}_sketches/batch_id={batch_id}")
 
-    query = (posted_stream(spark, source_dir).writeStream
+    posts = posted_stream(spark, source_dir)
+    if replay_hours is not None:
+        posts = once(posts, replay_hours)
+    query = (posts.writeStream
              .option("checkpointLocation", checkpoint_dir)
              .foreachBatch(write_batch)
              .trigger(availableNow=True)
@@ -81,42 +102,10 @@ def read_posted_table(spark: SparkSession, sink_dir: str) -> DataFrame:
         "user_id", "item_id", "rating", "ts", "bucket")
 
 
+def read_posted_sketches(spark: SparkSession, sink_dir: str) -> DataFrame:
+    return spark.read.schema(SKETCH_SCHEMA).parquet(sink_dir.rstrip("/") + "_sketches")
+
+
 def read_rejects(spark: SparkSession, sink_dir: str) -> DataFrame:
     return spark.read.schema("line string, reason string, batch_id bigint") \
         .parquet(rejects_path(sink_dir)).select("line", "reason")
-
-
-def running_item_stats(spark: SparkSession, source_dir: str, sink_dir: str,
-                       checkpoint_dir: str, timeout_s: int | None = None) -> DataFrame:
-    """Per-item count and mean maintained incrementally as posts arrive.
-
-    A stateful streaming aggregation (state: one (count, sum) per item, bounded
-    by the catalogue) in ``update`` mode. Each micro-batch's changed rows are
-    written under their batch id by ``foreachBatch``; rewriting the same batch
-    after a restart overwrites the same folder, so the output is exactly-once.
-    Returns the current snapshot (latest row per item).
-    """
-    rows = parse_posted(posted_stream(spark, source_dir), corrupt_col="_corrupt_record")
-    agg = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_ratings"),
-                                      F.sum("rating").alias("sum_rating"))
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
-
-    query = (agg.writeStream.outputMode("update")
-             .option("checkpointLocation", checkpoint_dir)
-             .foreachBatch(write_batch)
-             .trigger(availableNow=True)
-             .start())
-    _finish(query, timeout_s, "running item stats")
-    return item_stats_snapshot(spark, sink_dir)
-
-
-def item_stats_snapshot(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """Latest (count, mean) per item from the per-batch update files."""
-    log = spark.read.schema("item_id int, n_ratings bigint, sum_rating double, batch_id bigint") \
-        .parquet(sink_dir)
-    latest = log.groupBy("item_id").agg(
-        F.max_by(F.struct("n_ratings", "sum_rating"), "batch_id").alias("s"))
-    return latest.select("item_id", F.col("s.n_ratings").alias("n_ratings"),
-                         (F.col("s.sum_rating") / F.col("s.n_ratings")).alias("avg_rating"))
