@@ -25,7 +25,7 @@ Large groups of near copies are contracted first: each class of a tile with
 distance is a metric, so a class further than twice the threshold distance from
 that hub can't link to a class that links to the hub, and classes already in
 one component need no further comparison. What is left of a large tile is
-contracted ``NEAREST`` times more before pairs are formed: each class names the
+contracted ``NEAREST`` times more, by default once, before pairs are formed: each class names the
 one partner of another component that its bitmap puts nearest, these pairs (one
 a class) are settled, and what they join is one component from then on. So a
 group whose members lie around the threshold doesn't turn into all its pairs.
@@ -68,8 +68,9 @@ CELLS = 1 << 18
 TILE = 1024
 #: A tile with so many rows is first settled against its hub.
 STAR = 256
-#: Rounds in which the classes of such tiles are settled with their nearest.
-NEAREST = 2
+#: Rounds in which the classes of such tiles are settled with their nearest; they
+#: decide the speed only.
+NEAREST = 1
 
 
 def _sets(col, k):
