@@ -35,5 +35,5 @@ def test_stages_take_effect(spark, shared):
 def test_registered():
     import __spark_entry__ as e
     names = [n for n in e.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert e.queries()["pipeline"] is corpus_pipeline.run
