@@ -47,3 +47,15 @@ def test_columns_and_order(docs):
     order = [r.doc_id for r in out.where("shard = 0").orderBy("slot").collect()]
     assert order != sorted(order) and np.unique(order).size == len(order)
     assert sharding.sharded(d.where("doc_id < 0")).collect() == []
+
+
+def test_no_other_column_is_lost(docs):
+    names = ["bucket", "place", "deal", "grown_shard", "offset", "BUCKET_"]
+    d = docs([(i, f"t{i}") for i in range(50)] + [(None, None)])
+    for j, name in enumerate(names):
+        d = d.withColumn(name, d.doc_id * 10 + j)
+    out = sharding.sharded(d, 3)
+    assert sorted(out.columns) == sorted([*d.columns, "slot"])
+    rows = [r for r in out.collect() if r.doc_id is not None]
+    assert len(rows) == 50
+    assert all(r[name] == r.doc_id * 10 + j for r in rows for j, name in enumerate(names))
