@@ -1,6 +1,7 @@
 """Tiling against brute force; reordered, altered and clean documents."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -86,3 +87,53 @@ def test_drop_keeps_clean_rows_whole(case):
     assert sorted((r.doc_id for r in kept.collect())) == [1, 4, 5, 6, 7, 8]
     assert dc.drop_contaminated(d, benchmark.where("item_id < 0")).count() == d.count()
     assert dc.contaminated(d.where("doc_id = 99"), benchmark).collect() == []
+
+
+def brute_pairs(docs, items, cover):
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for d, text in docs:
+        for i, item in items:
+            p, t = words(item), words(text)
+            if p and t:
+                tiles = brute(p, t, min(dc.LEAST, len(p)))
+                covered = sum(x[2] for x in tiles)
+                if 100 * covered >= cover * len(p):
+                    out.add((d, i, len(p), covered, len(tiles), max(x[2] for x in tiles)))
+    return out
+
+
+@pytest.mark.parametrize("cover,block", [(80, dc.BLOCK_WORDS), (50, 10)])
+def test_rows_match_brute_force(spark, docs, monkeypatch, cover, block):
+    monkeypatch.setattr(dc, "BLOCK_WORDS", block)
+    rng = random.Random(4)
+    fill = lambda n: [f"w{rng.randrange(12)}" for _ in range(n)]
+    items = [(i, " ".join(fill(rng.randint(1, 24)))) for i in range(12)] + [(50, None), (51, " ,. "), (None, "w1 W2, w3")]
+    rows = []
+    for d in range(60):
+        parts = fill(rng.randint(0, 20))
+        for _ in range(rng.randint(0, 2)):
+            p = rng.choice(items[:12])[1].split()
+            cut = rng.randrange(len(p) + 1)
+            parts += p[cut:] + fill(rng.randint(0, 1)) + p[:cut]
+        rows.append((d, " ".join(parts)))
+    rows += [(80, None), (81, ""), (82, "w1 w2"), (83, "W1 w2 w3")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = dc.contaminated(docs(rows), benchmark, cover).collect()
+    want = brute_pairs(rows, items, cover)
+    assert len(got) == len(want) > 20
+    assert {tuple(r)[:6] for r in got} == want
+    bad = {d for d, *_ in want}
+    kept = {r.doc_id for r in dc.drop_contaminated(docs(rows), benchmark, cover).collect()}
+    assert kept == {d for d, _ in rows} - bad
+
+
+def test_repeated_rows_and_items(spark, docs):
+    item = " ".join(f"q{i}" for i in range(20))
+    benchmark = spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string")
+    d = docs([(1, item), (1, item), (2, item + " more"), (3, "clean")]).withColumnRenamed("lang", "t") \
+        .withColumnRenamed("source", "text_id")
+    got = sorted((r.doc_id, r.item_id) for r in dc.contaminated(d, benchmark).collect())
+    assert got == [(1, 1), (1, 1), (1, 2), (1, 2), (2, 1), (2, 2)]
+    kept = dc.drop_contaminated(d, benchmark)
+    assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [3]
