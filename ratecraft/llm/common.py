@@ -41,6 +41,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may count as hot in one join.
+HOT_KEYS = 1024
+
+
+def met(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row a ``key``; its column
+    ``n``: how many of ``rows`` hold that key); nulls where there is no value.
+
+    A key with more than 1 / ``HOT_KEYS`` of all rows is hot. Fewer keys than
+    that can be, whatever the input, so their values are broadcast, and their
+    rows are dealt over the tasks of the join that serves all other keys.
+    """
+    names = [c for c in values.columns if c not in (key, "n")]
+    # Read from the files, the salt stays a join key; a literal would become a filter.
+    values = written(values.withColumn("cool_salt", F.lit(0).cast("long")), "values")
+    total = values.agg(F.sum("n")).first()[0] or 0
+    value = F.struct(*names)
+    hot = values.where(F.col("n") * HOT_KEYS > total).select(F.col(key).alias("hot_key"), value.alias("hot_value"))
+    cool = values.where(F.col("n") * HOT_KEYS <= total) \
+        .select(F.col(key).alias("cool_key"), "cool_salt", value.alias("cool_value"))
+    # Copies of one row differ by the task that holds them.
+    spread = F.xxhash64(F.spark_partition_id(), *rows.columns).bitwiseOR(F.lit(1))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left") \
+        .withColumn("met_salt", F.when(F.col("hot_key").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long"))
+                    .otherwise(spread))
+    out = out.join(cool, (F.col(key) == F.col("cool_key")) & (F.col("met_salt") == F.col("cool_salt")), "left")
+    return out.select(*rows.columns, *[F.when(F.col("hot_key").isNotNull(), F.col(f"hot_value.{c}"))
+                                       .otherwise(F.col(f"cool_value.{c}")).alias(c) for c in names])
+
+
 def words(text) -> F.Column:
     """The words of ``text`` as an array; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), "")

@@ -8,8 +8,9 @@ against its address, and joins the two, which gives the original records back.
 
 Of records with equal payloads of at least ``least`` bytes the one with the
 largest page_id is the response and the others revisit it. That is one maximum
-an address, with partial aggregation, so a payload shared by a third of all
-pages is no hot spot; payloads themselves are moved once, by (address, page_id).
+an address, with partial aggregation; the maxima of addresses that many pages
+share are broadcast (a bounded number), so such pages don't meet in one task.
+Payloads themselves are moved once, by (address, page_id).
 
 DataFrame functions only. Defined results: null html is an empty payload; a null
 url gives no target header; line ends in a url are percent-encoded; a null
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ratecraft.llm.common import met
 from ratecraft.session import scratch_path
 
 #: Smallest payload that is shared.
@@ -54,9 +56,9 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
     rows = rows.withColumn("address", F.sha2("payload", 256))
     narrow = rows.select("page_id", "url", "address", F.octet_length("payload").alias("size"),
                          base32_of_hex(F.sha1("payload")).alias("sha1"))
-    owners = rows.groupBy("address").agg(F.max("page_id").alias("owner"))
+    owners = rows.groupBy("address").agg(F.max("page_id").alias("owner"), F.count("*").alias("n"))
     shared = (F.col("size") >= least) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    h = narrow.join(owners, "address").withColumn("refers_to", F.when(shared, F.col("owner")))
+    h = met(narrow, owners, "address").withColumn("refers_to", F.when(shared, F.col("owner")))
     revisit = F.col("refers_to").isNotNull()
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     header = F.concat(
