@@ -50,6 +50,7 @@ from ratecraft.llm.common import (
     as_long,
     hash_shingles,
     hash_words,
+    met,
     mix64,
     ship_by_value,
     text_slices,
@@ -461,9 +462,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
 
     placed = members.join(roots, members["cls"] == roots["node"], "left") \
         .withColumn("root", F.coalesce("root", "cls"))
-    least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+    placed = placed.select("doc_id", "text_key", "cls", F.col("n").alias("n_shingles"), "root")
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    return met(placed, least, "root").withColumn("n", F.col("n_shingles")).select(
+        "doc_id", "n_shingles",
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("cls")).alias("cls"),
         F.when(F.col("n") > 0, F.col("root")).alias("root"), "text_key")
@@ -519,9 +521,9 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     groups = written(jaccard_groups(docs, k, num, den).where("n_shingles > 0")
                      .select(F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key", "root",
                              F.struct(F.col("doc_id").isNull(), "doc_id", "text_key").alias("rank")), "groups")
-    best = groups.groupBy("root").agg(F.min("rank").alias("best"))
+    best = groups.groupBy("root").agg(F.min("rank").alias("best"), F.count("*").alias("n"))
     i, key, fate, nth = (fresh(docs, c) for c in ("keep_id", "keep_key", "keep_fate", "keep_nth"))
-    fates = groups.join(best, "root").groupBy("id", "text_key") \
+    fates = met(groups, best, "root").groupBy("id", "text_key") \
         .agg(F.max(F.when(F.col("rank") == F.col("best"), 1).otherwise(0)).alias("f"), F.count("*").alias("copies")) \
         .where("f = 0 or copies > 1").select(F.col("id").alias(i), F.col("text_key").alias(key), F.col("f").alias(fate))
     rows = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))) \
