@@ -1,0 +1,197 @@
+"""``run``'s rows against the five stages written out in plain Python."""
+
+import math
+import random
+import struct
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from ratecraft.llm import mixing, sharding
+from ratecraft.llm import quality_rules as qr
+
+from .test_decontaminate import brute_pairs
+from .test_jaccard import brute
+from .test_quality_rules import measures
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, n_words long, mix_size long, bucket int," \
+    " keep_id long, text_id long, stratum string, shard int"
+COLUMNS = [*(c.split()[0] for c in SCHEMA.split(", ")), "slot"]
+
+
+def spark_hash(*values):
+    """The session's 64-bit hash of ints (4 bytes), longs and strings; nulls are skipped."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<" + kind, v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def rejecting(m, n_lines, step):
+    n_words, chars, symbols, dup, repeat = m
+    of = {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_lines": n_lines, "n_dup_lines": dup,
+          "n_repeat_words": repeat}
+    for rule, (top, bottom, side, grid) in qr.RULES.items():
+        cut = grid[max(0, len(grid) - 1 - step)]
+        if of[bottom] and side * of[top] / of[bottom] > side * cut:
+            return True
+    return False
+
+
+def good_rows(rows, labels):
+    measured = [(measures(r[1]), sum(1 for x in (r[1] or "").split("\n") if x.strip(" \t\n\v\f\r"))) for r in rows]
+    passed = [m[0] >= 50 and 100 * m[4] <= 50 * m[0] for m, _ in measured]
+    quality = defaultdict(list)
+    for d, q in labels:
+        if d is not None and q is not None:
+            quality[d].append(q)
+    held = defaultdict(list)
+    for r, ok, m in zip(rows, passed, measured, strict=True):
+        if ok and min(quality.get(r[0], [0])) == 1:
+            held[r[2]].append(m)
+    last = {}
+    for lang, ms in held.items():
+        for step in range(qr.STEPS):
+            k, n = sum(rejecting(*m, step) for m in ms), len(ms)
+            p = sum(math.comb(n, j) * qr.RISK**j * (1 - qr.RISK)**(n - j) for j in range(k + 1))
+            if p > qr.ERROR / len(held):
+                break
+            last[lang] = step
+    kept = [r for r, ok, m in zip(rows, passed, measured, strict=True)
+            if ok and not (r[2] in last and rejecting(*m, last[r[2]]))]
+    return kept, last
+
+
+def one_of_each(rows):
+    groups = defaultdict(list)
+    for j, n, root in brute([(j, r[1]) for j, r in enumerate(rows)], 5, 80, 100):
+        groups[root if n else (j,)].append(rows[j])
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
+def clean(rows, items):
+    bad = {j for j, *_ in brute_pairs([(j, r[1]) for j, r in enumerate(rows)], items, 80)}
+    return [r for j, r in enumerate(rows) if j not in bad]
+
+
+def mix(rows):
+    size = [len((r[1] or "").split()) for r in rows]
+    total, by = Counter(), defaultdict(list)
+    for r, s in zip(rows, size, strict=True):
+        total[r[3]] += s
+        by[r[3]].append((r, s))
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, open_, target = 1.5 * sum(size), set(names), {}
+    while open_:  # a source above its cap is closed, the rest is shared again
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 2 * total[s]}
+        if not over:
+            target.update({s: level * weight[s] for s in open_})
+            break
+        for s in over:
+            target[s], left = 2 * total[s], left - 2 * total[s]
+        open_ -= over
+    out = []
+    for s, docs in by.items():
+        mean = total[s] / sum(1 for _, n in docs if n)
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            l = (lo + hi) / 2  # noqa: E741
+            f = sum(n * min(2.0, math.exp(min(50, l * n / mean))) for _, n in docs)
+            lo, hi = (l, hi) if f < target[s] else (lo, l)
+        owed = 0.0
+        for r, n in sorted(docs, key=lambda x: (-x[1], spark_hash(("q", x[0][0]), ("s", x[0][1])))):
+            rate = min(2.0, math.exp(min(50, hi * n / mean)))
+            rate = 2.0 if rate > 2 - 1e-9 else rate
+            low = int(rate)
+            owed += (rate - low) * n
+            up = low < 2 and owed > n / 2
+            owed -= n * up
+            out += [r] * (low + up)
+    return out
+
+
+def shards(rows):
+    held = defaultdict(list)
+    for r in rows:
+        shard = max(range(24), key=lambda s: (spark_hash(("i", sharding.SEED), ("q", r[0]), ("i", s)), s))
+        held[shard].append(r)
+    out = []
+    for shard, group in held.items():
+        group.sort(key=lambda r: (spark_hash(("i", sharding.SEED + 1), ("q", r[0]), ("s", r[1])), r[0] or 0))
+        order = sharding.fisher_yates(len(group), [sharding.SEED, shard, 0])
+        out += [(*group[j][:-1], shard, slot) for slot, j in enumerate(order.tolist())]
+    return out
+
+
+def tables():
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 7))) for _ in range(900)]
+    fill = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(fill(20))) for i in range(5)] + [(9, None), (None, "")]
+    texts, bad = [], set()
+    for i in range(430):
+        w = fill(rng.randint(52, 90))
+        if i % 40 == 3:
+            w[10:10] = items[i % 5][1].split()           # a whole item
+        elif i % 40 == 7:
+            w[10:10] = items[i % 5][1].split()[:9]       # under half of one
+        elif i % 40 == 11:
+            q = items[i % 5][1].split()
+            w[5:5] = q[10:]
+            w[30:30] = q[:10]                            # its halves in another order
+        if i % 21 == 5 and i % 17 != 9:
+            w = [x + " #$ |" for x in w]
+            bad.add(i)
+        if i % 17 == 9 and i > 40:
+            w = texts[i - 17].split()
+            bad |= {i} if i - 17 in bad else set()
+            w[rng.randrange(len(w))] = "changed"         # near copies, in chains
+        texts.append("\n".join(" ".join(w[a:a + 12]) for a in range(0, len(w), 12)))
+    rows = [(i, t, "en" if i % 50 else None, (None, "a", "b", "b", "é")[i % 5]) for i, t in enumerate(texts)]
+    rows += [(500, None, "en", "a"), (501, "", None, None), (502, "few words", "en", "b"), rows[8], rows[8],
+             (None, " ".join(fill(70)), "en", "a"), (None, texts[20], "en", "a"), (13, " ".join(fill(60)), "en", "é"),
+             (503, " ".join(fill(3) * 40), "en", "a"), (504, " ".join(fill(4000)), "en", "b")]
+    labels = [(i, int(i not in bad)) for i in range(430)] + [(3, 0), (5, None), (None, 1), (9999, 1)]
+    return [(*r, len(r[1] or ""), 1, 2, 3, 4, 5, "s", 6) for r in rows], labels, items
+
+
+@pytest.fixture
+def folder(spark, shared):
+    def make(rows, labels, items):
+        path = shared("tables")
+        spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        return path
+    return make
+
+
+def test_rows_match_plain_python(spark, folder):
+    rows, labels, items = tables()
+    good, last = good_rows(rows, labels)
+    single = one_of_each(good)
+    unseen = clean(single, items)
+    mixed = mix(unseen)
+    want = shards(mixed)
+    # Every stage has something to decide, and a cutoff is certified.
+    assert last and len(rows) > len(good) + 15 and len(good) > len(single) + 5 and len(single) > len(unseen) + 5
+    assert set(Counter(mixed).values()) == {1, 2} and len(set(mixed)) < len(unseen)
+    got = corpus_pipeline.run(spark, folder(rows, labels, items))
+    assert sorted(got.columns) == sorted(COLUMNS)
+    assert Counter(map(tuple, got.select(*COLUMNS).collect())) == Counter(want)
+    assert mixing.MOST == 2 and np.array_equal(sorted({r[-2] for r in want}), range(24))
+
+
+def test_empty_tables(spark, folder):
+    rows, labels, items = tables()
+    assert corpus_pipeline.run(spark, folder([], [], [])).collect() == []
+    # Without labels and items only the base rule, the copies and the mix decide.
+    got = corpus_pipeline.run(spark, folder(rows[:40], [], []))
+    want = shards(mix(one_of_each(good_rows(rows[:40], [])[0])))
+    assert Counter(map(tuple, got.select(*COLUMNS).collect())) == Counter(want) and want
