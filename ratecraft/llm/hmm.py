@@ -16,7 +16,8 @@ base score.
 2. Baum-Welch: texts are written once as class sequences (2 bytes a token). Each
    iteration, tasks run forward and backward over their sequences and send
    expected counts, which are added up by column before they reach the driver
-   (``STATES * CLASSES`` numbers, whatever the input).
+   (``states * CLASSES`` numbers, whatever the input). Rounds go on until one
+   gains less than ``tolerance`` a token.
 3. Scores: words among the ``HEAD`` most frequent are looked up in a broadcast
    table of at most that many rows. All other words of a text go, once each with
    their number, to a join with the counts.
@@ -40,7 +41,10 @@ from ratecraft.llm.common import as_hash, as_long, crc32_of_id, hash_words, ship
 
 STATES = 4
 CLASSES = 1 << 14
-ROUNDS = 3
+#: Training ends with the first round whose model gains less than this in the
+#: log10 likelihood a training token. That likelihood is never above 0, so
+#: training ends without a limit on rounds.
+TOLERANCE = 0.01
 HEAD = 1 << 17
 SEED = 20_240_603
 #: The end's place among words (a hash that no word is given).
@@ -223,21 +227,22 @@ def _add(batches):
                                       pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slot", "v"])
 
 
-def _starting_model():
+def _starting_model(states: int):
     rng = np.random.default_rng(SEED)
-    start = np.full(STATES, 1 / STATES)
-    move = np.full((STATES, STATES), (1 - STAY) / (STATES - 1))
-    np.fill_diagonal(move, STAY)
-    emit = rng.gamma(1.0, 1.0, (CLASSES + 1, STATES)) + 0.1
+    start = np.full(states, 1 / states)
+    move = np.full((states, states), (1 - STAY) / max(states - 1, 1))
+    np.fill_diagonal(move, STAY if states > 1 else 1.0)
+    emit = rng.gamma(1.0, 1.0, (CLASSES + 1, states)) + 0.1
     return start, move, emit / emit.sum(axis=0)
 
 
-def baum_welch(sequences: DataFrame, rounds: int = ROUNDS):
+def baum_welch(sequences: DataFrame, states: int = STATES, tolerance: float = TOLERANCE):
     """The model (start, move, emit) and the log10 likelihood a token of the
-    training texts before each round."""
+    training texts before each round; the last round gained less than
+    ``tolerance`` over the one before it."""
     sc = sequences.sparkSession.sparkContext
-    model, history = _starting_model(), []
-    for _ in range(rounds):
+    model, history = _starting_model(states), []
+    while len(history) < 2 or history[-1] - history[-2] >= tolerance:
         parts = sequences.select("train", "sizes", "classes").mapInArrow(_expect(sc.broadcast(model)), "slot int, v binary")
         # The sums of a slot meet in two steps, so no task adds up all tasks' rows.
         parts = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("slot", "lane") \
@@ -249,7 +254,7 @@ def baum_welch(sequences: DataFrame, rounds: int = ROUNDS):
         for r in rows:
             total[r.slot] = total.get(r.slot, 0) + np.frombuffer(r.v)
         v = np.concatenate([total[i] for i in range(16)])
-        k = STATES
+        k = states
         start = v[:k] + PRIOR
         move = v[k:k + k * k].reshape(k, k) + PRIOR
         emit = v[k + k * k:-2].reshape(CLASSES + 1, k) + PRIOR
@@ -303,7 +308,8 @@ def _lookup(head):
     return run
 
 
-def hmm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, rounds: int = ROUNDS) -> DataFrame:
+def hmm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, states: int = STATES,
+               tolerance: float = TOLERANCE) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -337,7 +343,7 @@ def hmm_scores(docs: DataFrame, held_out: int = 2, folds: int = 7, rounds: int =
     below[CLASSES] = 1.0  # its only word is the end
     sequences = written(rows.select("key", "train", "text").mapInArrow(
         _pack, "part int, seq int, keys array<bigint>, train binary, sizes binary, classes binary"), "sequences")
-    model, _ = baum_welch(sequences, rounds)
+    model, _ = baum_welch(sequences, states, tolerance)
     chain = sequences.mapInArrow(_chain(sc.broadcast(model), sc.broadcast(below)), "key long, chain double")
 
     looked = rows.select("key", "text").mapInArrow(
