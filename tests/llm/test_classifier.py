@@ -1,5 +1,7 @@
 """Held-out accuracy, and the interaction identity against its definition."""
 
+import zlib
+
 import numpy as np
 
 from ratecraft.llm import classifier as fm
@@ -54,3 +56,12 @@ def test_an_id_is_trained_on_once_however_many_rows_hold_it(spark, docs, monkeyp
     assert labels.where("doc_id = 7 and crc32(cast('7' as binary)) % 5 != 0").count() == 1
     assert [len(label) for label, _ in seen] == [known] * 3
     assert seen[1] == seen[2]
+
+
+def test_folds_and_predictions_follow_their_rules(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int")
+    got = fm.classify(docs([*_rows(300), (5000, None)]), labels).collect()
+    assert len(got) == 301
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.predicted == int(r.score >= 0.3)
