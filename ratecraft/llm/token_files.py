@@ -9,8 +9,8 @@ table below the shared folder. Global offsets are sums of the segments' id
 counts, first by writing task, then by segment; no 64-bit table is stored.
 
 The tokenizer is the library's. Byte-level BPE first cuts a text by a pattern and
-then encodes each piece for itself, so a task encodes a piece once and remembers
-its ids. ``PIECE`` is that pattern for ASCII and Latin letters; a text that it
+then encodes each piece for itself, so a worker encodes a piece once and remembers
+its ids from task to task. ``PIECE`` is that pattern for ASCII and Latin letters; a text that it
 doesn't cover, with a run of white space, or with the content of an added token
 is encoded whole. Such content (``<|endoftext|>``) becomes the token's own id, as
 in the library's plain ``encode(text, add_special_tokens=False)``.
@@ -44,7 +44,7 @@ SEGMENT_IDS = 1 << 20
 SEGMENT_DOCS = 4096
 #: Set bits between two samples of the select structure.
 STRIDE = 64
-#: Pieces whose ids a task remembers.
+#: Pieces whose ids a worker remembers.
 REMEMBERED = 250_000
 SCHEMA = ("part int, seq int, n_docs int, n_ids long, id_bytes int, doc_ids array<bigint>, low_bits int,"
           " low binary, high binary, samples binary, ids binary")
@@ -107,6 +107,17 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Piece -> its ids, asked of ``learn`` once."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, piece):
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class _Encoder:
     """Ids of whole texts, as bytes, remembering pieces."""
 
@@ -119,21 +130,19 @@ class _Encoder:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
         self.alphabet = _byte_alphabet()
-        self.known = {}
+        self.known = _Pieces(self._ids)
 
     def _ids(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(self.alphabet)
-        ids = self.known[piece] = array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return ids
+        return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         pieces = PIECE.findall(text)
-        if sum(map(len, pieces)) != len(text) or "\n\n" in text or any(a in text for a in self.added):
+        if len("".join(pieces)) != len(text) or "\n\n" in text or any(a in text for a in self.added):
             return array(self.kind, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        get, learn = self.known.get, self._ids
-        return b"".join([get(p) or learn(p) for p in pieces])
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, pieces))
 
 
 def _segment(part, seq, held, width):
@@ -148,12 +157,21 @@ _KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(p
 _NAMES = [x.split()[0] for x in SCHEMA.replace("array<bigint>", "a").split(", ")]
 
 
+def _encoder(shipped):
+    """The encoder of a broadcast tokenizer. It is kept on the variable, which a
+    worker holds from task to task: a task then neither loads the tokenizer nor
+    learns its pieces anew."""
+    if not hasattr(shipped, "encoder"):
+        shipped.encoder = _Encoder(shipped.value)
+    return shipped.encoder
+
+
 def _encode(tokenizer_json):
     def run(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
         encoder = None
         for b in batches:
-            encoder = encoder or _Encoder(tokenizer_json.value)
+            encoder = encoder or _encoder(tokenizer_json)
             width, end = encoder.width, END_ID.to_bytes(encoder.width, "little")
             for lo in range(0, b.num_rows, 128):
                 piece = b.slice(lo, 128)

@@ -76,3 +76,25 @@ def test_added_tokens_keep_their_ids(docs):
         r = got[i]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_a_worker_makes_one_encoder(monkeypatch):
+    """Tasks of one worker share the broadcast variable, and with it the encoder."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    made = []
+
+    class Counted(tf._Encoder):
+        def __init__(self, tokenizer_json):
+            made.append(1)
+            super().__init__(tokenizer_json)
+
+    monkeypatch.setattr(tf, "_Encoder", Counted)
+    monkeypatch.setattr(tf, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        shipped = SimpleNamespace(value=f.read())
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two", "two  three"]})
+    out = [[b.to_pylist() for b in tf._encode(shipped)([rows])] for _ in range(3)]
+    assert out[0] == out[1] == out[2] and len(made) == 1
