@@ -293,7 +293,7 @@ def _stored(df, name):
     """``df`` written below the shared folder and read back: for rows that several
     jobs of a query read, so that what made them runs once."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -302,16 +302,29 @@ def _requested(spark, sf):
     return text.parse_posted(fx.posted_bodies(spark, sf)).select("user_id", "item_id")
 
 
-def _als_inputs(spark, sf):
-    s = splits.with_split(_stored(_base_parsed(spark, sf), "als-ratings"), "bucket")
-    train_rows = s.where(F.col("split") == "train")
-    heldout = s.where(F.col("split") != "train")
+#: What a fit, its scores and its errors read of a rating.
+MODEL_COLS = ("user_id", "item_id", "rating", "split")
+
+
+def _als_ratings(spark, sf, cols=()):
+    """The parsed base ratings with their split (``cols`` of them), made once."""
+    s = splits.with_split(_base_parsed(spark, sf), "bucket")
+    return _stored(s.select(*cols) if cols else s, "als-ratings")
+
+
+def _als_split(spark, sf, ratings):
+    train_rows = ratings.where(F.col("split") == "train")
+    heldout = ratings.where(F.col("split") != "train")
     training = sets.training_union(train_rows, _personal_positive(spark, sf))
     return training, heldout
 
 
+def _als_inputs(spark, sf, cols=()):
+    return _als_split(spark, sf, _als_ratings(spark, sf, cols))
+
+
 def full_als_rmse(spark, sf):
-    training, heldout = _als_inputs(spark, sf)
+    training, heldout = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit(training)
     return train.heldout_rmse(model, heldout).select("split", "n", _r("rmse"))
 
@@ -319,7 +332,7 @@ def full_als_rmse(spark, sf):
 def full_als_rmse_pairwise(spark, sf):
     """The original error formulation on the fitted model: predictions joined
     back to held-out rows on (user, item), k*k terms per pair rated k times."""
-    training, heldout = _als_inputs(spark, sf)
+    training, heldout = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit(training)
     return ev.rmse_pairwise(train.predict(model, heldout)).select("split", "n", _r("rmse"))
 
@@ -328,7 +341,7 @@ def full_als_score_requested(spark, sf):
     """Requested (user, item) pairs (the posted requests) scored by the model,
     with titles and rating counts."""
     from .. import api
-    training, _ = _als_inputs(spark, sf)
+    training, _ = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit(training)
     requested = _stored(_requested(spark, sf).distinct(), "requested")   # hot keys, then scores
     out = api.score_requests(model, requested, _items(spark, sf),
@@ -337,27 +350,27 @@ def full_als_score_requested(spark, sf):
 
 
 def full_als_score(spark, sf):
-    training, heldout = _als_inputs(spark, sf)
+    training, heldout = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit(training)
     test = heldout.where(F.col("split") == "test").select("user_id", "item_id", "rating")
     return train.predict(model, test).select("user_id", "item_id", "rating", _r("prediction"))
 
 
 def full_als_rank_search(spark, sf):
-    training, heldout = _als_inputs(spark, sf)
+    training, heldout = _als_inputs(spark, sf, MODEL_COLS)
     results, _, _ = train.rank_search(training, heldout.where(F.col("split") == "validation"))
     return results.select("rank", _r("rmse"))
 
 
 def full_als_select_best(spark, sf):
-    training, heldout = _als_inputs(spark, sf)
+    training, heldout = _als_inputs(spark, sf, MODEL_COLS)
     results, _, _ = train.rank_search(training, heldout.where(F.col("split") == "validation"))
     return ev.select_best(results, param="rank").select("rank", _r("rmse"))
 
 
 def full_als_recommend(spark, sf):
     """Top-10 unrated, popular items for every user of the fitted model."""
-    training, _ = _als_inputs(spark, sf)
+    training, _ = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit_durable(training)
     uf, itf = train.factors(model)
     recs = rec.recommend(uf, itf, TOP_N, exclude=_rated_pairs(spark, sf),
@@ -367,7 +380,7 @@ def full_als_recommend(spark, sf):
 
 def full_als_recommend_subset(spark, sf):
     """Spark's per-user top-N (no exclusion) for the users with held-out ratings."""
-    training, heldout = _als_inputs(spark, sf)
+    training, heldout = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit(training)
     users = heldout.where(F.col("split") == "test").select("user_id").distinct()
     return train.recommend_users(model, users, TOP_N_PER_USER).select(
@@ -375,13 +388,13 @@ def full_als_recommend_subset(spark, sf):
 
 
 def full_als_recommend_all(spark, sf):
-    training, _ = _als_inputs(spark, sf)
+    training, _ = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit(training)
     return train.recommend_all(model, TOP_N).select("user_id", "rank", "item_id", _r("score"))
 
 
 def full_model_roundtrip(spark, sf):
-    training, heldout = _als_inputs(spark, sf)
+    training, heldout = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit(training)
     path = train.save(model, scratch_path(spark, "als-model"))
     loaded = train.load(path)
@@ -553,7 +566,7 @@ def q_als_rank_search(spark, sf):
 
 def q_als_select_best(spark, sf):
     """The chosen rank against the whole table: none may be better."""
-    training, heldout = _als_inputs(spark, sf)
+    training, heldout = _als_inputs(spark, sf, MODEL_COLS)
     results, best, _ = train.rank_search(training, heldout.where(F.col("split") == "validation"))
     chosen = ev.select_best(results, param="rank").first()
     return results.agg(
@@ -564,7 +577,7 @@ def q_als_select_best(spark, sf):
 
 def q_als_score(spark, sf):
     """Held-out predictions against the dot product of the model's factors."""
-    training, heldout = _als_inputs(spark, sf)
+    training, heldout = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit_durable(training)
     test = heldout.where(F.col("split") == "test").select("user_id", "item_id", "rating")
     uf, itf = train.factors(model)
@@ -598,7 +611,7 @@ def q_als_recommend_all(spark, sf):
 
 def full_als_pruned(spark, sf):
     """Top-10 for all users of the fitted model by the pruned search."""
-    training, _ = _als_inputs(spark, sf)
+    training, _ = _als_inputs(spark, sf, MODEL_COLS)
     uf, itf = train.factors(train.fit_durable(training))
     return rec.recommend(uf, itf, TOP_N, prune=True).select("user_id", "rank", "item_id", _r("score"))
 
@@ -606,7 +619,7 @@ def full_als_pruned(spark, sf):
 def q_als_pruned(spark, sf):
     """Every user's list by the pruned search: its length, and rows that the
     unpruned search doesn't have (item, rank and score to the last bit)."""
-    training, _ = _als_inputs(spark, sf)
+    training, _ = _als_inputs(spark, sf, MODEL_COLS)
     uf, itf = train.factors(train.fit_durable(training))
     whole = rec.recommend(uf, itf, TOP_N).withColumn("found", F.lit(0).cast("long"))
     return rec.recommend(uf, itf, TOP_N, prune=True).join(whole, ["user_id", "rank", "item_id", "score"], "left") \
@@ -647,7 +660,7 @@ def q_als_fold_in(spark, sf):
 
 def q_model_roundtrip(spark, sf):
     """Factors of a fit against those read back from its files."""
-    training, _ = _als_inputs(spark, sf)
+    training, _ = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit(training)
     loaded = train.load(train.save(model, scratch_path(spark, "als")))
 

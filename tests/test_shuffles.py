@@ -53,3 +53,19 @@ def test_model_queries_parse_the_base_ratings_once(spark, tables):
     s = catalog.splits.with_split(catalog._base_parsed(spark, tables), "bucket")
     assert _rows(heldout) == _rows(s.where("split <> 'train'"))
     assert training.count() == s.where("split = 'train'").count() + catalog._personal_positive(spark, tables).count()
+
+
+def _stored_columns(monkeypatch):
+    """Name -> columns of what is written once for several jobs."""
+    seen, stored = {}, catalog._stored
+    monkeypatch.setattr(catalog, "_stored", lambda df, name: (seen.update({name: df.columns}), stored(df, name))[1])
+    return seen
+
+
+def test_model_queries_store_only_what_they_read(spark, tables, monkeypatch):
+    seen = _stored_columns(monkeypatch)
+    catalog.q_als_rmse_pairwise(spark, tables)
+    assert seen["als-ratings"] == ["user_id", "item_id", "rating", "split"]
+    whole, narrow = (catalog._als_inputs(spark, tables, c) for c in ((), catalog.MODEL_COLS))
+    for a, b in zip(whole, narrow, strict=True):
+        assert _rows(a.select(b.columns)) == _rows(b)
