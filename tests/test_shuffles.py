@@ -69,3 +69,17 @@ def test_model_queries_store_only_what_they_read(spark, tables, monkeypatch):
     whole, narrow = (catalog._als_inputs(spark, tables, c) for c in ((), catalog.MODEL_COLS))
     for a, b in zip(whole, narrow, strict=True):
         assert _rows(a.select(b.columns)) == _rows(b)
+
+
+def test_requests_count_the_stored_ratings(spark, tables, monkeypatch):
+    spark.createDataFrame([(i, f"part {i}") for i in range(4)], "p_partkey long, p_name string") \
+        .write.mode("overwrite").parquet(f"{tables}/part.parquet")
+    pairs = spark.createDataFrame([(u, i) for u in (1, 2) for i in range(4)], "user_id int, item_id int")
+    monkeypatch.setattr(catalog, "_requested", lambda spark, sf: pairs)
+    seen = _stored_columns(monkeypatch)
+    df = catalog.full_als_score_requested(spark, tables)
+    assert seen["als-ratings"] == ["user_id", "item_id", "rating", "split"]
+    assert "l_orderkey" not in _plan(df)                      # no third join of lines and orders
+    counts = {r["item_id"]: r["n_ratings"] for r in catalog._base_counts(spark, tables).collect()}
+    got = df.select("item_id", "n_ratings").distinct().collect()
+    assert got and all(counts[r["item_id"]] == r["n_ratings"] for r in got)
