@@ -368,29 +368,39 @@ def full_als_select_best(spark, sf):
     return ev.select_best(results, param="rank").select("rank", _r("rmse"))
 
 
-def full_als_recommend(spark, sf):
+def _als_recommended(spark, sf):
     """Top-10 unrated, popular items for every user of the fitted model."""
     training, _ = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit_durable(training)
     uf, itf = train.factors(model)
-    recs = rec.recommend(uf, itf, TOP_N, exclude=_rated_pairs(spark, sf),
+    return rec.recommend(uf, itf, TOP_N, exclude=_rated_pairs(spark, sf),
                          counts=_base_counts(spark, sf), min_ratings=MIN_RATINGS)
-    return recs.select("user_id", "rank", "item_id", _r("score"))
 
 
-def full_als_recommend_subset(spark, sf):
+def full_als_recommend(spark, sf):
+    return _als_recommended(spark, sf).select("user_id", "rank", "item_id", _r("score"))
+
+
+def _als_recommended_subset(spark, sf):
     """Spark's per-user top-N (no exclusion) for the users with held-out ratings."""
     training, heldout = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit(training)
     users = heldout.where(F.col("split") == "test").select("user_id").distinct()
-    return train.recommend_users(model, users, TOP_N_PER_USER).select(
-        "user_id", "rank", "item_id", _r("score"))
+    return train.recommend_users(model, users, TOP_N_PER_USER)
 
 
-def full_als_recommend_all(spark, sf):
+def full_als_recommend_subset(spark, sf):
+    return _als_recommended_subset(spark, sf).select("user_id", "rank", "item_id", _r("score"))
+
+
+def _als_recommended_all(spark, sf):
     training, _ = _als_inputs(spark, sf, MODEL_COLS)
     model = train.fit(training)
-    return train.recommend_all(model, TOP_N).select("user_id", "rank", "item_id", _r("score"))
+    return train.recommend_all(model, TOP_N)
+
+
+def full_als_recommend_all(spark, sf):
+    return _als_recommended_all(spark, sf).select("user_id", "rank", "item_id", _r("score"))
 
 
 def full_model_roundtrip(spark, sf):
@@ -419,10 +429,14 @@ def _refresh_inputs(spark, sf):
     return ratings.where(F.col("ts") < cutoff), ratings.where(F.col("ts") >= cutoff)
 
 
-def full_als_refresh(spark, sf):
+def _als_refreshed(spark, sf):
     history, new = _refresh_inputs(spark, sf)
     _, recs = rf.refresh(history, new, _items(spark, sf), TOP_N)
-    return recs.select("user_id", "rank", "item_id", "title", _r("score"))
+    return recs
+
+
+def full_als_refresh(spark, sf):
+    return _als_refreshed(spark, sf).select("user_id", "rank", "item_id", "title", _r("score"))
 
 
 def _fold_in_inputs(spark, sf):
@@ -538,7 +552,8 @@ def _measured(df):
 
 def _lists_checked(recs, n, *bad):
     """Per user: rows of the list, and how many break a rule: ranks that are not
-    1..n in order of (score descending, item), or a row that ``bad`` has too."""
+    1..n in order of (score descending, item), or a row that ``bad`` has too. The
+    scores are those that ranked the rows: rounded, two may be equal that weren't."""
     by = Window.partitionBy("user_id").orderBy("rank")
     before = F.struct(-F.lag("score").over(by), F.lag("item_id").over(by))
     wrong = (F.col("rank") != F.row_number().over(by)) | F.isnan("score") | F.col("score").isNull()
@@ -597,16 +612,16 @@ def q_als_score_requested(spark, sf):
 def q_als_recommend(spark, sf):
     """Length and order of every user's list; none of its items rated or unpopular."""
     low = _base_counts(spark, sf).where(F.col("n_ratings") < MIN_RATINGS)
-    return _lists_checked(full_als_recommend(spark, sf), TOP_N,
+    return _lists_checked(_als_recommended(spark, sf), TOP_N,
                           (_rated_pairs(spark, sf), ["user_id", "item_id"]), (low, ["item_id"]))
 
 
 def q_als_recommend_subset(spark, sf):
-    return _lists_checked(full_als_recommend_subset(spark, sf), TOP_N_PER_USER)
+    return _lists_checked(_als_recommended_subset(spark, sf), TOP_N_PER_USER)
 
 
 def q_als_recommend_all(spark, sf):
-    return _lists_checked(full_als_recommend_all(spark, sf), TOP_N)
+    return _lists_checked(_als_recommended_all(spark, sf), TOP_N)
 
 
 def full_als_pruned(spark, sf):
@@ -628,7 +643,7 @@ def q_als_pruned(spark, sf):
 
 
 def q_als_refresh(spark, sf):
-    return _lists_checked(full_als_refresh(spark, sf), TOP_N,
+    return _lists_checked(_als_refreshed(spark, sf), TOP_N,
                           (fx.base(spark, sf), ["user_id", "item_id"]))
 
 
