@@ -18,7 +18,6 @@ norms all alike nothing is skipped, and the cost is one more shuffle of the user
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import vector_dim
@@ -74,23 +73,6 @@ class _Bands:
         return sum(gains, F.lit(0))
 
 
-def _above_floor(n: int):
-    # Runs in the Python workers; refers to numpy, pandas and values bound here.
-    score = _block_scorer(n)
-
-    def run(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        out = score(users, items)
-        if out.empty:
-            return out
-        ids = users["user_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        floor = users["floor"].to_numpy(dtype=np.float64)[order]
-        at = floor[np.searchsorted(ids[order], out["user_id"].to_numpy())]
-        return out[~(out["score"].to_numpy() < at)]  # no floor is NaN: keeps all
-
-    return run
-
-
 def _prepared(user_factors, item_factors, bands):
     users = user_factors.where(F.col("features").isNotNull()).select("user_id", "features", _norm().alias("norm"))
     items = item_factors.where(F.col("features").isNotNull()).select("item_id", "features", _norm().alias("norm"))
@@ -126,7 +108,7 @@ def _phases(user_factors, item_factors, n, exclude, bands):
         p = min(parts, nu * (high - low))
         return asked.select("ub", "ib", "user_id", "features", "seen", "floor").repartition(p, "ub", "ib") \
             .groupBy("ub", "ib").cogroup(offered.repartition(p, "ub", "ib").groupBy("ub", "ib")) \
-            .applyInPandas(_above_floor(n), schema=_BLOCK_OUT)
+            .applyInArrow(_block_scorer(n), schema=_BLOCK_OUT)
 
     none = F.lit(None).cast("double").alias("floor")
     band0 = plan.first[1]
