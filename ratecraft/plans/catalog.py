@@ -44,8 +44,9 @@ def _r(col: str) -> F.Column:
 
 # ---- shared derived inputs --------------------------------------------------
 
-def _base_parsed(spark, sf):
-    return text.parse_ratings(fx.ratings_lines(spark, sf))
+def _base_parsed(spark, sf, base=None):
+    lines = fx.ratings_lines(spark, sf) if base is None else text.format_rating_lines(base)
+    return text.parse_ratings(lines)
 
 
 def _personal_positive(spark, sf):
@@ -56,13 +57,13 @@ def _items(spark, sf):
     return text.parse_items(fx.item_lines(spark, sf))
 
 
-def _base_counts(spark, sf):
-    return agg.item_counts(fx.base(spark, sf))
+def _base_counts(spark, sf, base=None):
+    return agg.item_counts(fx.base(spark, sf) if base is None else base)
 
 
-def _rated_pairs(spark, sf):
+def _rated_pairs(spark, sf, base=None):
     """Every (user, item) known as rated: base ratings plus the personal positives."""
-    return (fx.base(spark, sf).select("user_id", "item_id")
+    return ((fx.base(spark, sf) if base is None else base).select("user_id", "item_id")
             .unionByName(_personal_positive(spark, sf).select("user_id", "item_id")))
 
 
@@ -306,9 +307,14 @@ def _requested(spark, sf):
 MODEL_COLS = ("user_id", "item_id", "rating", "split")
 
 
-def _als_ratings(spark, sf, cols=()):
+def _stored_base(spark, sf):
+    """The base ratings, line items and orders joined once for all that reads them."""
+    return _stored(fx.base(spark, sf), "base-ratings")
+
+
+def _als_ratings(spark, sf, cols=(), base=None):
     """The parsed base ratings with their split (``cols`` of them), made once."""
-    s = splits.with_split(_base_parsed(spark, sf), "bucket")
+    s = splits.with_split(_base_parsed(spark, sf, base), "bucket")
     return _stored(s.select(*cols) if cols else s, "als-ratings")
 
 
@@ -319,8 +325,8 @@ def _als_split(spark, sf, ratings):
     return training, heldout
 
 
-def _als_inputs(spark, sf, cols=()):
-    return _als_split(spark, sf, _als_ratings(spark, sf, cols))
+def _als_inputs(spark, sf, cols=(), base=None):
+    return _als_split(spark, sf, _als_ratings(spark, sf, cols, base))
 
 
 def full_als_rmse(spark, sf):
@@ -368,17 +374,17 @@ def full_als_select_best(spark, sf):
     return ev.select_best(results, param="rank").select("rank", _r("rmse"))
 
 
-def _als_recommended(spark, sf):
+def _als_recommended(spark, sf, base):
     """Top-10 unrated, popular items for every user of the fitted model."""
-    training, _ = _als_inputs(spark, sf, MODEL_COLS)
+    training, _ = _als_inputs(spark, sf, MODEL_COLS, base)
     model = train.fit_durable(training)
     uf, itf = train.factors(model)
-    return rec.recommend(uf, itf, TOP_N, exclude=_rated_pairs(spark, sf),
-                         counts=_base_counts(spark, sf), min_ratings=MIN_RATINGS)
+    return rec.recommend(uf, itf, TOP_N, exclude=_rated_pairs(spark, sf, base),
+                         counts=_base_counts(spark, sf, base), min_ratings=MIN_RATINGS)
 
 
 def full_als_recommend(spark, sf):
-    return _als_recommended(spark, sf).select("user_id", "rank", "item_id", _r("score"))
+    return _als_recommended(spark, sf, _stored_base(spark, sf)).select("user_id", "rank", "item_id", _r("score"))
 
 
 def _als_recommended_subset(spark, sf):
@@ -421,16 +427,16 @@ def full_model_roundtrip(spark, sf):
 
 # ---- 8: refresh and streaming ingest ----------------------------------------
 
-def _refresh_inputs(spark, sf):
-    ratings = fx.base(spark, sf)
+def _refresh_inputs(spark, sf, base=None):
+    ratings = _stored_base(spark, sf) if base is None else base
     # One number, fetched once: every branch below filters on a literal.
     latest = ratings.agg(F.max("ts")).first()[0]
     cutoff = latest - REFRESH_WINDOW_DAYS * 86400
     return ratings.where(F.col("ts") < cutoff), ratings.where(F.col("ts") >= cutoff)
 
 
-def _als_refreshed(spark, sf):
-    history, new = _refresh_inputs(spark, sf)
+def _als_refreshed(spark, sf, base=None):
+    history, new = _refresh_inputs(spark, sf, base)
     _, recs = rf.refresh(history, new, _items(spark, sf), TOP_N)
     return recs
 
@@ -611,9 +617,10 @@ def q_als_score_requested(spark, sf):
 
 def q_als_recommend(spark, sf):
     """Length and order of every user's list; none of its items rated or unpopular."""
-    low = _base_counts(spark, sf).where(F.col("n_ratings") < MIN_RATINGS)
-    return _lists_checked(_als_recommended(spark, sf), TOP_N,
-                          (_rated_pairs(spark, sf), ["user_id", "item_id"]), (low, ["item_id"]))
+    base = _stored_base(spark, sf)
+    low = _base_counts(spark, sf, base).where(F.col("n_ratings") < MIN_RATINGS)
+    return _lists_checked(_als_recommended(spark, sf, base), TOP_N,
+                          (_rated_pairs(spark, sf, base), ["user_id", "item_id"]), (low, ["item_id"]))
 
 
 def q_als_recommend_subset(spark, sf):
@@ -643,8 +650,8 @@ def q_als_pruned(spark, sf):
 
 
 def q_als_refresh(spark, sf):
-    return _lists_checked(_als_refreshed(spark, sf), TOP_N,
-                          (fx.base(spark, sf), ["user_id", "item_id"]))
+    base = _stored_base(spark, sf)
+    return _lists_checked(_als_refreshed(spark, sf, base), TOP_N, (base, ["user_id", "item_id"]))
 
 
 def q_als_fold_in(spark, sf):
